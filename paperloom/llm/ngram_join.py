@@ -4,22 +4,25 @@ Documents that resemble each other are put into groups, each group keeps the
 union of its members' shingles as rows (shingle, group), and a document looks
 only into groups whose union holds enough of its shingles.
 
-1. One scan gives every document the size and a fingerprint of its shingle set
-   and the shingles below a fixed value (a sample by hash, the same shingles in
-   every document). Equal sets are one node from here on.
-2. A node of n shingles links only if at least ceil(n * threshold) of them occur
-   elsewhere. So a node with more sampled shingles of its own than
-   n - ceil(n * threshold) is done: it has no partner. That is a bound, not an
-   estimate, and it retires nearly all documents without copies.
+1. One scan gives every document the size and a fingerprint of its shingle set.
+   Equal sets are one node from here on.
+2. Sets that link differ in at most d shingles, a number that follows from their
+   sizes. Shingles are dealt by hash to more than d parts, so two sets that link
+   have a part that is equal and not empty. Nodes none of whose parts occurs in
+   another node are done; what stays is hardly more than real near copies.
 3. The others get their whole sets and are grouped: minhash bands propose one
    leader a bucket, exact Jaccard confirms, components of confirmed links are
    the groups. Two rounds with bands of different seeds.
-4. The same bound against the union of all *other* groups retires nodes again,
-   first on the sample, then on whole sets.
+4. A node with too many shingles that no *other* group holds has no partner
+   outside its group and retires, first by a sample of shingles (those below a
+   fixed hash value, so the bound holds), then by whole sets.
 5. What remains orders its shingles by the number of groups that hold them and
    joins its prefix with the other groups' prefixes; the overlap with the
    group's union must reach the bound before its members are opened, and exact
-   Jaccard decides. Prefix and length filters lose no link.
+   Jaccard decides. Prefix, length and positional filters lose no link. Prefix
+   shingles held by more than HOT nodes are not joined in pairs: the nodes that
+   such shingles connect are a family, cut into blocks; every two blocks of a
+   family meet in one task, which keeps only links that connect something new.
 
 Every comparison that decides a link is exact on 64-bit shingle hashes; the
 minhash bands only save work.
@@ -42,6 +45,8 @@ from paperloom.llm.workspace import Workspace
 SAMPLE = 0.3
 BELOW = int(-(2**63) + SAMPLE * 2**64)
 BANDS, ROWS, ROUNDS = 8, 3, 2
+#: Nodes a prefix shingle may have before its nodes are compared block by block, and bounds on a block.
+HOT, BLOCK_NODES, BLOCK_TOKENS = 24, 256, 1 << 21
 _U = np.uint64
 
 
@@ -60,14 +65,79 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, np.ndarray,
 def _features(k: int):
     def run(batches):
         for batch in batches:
-            for ids, values, slot, f1, f2 in _sets(batch, k):
-                low = values < BELOW
-                kept = np.concatenate(([0], np.cumsum(low)))[slot]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(slot)), pa.array(f1), pa.array(f2), bt.lists(values[low], kept)], ["doc", "n", "node", "twin", "sample"])
+            for ids, _, slot, f1, f2 in _sets(batch, k):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(slot)), pa.array(f1), pa.array(f2)], ["doc", "n", "node", "twin"])
 
     return run
 
 
+def _classes(largest: int, num: int, den: int) -> list[int]:
+    """First size of each class: sets that link stand in the same class or in neighbours."""
+    first = [1]
+    while first[-1] <= largest:
+        first.append(first[-1] * den // num + 1)
+    return [*first, first[-1] * den // num + 1]
+
+
+def _parts(k: int, num: int, den: int):
+    """(part, node): the content of every part of every set, under the classes it may meet others in."""
+
+    def run(batches):
+        for batch in batches:
+            for _, values, slot, f1, _ in _sets(batch, k):
+                size = np.diff(slot)
+                some = np.flatnonzero(size)
+                if not len(some):
+                    continue
+                first = np.array(_classes(int(size.max()), num, den))
+                u = bt.mix(values.view(_U) + _U(0x8CB92BA72F3D8DD7))
+                low, high = (u & _U(0xFFFFFFFF)).astype(np.float64), (u >> _U(32)).astype(np.float64)
+                deal = values.view(_U) >> _U(32)
+                own = np.searchsorted(first, size, "right") - 1
+                for step in (0, 1):
+                    label = np.maximum(own, 0) + step
+                    differ = 2 * (first[np.minimum(label + 1, len(first) - 1)] - 1) * (den - num) // (den + num)
+                    spare = differ // 16 + (differ >= 3)
+                    parts = np.where(size > 0, differ + 1 + spare, 0)
+                    base = np.concatenate(([0], np.cumsum(parts)))
+                    at = np.repeat(base[:-1], size) + (deal * np.repeat(parts, size).astype(_U) >> _U(32)).astype(np.int64)
+                    total = base[-1]
+                    held = np.bincount(at, minlength=total)
+                    key = np.bincount(at, low, total).astype(_U) + (np.bincount(at, high, total).astype(_U) << _U(32))
+                    row = np.repeat(np.arange(len(size)), parts)
+                    place = (np.arange(total) - base[row]).astype(_U)
+                    salt = label.astype(_U)[row] << _U(40)
+                    key = bt.mix(key + bt.mix(salt + (place << _U(8)) + _U(1)))
+                    full = held > 0
+                    # equal parts may all be empty only between sets with more empty parts than there are to spare
+                    bare = np.flatnonzero(np.bincount(row, ~full, len(size)) > spare)
+                    keys = np.concatenate((key[full], bt.mix((label.astype(_U)[bare] << _U(40)) + _U(2))))
+                    nodes = np.concatenate((f1[row[full]], f1[bare]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["part", "node"])
+
+    return run
+
+
+def _shared(batches):
+    """Nodes that have a part in common with another node, from rows sorted by part."""
+    part = node = None
+    told = False
+    for batch in batches:
+        parts, nodes = (np.asarray(batch.column(i)) for i in range(2))
+        if not len(parts):
+            continue
+        if part is not None:  # the row before belongs to the first group of this batch
+            parts, nodes = np.concatenate(([part], parts)), np.concatenate(([node], nodes))
+        begin = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
+        count = np.diff(np.append(begin, len(parts)))
+        many = np.minimum.reduceat(nodes, begin) != np.maximum.reduceat(nodes, begin)
+        if part is not None and told:
+            many[0] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(nodes[np.repeat(many, count)]))], ["node"])
+        told = bool(many[-1])
+        part, node = int(parts[-1]), int(nodes[-1])
+
+
 def _bands(values: np.ndarray, slot: np.ndarray, rounds: int) -> np.ndarray:
     """One key for each row, round and band: the smallest hashes under ROWS functions."""
     rows = len(slot) - 1
@@ -75,7 +145,7 @@ def _bands(values: np.ndarray, slot: np.ndarray, rounds: int) -> np.ndarray:
     full = np.diff(slot) > 0
     u = values.view(_U)
     for b in range(rounds * BANDS):
-        key = np.full(rows, _U(b + 1) * _U(0xA24BAED4963EE407), _U)
+        key = np.full(rows, (b + 1) * 0xA24BAED4963EE407 & (2**64 - 1), _U)
         for r in range(ROWS):
             seed = _U(((b * ROWS + r + 1) * 0x9FB21C651E98DF25) & (2**64 - 1))
             h = (u ^ seed) * _U(0xC2B2AE3D27D4EB4F)
@@ -130,16 +200,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     """
     ws = Workspace(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    feat = ws.save(docs.mapInArrow(_features(words), "doc long, n long, node long, twin long, sample array<long>"), "features")
+    feat = ws.save(docs.mapInArrow(_features(words), "doc long, n long, node long, twin long"), "features")
     live = feat.where("n > 0 AND doc IS NOT NULL")
     spare = f"(n * {den - num} DIV {den})"
 
-    own = (
-        live.select("node", F.explode("sample").alias("token"))
-        .groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("hi"))
-        .where("node = hi").groupBy("node").agg(F.count("*").alias("own"))
-    )
-    nodes = ws.save(live.groupBy("node", "n").agg(F.min("doc").alias("rep")).join(own, "node", "left").select("node", "n", "rep", F.expr(f"coalesce(own, 0L) <= {spare}").alias("open")), "nodes")
+    near = docs.where("doc IS NOT NULL").mapInArrow(_parts(words, num, den), "part long, node long").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared, "node long").distinct()
+    open_ = near.select("node", F.lit(True).alias("open"))
+    nodes = ws.save(live.groupBy("node", "n").agg(F.min("doc").alias("rep")).join(open_, "node", "left").select("node", "n", "rep", F.coalesce("open", F.lit(False)).alias("open")), "nodes")
 
     wanted = nodes.where("open").select(F.col("rep").alias("doc"), "node")
     whole = docs.join(wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(_whole(words), "doc long, n long, node long, tokens array<long>, n_sample long, bands array<long>")
@@ -193,13 +260,18 @@ def _across_groups(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFr
     rows = sets.select("node", "n", "g", F.explode("tokens").alias("token"))
     matrix = ws.save(rows.select("token", "g").distinct(), "matrix")
     held = matrix.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("node").orderBy("df", "token")
-    ranked = rows.join(held, "token").withColumn("place", F.row_number().over(order))
-    prefix = ws.save(ranked.where(f"place <= (n * {den - num} DIV {den}) + 1 AND df > 1").select("node", "n", "g", "token", "place"), "prefix")
-    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "token", F.col("place").alias("pa"))
-    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), "token", F.col("place").alias("pb"))
+    by_node = Window.partitionBy("node")
+    ranked = rows.join(held, "token").withColumns({"place": F.row_number().over(by_node.orderBy("df", "token")), "own": F.sum((F.col("df") == 1).cast("long")).over(by_node)})
+    prefix = ws.save(ranked.where(f"place <= (n * {den - num} DIV {den}) + 1 AND df > 1").select("node", "n", "g", "token", "place", "own"), "prefix")
+    popular = ws.save(prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("lead")).where(F.col("c") > HOT).select("token", "lead"), "popular")
+    family = connected_components(ws, prefix.join(popular, "token").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "family")
+    blocked = _family_links(family, sets, num, den)
+    prefix = prefix.join(popular, "token", "left_anti")
+    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "token", F.col("place").alias("pa"), F.col("own").alias("oa"))
+    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), "token", F.col("place").alias("pb"), F.col("own").alias("ob"))
     sized = f"ga < gb AND least(na, nb) * {den} >= greatest(na, nb) * {num}"
-    placed = f"(least(na - pa, nb - pb) + least(pa, pb)) * {num + den} >= (na + nb) * {num}"
+    # shingles of one group only come first and match nothing, so they count neither before the place nor in the whole
+    placed = f"(least(na - pa, nb - pb) + least(pa - oa, pb - ob)) * {num + den} >= (na + nb) * {num}"
     hits = ws.save(a.join(b, "token").where(sized).where(placed).select("a", "b", "na", "gb").distinct(), "hits")
     asked = hits.select("a", "na", "gb").distinct()
     overlap = (
@@ -210,4 +282,52 @@ def _across_groups(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFr
         .where(f"both * {den} >= na * {num}")
         .select("a", F.col("g").alias("gb"))
     )
-    return ws.save(_linked(hits.join(overlap, ["a", "gb"], "left_semi").select("a", "b"), sets, num, den), "across")
+    return ws.save(_linked(hits.join(overlap, ["a", "gb"], "left_semi").select("a", "b"), sets, num, den).unionByName(blocked), "across")
+
+
+def _family_links(family: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within families, from all pairs of their blocks; members of one group are linked already."""
+    members = sets.join(family, "node").select("node", "n", "g", "tokens", F.col("label").alias("fam"))
+    sizes = members.groupBy("fam").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_NODES}), ceil(sum(n) / {BLOCK_TOKENS})) as int)").alias("blocks"))
+    placed = members.join(sizes, "fam").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "g", "tokens")
+
+    def links(table):
+        node, n, g = (table.column(c).to_numpy() for c in ("node", "n", "g"))
+        listed = table.column("tokens").combine_chunks()
+        token = listed.flatten().to_numpy()
+        row = np.repeat(np.arange(len(node)), n)
+        order = np.argsort(token, kind="stable")
+        token, row = token[order], row[order]
+        new = np.concatenate(([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, bool)
+        column = np.cumsum(new) - 1
+        often = np.bincount(column) if len(token) else np.zeros(0, int)
+        kept = often[column] > 1
+        row, column = row[kept], np.cumsum(np.concatenate(([0], np.diff(column[kept]) > 0)).astype(np.int64)) if kept.any() else column[kept]
+        both = np.zeros((len(node), len(node)), np.float32)
+        width = 4096
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, (lo, lo + width))
+            part = np.zeros((len(node), width), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            both += part @ part.T
+        shared = both.astype(np.int64)
+        whole = n[:, None] + n[None, :]
+        x, y = np.nonzero(np.triu((shared * den >= (whole - shared) * num) & (g[:, None] != g[None, :]), 1))
+        parent = {}
+
+        def root(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        keep = []
+        for k, (p, q) in enumerate(zip(g[x].tolist(), g[y].tolist())):
+            p, q = root(p), root(q)
+            if p != q:
+                parent[p] = q
+                keep.append(k)
+        return pa.table({"a": node[x[keep]], "b": node[y[keep]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return placed.groupBy("fam", "i", "j").applyInArrow(links, "a long, b long")
