@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import ngram_join
+from paperloom.llm import language_id, ngram_join, token_files, toxicity
+from paperloom.llm.workspace import Workspace
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,3 +30,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_ngram_jaccard_join")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+HELD_OUT = "crc32(cast(doc_id AS string)) % {} = {}"
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.expr(HELD_OUT.format(3, 1))
+    model = toxicity.train(docs.where(~held), labels.where(~held))
+    return toxicity.score(spark, docs, model).select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_sentences", "offending"
+    )
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "op6").path("tokens")
+    token_files.write(spark, table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path, digest=True)
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.expr(HELD_OUT.format(4, 2))
+    model = language_id.train(docs.where(~held), "doc_id", "text", "lang")
+    found = language_id.identify(spark, docs, model)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
