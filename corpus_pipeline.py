@@ -1,13 +1,67 @@
-"""The corpus pipeline; its stages follow as their operators land."""
+"""The corpus pipeline: documents in, token ids out, each stage one operator of paperloom.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which run()
+writes as Parquet and reads again as the next stage's docs. All stages but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import decontamination, language_id, mixing, ngram_join, token_files
+from paperloom.llm.workspace import Workspace
+
+#: SQL expresses neither the trained language model nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language the model rejects (no letter, or no language fits)."""
+    model = language_id.train(docs, "doc_id", "text", "lang")
+    kept = tuple(c for c in docs.columns if c != "doc_id")
+    return language_id.identify(spark, docs, model, keep=kept).where(~F.col("rejected")).select(docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near copies: the one of the smallest id."""
+    classes = ngram_join.ngram_jaccard_join(spark, docs, words=5, num=80, den=100)
+    ahead = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(ahead, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which a benchmark passage stands."""
+    return decontamination.clean(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents to the target weights of their sources, in random order."""
+    return mixing.mix(spark, docs).select(docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write Huffman-coded token files, read them back and return a digest of each document."""
+    path = Workspace(spark, "pipeline").path("tokens")
+    token_files.write(spark, docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path, digest=True)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_files", token_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to documents, each on the table the stage before has written."""
+    ws = Workspace(spark, "pipeline-stages")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        docs = ws.save(stage(spark, docs, sf_dir), f"{i}_{name}")
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import language_id, ngram_join, token_files, toxicity
+from paperloom.llm import chat_format, decontamination, language_id, license_scan, line_dedup, mixing, nearest, ngram_join, token_files, toxicity
 from paperloom.llm.workspace import Workspace
 
 QUERIES: dict = {}
@@ -59,3 +59,61 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~held), "doc_id", "text", "lang")
     found = language_id.identify(spark, docs, model)
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op5_mixing",
+    """
+    WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+    rate AS (SELECT source, sum(n) OVER () * pow(n, 0.5) / (sum(pow(n, 0.5)) OVER () * n) AS mean FROM n),
+    cdf AS (SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+            FROM rate, range(0, 400) t(k) WHERE k <= ceil(mean + 12 * sqrt(mean)) + 20),
+    drawn AS (SELECT doc_id, d.source, count(*) FILTER (WHERE c <= (('0x' || substr(md5('0:' || doc_id || ':0'), 1, 13))::BIGINT)::DOUBLE / 4503599627370496) AS times
+              FROM documents d JOIN cdf ON d.source = cdf.source GROUP BY doc_id, d.source)
+    SELECT d.*, copy_no::INT AS copy_no, md5('order-0:' || doc_id || ':' || copy_no) AS shuffle_key
+    FROM documents d JOIN drawn USING (doc_id, source), range(1, 500) t(copy_no) WHERE copy_no <= times
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(spark, table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_chat_format",
+    """
+    SELECT conv_id, turn, role, 0::BIGINT AS n_calls, 0::BIGINT AS n_answered, 0::BIGINT AS n_invalid, false AS orphan,
+           '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}' AS json
+    FROM conversations
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_format(spark, table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op9_nearest",
+    """
+    WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM e q, e c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 5
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(spark, vectors, vectors.where("vec_id % 50 = 0"))
