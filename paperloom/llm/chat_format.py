@@ -26,7 +26,7 @@ SCHEMAS = [
     ("calculate", "precise", "boolean", False),
 ]
 #: How a variant's type shows for each kind.
-_KINDS = {"string": "STRING%", "integer": "BIGINT%", "number": "(BIGINT|DECIMAL|DOUBLE|FLOAT)%", "boolean": "BOOLEAN%", "object": "OBJECT%", "array": "ARRAY%"}
+_KINDS = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY"}
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 
 
@@ -83,7 +83,8 @@ def chat_format(spark: SparkSession, turns: DataFrame, schemas=None) -> DataFram
     rules = spark.createDataFrame(list(schemas if schemas is not None else SCHEMAS), "name string, argument string, kind string, required boolean")
     rules = rules.groupBy("name").agg(F.collect_list(F.struct("argument", "kind", "required")).alias("rules"))
     typed = F.schema_of_variant(F.try_variant_get("arguments", F.concat(F.lit("$['"), "rule.argument", F.lit("']")), "variant"))
-    fits = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in _KINDS.items() for x in (k, "^" + v.replace("%", "")))), "rule.kind"), F.lit("."))
+    kinds = F.create_map(*(F.lit(x) for kind, shown in _KINDS.items() for x in (kind, shown)))
+    fits = F.coalesce(kinds[F.col("rule.kind")], F.lit("."))
     checked = calls.select("conv_id", "h", "place", "name", "arguments").join(rules, "name").select("conv_id", "h", "place", "arguments", F.explode("rules").alias("rule"))
     broken = checked.select("conv_id", "h", "place", F.when(F.coalesce(typed, F.lit("VOID")) == "VOID", F.col("rule.required")).otherwise(~F.regexp_like(typed, fits)).alias("bad")).groupBy("conv_id", "h", "place").agg(F.max("bad").alias("bad"))
 
