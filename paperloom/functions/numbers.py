@@ -30,9 +30,12 @@ def is_numeric_literal(x) -> Column:
     return (body != "") & body.rlike(LITERAL)
 
 
+def has_currency(x) -> Column:
+    return F.coalesce(col(x), F.lit("")).rlike(rf"[$€£¥]|{CODE}")
+
+
 def looks_like_money(x) -> Column:
-    mark = F.coalesce(col(x), F.lit("")).rlike(rf"[$€£¥]|{CODE}")
-    return mark & is_numeric_literal(x)
+    return has_currency(x) & is_numeric_literal(x)
 
 
 def looks_like_percent(x) -> Column:
@@ -53,10 +56,19 @@ def bare_number(x) -> Column:
     return F.regexp_replace(cut, WIDE + r"[^\d.,'\s -]+$", "")
 
 
+def cleaned(x) -> Column:
+    """What the parsers read; worth a column of its own where a cell is read more than once."""
+    return F.regexp_replace(bare_number(x), WIDE + r"^\s+|\s+$", "")
+
+
 def parse(x, label: str) -> Column:
     """Value of a cell in one format, as an exact decimal; null if it doesn't fit."""
+    return parse_cleaned(cleaned(x), label)
+
+
+def parse_cleaned(bare, label: str) -> Column:
     thousands, decimal = next((t, d) for name, t, d in FORMATS if name == label)
-    bare = F.regexp_replace(bare_number(x), WIDE + r"^\s+|\s+$", "")
+    bare = col(bare)
     fits = bare.rlike(r"\d") & bare.rlike(NUMBER_CHARS)
     negative = bare.startswith("-")
     body = F.regexp_replace(bare, r"^[+-]+", "")
@@ -74,7 +86,11 @@ def parse(x, label: str) -> Column:
 
 def repair(x) -> Column:
     """Value of a number whose separators were misread: `1.400.66` is 1400.66; null if its groups don't allow it."""
-    bare = F.regexp_replace(bare_number(x), WIDE + r"^\s+|\s+$", "")
+    return repair_cleaned(cleaned(x))
+
+
+def repair_cleaned(bare) -> Column:
+    bare = col(bare)
     negative = bare.startswith("-")
     groups = F.split(F.regexp_replace(F.regexp_replace(bare, r"^[+-]+", ""), WIDE + r"[.,'\s ]+", " "), " ")
     n = F.size(groups)
@@ -97,9 +113,9 @@ def boolean(x) -> Column:
     return F.when(t.isin("yes", "true", "y"), F.lit(True)).when(t.isin("no", "false", "n"), F.lit(False))
 
 
-def parse_in(x, label) -> Column:
-    """Value in the format named by a column."""
+def parse_in(bare, label) -> Column:
+    """Value of a cleaned cell in the format named by a column."""
     out = F.when(F.lit(False), F.lit(None).cast(DECIMAL))
     for name, _, _ in FORMATS:
-        out = out.when(col(label) == name, parse(x, name))
+        out = out.when(col(label) == name, parse_cleaned(bare, name))
     return out
