@@ -83,7 +83,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
-@query("op10_license_scan")
+def _license_sql() -> str:
+    """The scan in plain SQL: every line against every template, every place against every phrase."""
+    words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    templates = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in license_scan.TEMPLATES)
+    phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES.items())
+    return f"""
+    WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, {words.format("lower(coalesce(text, ''))")} AS w FROM documents),
+    b AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS place FROM d, (VALUES {phrases}) x(label, p)),
+    base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS base FROM b GROUP BY 1),
+    l AS (SELECT doc_id, list_distinct({words.format("unnest(string_split(t, chr(10)))")}) AS lw FROM d),
+    m AS (SELECT doc_id, label, len(list_intersect(lw, t)) / len(t)::DOUBLE AS share FROM l, (VALUES {templates}) x(label, t) WHERE len(list_intersect(lw, t)) * 10 >= len(t) * 8),
+    more AS (SELECT doc_id, list_distinct(list(label)) AS more, max(share) AS share FROM m GROUP BY 1)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ','), '') AS labels, greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(share, 0.0))::DOUBLE AS score
+    FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+    """
+
+
+@query("op10_license_scan", _license_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(spark, table(spark, sf_dir, "documents"))
 
