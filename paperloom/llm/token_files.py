@@ -33,9 +33,9 @@ from paperloom.llm.workspace import Workspace
 MAX_BITS = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
-#: Words whose ids a worker remembers; beyond it the memory starts afresh.
+#: Words in one generation of a worker's memory.
 REMEMBER = 300_000
-_ROWS = 512
+_ROWS = 256
 _BLOCK = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
 
@@ -126,36 +126,94 @@ def unpack(payload: bytes, marks: np.ndarray, n: int, table) -> np.ndarray:
     return out.ravel()[:n]
 
 
-def _encode(path: str, end_id: int):
-    def run(batches):
+class WordIds:
+    """Ids of words as bytes, from the tokenizer or from memory.
+
+    Words stand between spaces and are encoded alone: no token, merge or
+    normalisation of the model reaches over white space. A word of letters or
+    digits below U+0130 with full stops or commas behind has the ids of both parts,
+    and those of its lower case. Words of letters only make one
+    piece each, which the mark at the end of its last token shows, so they are
+    encoded many at a time. The memory has two generations of REMEMBER words.
+    """
+
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        size = max(model.get_vocab_size(with_added_tokens=True), end_id + 1)
-        kind = np.uint16 if size <= 1 << 16 else np.uint32
-        known: dict[str, bytes] = {"": b""}
-        end = np.array([end_id], kind).tobytes()
-        counts = np.zeros(size, np.int64)
+        self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
+        self.size = max(self.model.get_vocab_size(with_added_tokens=True), end_id + 1)
+        self.kind = np.dtype(np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.suffix = getattr(self.model.model, "end_of_word_suffix", None)
+        self.closes = np.zeros(self.size, bool)
+        lowers = "Lowercase" in str(self.model.normalizer)
+        self.simple = bool(self.suffix) and lowers
+        if self.simple:
+            self.closes[[i for t, i in self.model.get_vocab().items() if t.endswith(self.suffix)]] = True
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _base(self, word: str) -> str:
+        bare = word.rstrip(".,")
+        return bare.lower() if bare.isalnum() and max(bare) < "\u0130" else word
+
+    def learn(self, words: set[str]) -> None:
+        """Make sure that look-ups of these words succeed."""
+        if len(self.new) + len(words) > REMEMBER:
+            self.old, self.new = self.new, {"": b""}
+        new, old = self.new, self.old
+        ask: dict[str, None] = {}
+        made: list[tuple[str, str, str]] = []
+        for w in words:
+            if w in old:
+                new[w] = old[w]
+                continue
+            base = self._base(w) if self.simple else w
+            tail = w[len(base) :]
+            if tail or base != w:
+                made.append((w, base, tail))
+            for x in (base, tail) if tail else (base,):
+                if x not in new:
+                    if x in old:
+                        new[x] = old[x]
+                    else:
+                        ask[x] = None
+        letters = [x for x in ask if x.isalpha()] if self.simple else []
+        done = set()
+        for lo in range(0, len(letters), 1024):
+            part = letters[lo : lo + 1024]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                raw, width = ids.tobytes(), self.kind.itemsize
+                for x, a, b in zip(part, [0, *ends], ends):
+                    new[x] = raw[a * width : b * width]
+                done.update(part)
+        rest = [x for x in ask if x not in done]
+        for x, e in zip(rest, self.model.encode_batch(rest, add_special_tokens=False)):
+            new[x] = np.array(e.ids, self.kind).tobytes()
+        for w, base, tail in made:
+            new[w] = new[base] + new[tail]
+
+
+def _encode(path: str, end_id: int):
+    def run(batches):
+        memory = WordIds(path, end_id)
+        width = memory.kind.itemsize
+        end = np.array([end_id], memory.kind).tobytes()
+        counts = np.zeros(memory.size, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS):
-                texts = batch.column(1).slice(lo, _ROWS).to_pylist()
-                # words between spaces are encoded alone: no token, merge or normalisation reaches over white space
-                split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-                fresh = {w for s in split for w in s if w not in known}
-                if len(known) + len(fresh) > REMEMBER:
-                    known = {"": b""}
-                    fresh = {w for s in split for w in s if w}
-                if fresh:
-                    new = list(fresh)
-                    for w, e in zip(new, model.encode_batch(new, add_special_tokens=False)):
-                        known[w] = np.array(e.ids, kind).tobytes()
-                look = known.__getitem__
+                split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch.column(1).slice(lo, _ROWS).to_pylist()]
+                words: set[str] = set().union(*split)
+                words.difference_update(memory.new)
+                if words:
+                    memory.learn(words if len(memory.new) + len(words) <= REMEMBER else set().union(*split))
+                look = memory.new.__getitem__
                 ids = [b"".join(map(look, s)) + end for s in split]
-                counts += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
-                width = np.dtype(kind).itemsize
+                counts += np.bincount(np.frombuffer(b"".join(ids), memory.kind), minlength=memory.size)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, _ROWS), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
                     ["doc_id", "n", "ids", "counts"],

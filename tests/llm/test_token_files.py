@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from paperloom.llm import token_files as tf
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello world, it's 2024!", "", None, " \n\t\r ", "<|endoftext|> é́  x y Ⅷ ﬁ İstanbul", "naïve " * 5000, "x" * 70_000, "a\x1cb ́combining", "Hello world, it's 2024!", "日本語のテキスト 한국어"]
+TEXTS = ["Hello world, it's 2024!", "", None, " \n\t\r ", "<|endoftext|> é́  x y Ⅷ ﬁ İstanbul", "naïve " * 5000, "x" * 70_000, "a\x1cb ́combining", "Hello world, it's 2024!", "日本語のテキスト 한국어", "İ. A.b,, c... (x). 3.14, é. ΣΑΣ. क़. don't. x's, 日本。 ½, ²2. é. ß. ẞ. ſs. <|ENDOFTEXT|> <|endoftext|>. .,"]
 
 
 def expected(rows):
