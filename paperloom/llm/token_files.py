@@ -34,7 +34,7 @@ MAX_BITS = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
 #: Words in one generation of a worker's memory.
-REMEMBER = 300_000
+REMEMBER = 500_000
 _ROWS = 256
 _BLOCK = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
@@ -154,48 +154,59 @@ class WordIds:
             self.closes[[i for t, i in self.model.get_vocab().items() if t.endswith(self.suffix)]] = True
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
-    def _base(self, word: str) -> str:
-        bare = word.rstrip(".,")
-        return bare.lower() if bare.isalnum() and max(bare) < "\u0130" else word
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch(words, add_special_tokens=False)]
+
+    def _tail(self, marks: str) -> bytes:
+        found = self.tails.get(marks)
+        if found is None:
+            if len(self.tails) > 1000:
+                self.tails = {"": b""}
+            found = self.tails[marks] = self._encoded([marks])[0]
+        return found
 
     def learn(self, words: set[str]) -> None:
         """Make sure that look-ups of these words succeed."""
         if len(self.new) + len(words) > REMEMBER:
             self.old, self.new = self.new, {"": b""}
-        new, old = self.new, self.old
-        ask: dict[str, None] = {}
-        made: list[tuple[str, str, str]] = []
-        for w in words:
-            if w in old:
-                new[w] = old[w]
-                continue
-            base = self._base(w) if self.simple else w
-            tail = w[len(base) :]
-            if tail or base != w:
-                made.append((w, base, tail))
-            for x in (base, tail) if tail else (base,):
-                if x not in new:
-                    if x in old:
-                        new[x] = old[x]
-                    else:
-                        ask[x] = None
-        letters = [x for x in ask if x.isalpha()] if self.simple else []
-        done = set()
+        new, old, width = self.new, self.old, self.kind.itemsize
+        back = {w for w in words if w in old}
+        new.update((w, old[w]) for w in back)
+        asked: dict[str, list[str]] = {}
+        whole = []
+        for w in words - back:
+            bare = w.rstrip(".,")
+            if self.simple and bare.isalnum() and (bare.isascii() or max(bare) < "\u0130"):
+                base = bare.lower()
+                ids = new.get(base) or old.get(base)
+                if ids is not None:
+                    new[w] = ids if len(bare) == len(w) else ids + self._tail(w[len(bare) :])
+                elif base in asked:
+                    asked[base].append(w)
+                else:
+                    asked[base] = [w]
+            else:
+                whole.append(w)
+        letters = [x for x in asked if x.isalpha()]
+        found: dict[str, bytes] = {}
         for lo in range(0, len(letters), 1024):
             part = letters[lo : lo + 1024]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * width
             if len(ends) == len(part):
-                raw, width = ids.tobytes(), self.kind.itemsize
-                for x, a, b in zip(part, [0, *ends], ends):
-                    new[x] = raw[a * width : b * width]
-                done.update(part)
-        rest = [x for x in ask if x not in done]
-        for x, e in zip(rest, self.model.encode_batch(rest, add_special_tokens=False)):
-            new[x] = np.array(e.ids, self.kind).tobytes()
-        for w, base, tail in made:
-            new[w] = new[base] + new[tail]
+                raw, ends = ids.tobytes(), ends.tolist()
+                found.update((x, raw[a:b]) for x, a, b in zip(part, [0, *ends], ends))
+        rest = [x for x in asked if x not in found]
+        found.update(zip(rest, self._encoded(rest)))
+        new.update(found)
+        for base, forms in asked.items():
+            ids = found[base]
+            for w in forms:
+                size = len(w.rstrip(".,"))
+                new[w] = ids if size == len(w) else ids + self._tail(w[size:])
+        new.update(zip(whole, self._encoded(whole)))
 
 
 def _encode(path: str, end_id: int):
@@ -207,8 +218,7 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS):
                 split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch.column(1).slice(lo, _ROWS).to_pylist()]
-                words: set[str] = set().union(*split)
-                words.difference_update(memory.new)
+                words = set().union(*split).difference(memory.new)
                 if words:
                     memory.learn(words if len(memory.new) + len(words) <= REMEMBER else set().union(*split))
                 look = memory.new.__getitem__
