@@ -95,11 +95,16 @@ def fit(texts: list[str], langs: list[str], keys: list[int]) -> Model | None:
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_ROWS) -> Model | None:
     """Fit on at most max_rows rows of docs with a language, as many of each; which ones follows from a hash of the id."""
     known = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    n = known.select("lang").distinct().limit(max_rows + 1).count()
-    if not n:
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
+    if not counts:
         return None
+    share = max(1, max_rows // len(counts))
+    # only the smallest keys of a frequent language can be chosen, so the others don't reach the window
+    bound = [(r.lang, min(2**63 - 1, int(-(2**63) + min(1.0, 4 * share / r.n) * 2**64))) for r in counts]
+    bound = F.broadcast(known.sparkSession.createDataFrame(bound, "lang string, bound long"))  # max_rows rows at most
     order = Window.partitionBy("lang").orderBy("key", "doc")
-    chosen = known.select("doc", "lang", F.xxhash64("doc").alias("key")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, max_rows // n))
+    keyed = known.select("doc", "lang", F.xxhash64("doc").alias("key")).join(bound, "lang").where("key <= bound")
+    chosen = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share)
     chosen = chosen.select("doc", "key").distinct().orderBy("key").limit(max_rows)
     rows = known.join(chosen, "doc").select("key", "lang", "text").dropDuplicates(["key", "lang"]).orderBy("key").limit(max_rows).collect()
     return fit([r.text for r in rows], [r.lang for r in rows], [r.key for r in rows])
