@@ -166,9 +166,9 @@ def detect_currency(spark, sf_dir):
     return cells.select("l_orderkey", "l_linenumber", nb.currency("raw").alias("currency"), nb.looks_like_money("raw").alias("money"), nb.is_numeric_literal("raw").alias("numeric"), nb.looks_like_percent("raw").alias("percent"))
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS value FROM orders")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'true' WHEN 'F' THEN 'false' END AS value FROM orders")
 def boolean_cast(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", nb.boolean(F.expr("CASE o_orderstatus WHEN 'O' THEN ' Yes' WHEN 'F' THEN 'FALSE' ELSE 'maybe' END")).alias("value"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", nb.boolean(F.expr("CASE o_orderstatus WHEN 'O' THEN ' Yes' WHEN 'F' THEN 'FALSE' ELSE 'maybe' END")).cast("string").alias("value"))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'eu' WHEN 'es' THEN 'eu' WHEN 'it' THEN 'eu' WHEN 'nl' THEN 'eu' WHEN 'pt' THEN 'eu' WHEN 'fr' THEN 'fr' END AS locale FROM documents")
