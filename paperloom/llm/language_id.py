@@ -28,7 +28,7 @@ MAX_ROWS = 6000
 ORDERS = (3, 4)
 BITS, DIMENSIONS, EPOCHS, RATE = 16, 12, 6, 0.5
 #: Of the right calibration documents, the share that the rejection must keep, and the confidence that always suffices.
-KEEP, ENOUGH = 0.999, 0.4
+KEEP, ENOUGH = 0.999, 0.3
 UNKNOWN = "und"
 
 
