@@ -2,6 +2,7 @@
 
 A line is dropped when an earlier line (by document, then line number) is equal
 to it or within one edit (insertion, deletion or substitution of a character).
+Equal lines may be shorter than those that one edit is looked for in.
 
 1. One scan hashes all lines; a line's earliest place is a minimum by hash.
 2. One edit touches one quarter of a line, so lines within one edit agree in
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import bytetext as bt
 from paperloom.llm.workspace import Workspace
 
-#: Characters from which a line is compared.
+#: Characters from which one edit is looked for in a line.
 MIN_CHARS = 12
 #: log2 of the bits in the bitmap of open lines.
 BITMAP = 24
@@ -233,18 +234,19 @@ def _within_one_edit(ws: Workspace, docs: DataFrame, first: DataFrame, least: in
     return gone
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_kept, text) for every row of docs whose text is not null, with the lines that stay.
 
     A line goes when an earlier line, by (doc_id, line number), is equal to it or
-    within one edit, whether or not that line itself stays. Lines of fewer than
-    min_chars characters always stay. Rows with the same id are one sequence of
+    within one edit, whether or not that line itself stays. One edit counts between
+    lines of min_chars characters or more, equality from equal_chars on (min_chars
+    where that is None); shorter lines always stay. Rows with the same id are one sequence of
     places each, told apart by their text: of equal places the first occurrence
     stays in all of them. Rows without id come last. Other columns are not read.
     """
     ws = Workspace(spark, "line-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    lines = docs.mapInArrow(_places(min_chars), "doc_id long, line_no int, line_id long")
+    lines = docs.mapInArrow(_places(min_chars if equal_chars is None else equal_chars), "doc_id long, line_no int, line_id long")
     # places compare as strings: doc_id with its sign turned, then line number, both with leading zeros
     place = F.concat(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lpad(F.hex("line_no"), 8, "0"))
     lines = ws.save(lines.withColumn("place", F.coalesce(place, F.lit("f" * 24))), "lines")

@@ -108,7 +108,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(spark, table(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(spark, table(spark, sf_dir, "documents"), equal_chars=1)
 
 
 @query(

@@ -50,3 +50,13 @@ def test_same_as_brute_force(spark):
 
 def test_empty_table(spark):
     assert line_dedup(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_equal_lines_of_every_length_go(spark, tmp_path):
+    from paperloom.llm import registry
+
+    rows = [(1, "Les.\n今日はよい天気です。\n\na\nown line of the document"), (2, "Les.\nLes!\n\n今日はよい天気です。\na\nown line of the documents"), (3, "a\n\nLes.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_kept, r.text) for r in registry.op2(spark, str(tmp_path)).collect()}
+    # empty lines stay; one edit is for lines of 12 characters and more, so "Les!" stays
+    assert got == {1: (5, 5, rows[0][1]), 2: (6, 2, "Les!\n"), 3: (3, 1, "")}
