@@ -1,13 +1,17 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document; its words are runs of ASCII letters and digits
+A block is a line of a document or, across line breaks, a window of so many
+words in a row that a template fits in with as many others as THRESHOLD lets it
+miss (its length over THRESHOLD); its words are runs of ASCII letters and digits
 and of characters beyond ASCII, A-Z lower-cased. A block meets a template when
 it holds at least THRESHOLD of the template's distinct words. Words are ordered
 by their number of documents in the whole corpus, rarest first: a block that
 meets a template has one of the template's first |T| - need + 1 words (prefix),
 has at least `need` words that templates know (length), and the places of a
 common word in both orders leave room for `need` common words (position). What
-passes is counted exactly. Only built-in functions run.
+passes is counted exactly. Windows are those around a word of the prefix, in two
+steps: the words around it that any window could hold (length), then each window.
+Only built-in functions run.
 
 Besides, the places of a few fixed phrases are counted.
 """
@@ -63,13 +67,30 @@ def _phrase(spaced, phrase: str):
     return places, first, last
 
 
-def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _windows(texts: DataFrame, table: DataFrame, openers: list[str], widest: int) -> DataFrame:
+    """(doc_id, h, label, words, both) of windows of texts(doc_id, h, maybe) that meet a template, the best around each word of its prefix."""
+    reach = widest - 1
+    around = lambda x, i: F.struct(x.alias("word"), F.least(i, F.lit(reach)).alias("ahead"), F.slice("all", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near"))
+    rows = texts.select("doc_id", "h", F.filter(F.split(F.lower("maybe"), GAP), lambda x: x != "").alias("all"))
+    places = rows.select("doc_id", "h", F.explode(F.filter(F.transform("all", lambda x, i: F.when(x.isin(openers), around(x, i))), lambda s: s.isNotNull())).alias("s")).select("doc_id", "h", "s.*")
+    return (
+        places.join(F.broadcast(table), "word")  # the templates' prefixes: a fixed table
+        .withColumn("near", F.expr("slice(near, greatest(ahead - width + 1, 0) + 1, least(ahead, width - 1) + width)"))
+        .where("size(array_intersect(words, near)) >= need")
+        .withColumn("both", F.expr("array_max(transform(sequence(1, greatest(size(near) - width, 0) + 1), i -> size(array_intersect(words, slice(near, i, width)))))"))
+        .where("both >= need")
+        .select("doc_id", "h", "label", "words", "both")
+    )
+
+
+def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, across: bool = False) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
     n_base, first_word and last_word are about the phrases; labels joins those
     of phrases and templates; score is the largest share of a template's words
     that a block holds, among those that meet the threshold, 1 where a phrase
-    stands and 0 without either. Null and empty texts have no words. Rows with
+    stands and 0 without either. Blocks are lines and, with across, the windows
+    across line breaks too. Null and empty texts have no words. Rows with
     the same id are told apart by their text; other columns are not read.
     """
     ws = Workspace(spark, "license-scan")
@@ -84,8 +105,9 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     for number, (label, text) in enumerate(TEMPLATES):
         words = sorted(set(text.split()), key=rank.get)
         need = max(1, -(-round(threshold * 1000) * len(words) // 1000))
-        entries += [(w, number, label, i, need, words) for i, w in enumerate(words[: len(words) - need + 1])]
-    table = spark.createDataFrame(entries, "word string, template int, label string, place int, need int, words array<string>")
+        width = -(-1000 * len(text.split()) // max(1, round(threshold * 1000)))
+        entries += [(w, number, label, i, need, words, width) for i, w in enumerate(words[: len(words) - need + 1])]
+    table = spark.createDataFrame(entries, "word string, template int, label string, place int, need int, words array<string>, width int")
     openers = sorted({e[0] for e in entries})
 
     spaced = rows.select("doc_id", F.xxhash64("text").alias("h"), "text", _spaced(F.col("text")).alias("spaced"))
@@ -113,8 +135,11 @@ def license_scan(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
         .where("least(place, at) + 1 + least(size(words) - 1 - place, size(block) - 1 - at) >= need")
         .withColumn("both", F.size(F.array_intersect("words", "block")))
         .where("both >= need")
-        .groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max(F.col("both") / F.size("words")).alias("share"))
+        .select("doc_id", "h", "label", "words", "both")
     )
+    if across:
+        met = met.unionByName(_windows(base.where("maybe IS NOT NULL"), table, openers, max(e[6] for e in entries)))
+    met = met.groupBy("doc_id", "h").agg(F.collect_set("label").alias("more"), F.max(F.col("both") / F.size("words")).alias("share"))
     wide = base.drop("maybe").alias("b").join(met.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.h") == F.col("m.h")), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.expr("array()").cast("array<string>"))))
     return wide.select(

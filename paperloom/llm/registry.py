@@ -103,7 +103,7 @@ def _license_sql() -> str:
 
 @query("op10_license_scan", _license_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(spark, table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(spark, table(spark, sf_dir, "documents"), across=True)
 
 
 @query("op2_line_dedup")
