@@ -124,10 +124,10 @@ def repeating_furniture(spark, sf_dir):
     """
 )
 def furniture_spans(spark, sf_dir):
-    """Two spans a page, a piece of furniture that starts in the first."""
-    docs = table(spark, sf_dir, "documents")
-    spans = docs.select("doc_id", F.lit(1).alias("page"), F.explode(F.expr("array(named_struct('seq', 0, 'offset', 0, 'length', 20), named_struct('seq', 1, 'offset', 20, 'length', 20))")).alias("s")).select("doc_id", "page", "s.*")
-    noise = docs.selectExpr("doc_id", "4 AS offset", "3 AS length")
+    """Three spans that cover the page, a piece of furniture that starts in the middle of each."""
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.length("text"))
+    spans = docs.select("doc_id", F.lit(1).alias("page"), F.explode(F.expr("transform(sequence(0, 2), i -> named_struct('seq', i, 'offset', i * int(n DIV 3), 'length', if(i < 2, int(n DIV 3), n)))")).alias("s")).select("doc_id", "page", "s.*")
+    noise = docs.select("doc_id", F.explode(F.expr("transform(sequence(0, 2), i -> i * int(n DIV 3) + int(n DIV 6))")).alias("offset"), F.lit(3).alias("length"))
     return readings.without_furniture(spans, noise, docs.selectExpr("doc_id", "text AS content")).select("doc_id", "text")
 
 
