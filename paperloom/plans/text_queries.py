@@ -208,8 +208,8 @@ def number_signatures(spark, sf_dir):
 def header_similarity(spark, sf_dir):
     from pyspark.sql import Window
 
-    clean = F.regexp_replace("text", "[^a-zA-Z ]", "")
-    row = F.array(F.substring(clean, 1, 20), F.substring(clean, 21, 20))
+    # four cells of a quarter each, which together hold the whole text
+    row = F.expr("transform(sequence(0, 3), i -> substring(text, int(i * length(text) DIV 4) + 1, int((i + 1) * length(text) DIV 4) - int(i * length(text) DIV 4)))")
     order = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(row, lambda x: F.regexp_replace(x, " +", " ")).alias("row"), F.lag(row).over(order).alias("before"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", row.alias("row"), F.lag(row).over(order).alias("before"))
     return turns.where("before IS NOT NULL").select("conv_id", "turn", F.round(tx.row_similarity("before", "row"), 6).alias("similarity"))
