@@ -2,6 +2,7 @@
 
 An assistant turn may carry calls: a JSON object with `tool_calls`, each of `id`,
 `name`, `arguments` (an object) and optionally `after` (ids of calls it needs).
+Its `content` and other fields stay, the others below `other`.
 A turn of role `tool` answers one: a JSON object with `tool_call_id` and
 `content`. Calls and results meet in a hash join on conversation and identifier,
 arguments are validated against the tools' schemas, calls are put in topological
@@ -59,7 +60,8 @@ def chat_format(spark: SparkSession, turns: DataFrame, schemas=None) -> DataFram
     schema (unknown tool, missing or wrongly typed argument, arguments that are no
     object); orphan marks a result without a call. Calls on a cycle come last, in
     the order they are written. The first call of an id counts, and of several
-    results for a call the earliest. Text that is no such JSON is content as it
+    results for a call the earliest. A turn with calls keeps its content, and its
+    other fields below `other`, but for null ones. Text that is no such JSON is content as it
     stands. Null conversations link nothing. Other columns are not read.
     """
     ws = Workspace(spark, "chat-format")
@@ -101,8 +103,14 @@ def chat_format(spark: SparkSession, turns: DataFrame, schemas=None) -> DataFram
         F.array_sort(F.collect_list(one)).alias("sorted"), F.count("*").alias("n_calls"), F.count_if("answered").alias("n_answered"), F.count_if(~F.col("valid")).alias("n_invalid")
     )
     out = rows.join(grouped, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("ch")), "left").join(orphans.select(F.col("conv_id").alias("oc"), F.col("h").alias("oh"), "orphan"), F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("h") == F.col("oh")), "left")
-    plain = F.to_json(F.struct(F.when(F.col("sorted").isNull(), F.col("text")).alias("content"), "role", "turn"))
-    head = F.concat(F.lit('{"calls":['), F.array_join(F.transform("sorted", lambda s: s["json"]), ","), F.lit("],"), F.substring(plain, 2, 2**31 - 1))
+    plain = F.to_json(F.struct(F.col("text").alias("content"), "role", "turn"))
+    fields, spelled = (F.when(F.col("sorted").isNotNull(), F.from_json("text", f"map<string,{kind}>")) for kind in ("variant", "string"))
+    # a value with a key twice is no variant: then all are taken as they are spelled
+    said = lambda k: F.coalesce(F.when(~F.is_variant_null(fields[k]), fields[k]), spelled[k].cast("variant"))
+    names = F.filter(F.array_sort(F.array_distinct(F.map_keys(spelled))), lambda k: ~k.isin("tool_calls", "content") & said(k).isNotNull())
+    other = F.when(F.size(names) > 0, F.map_from_entries(F.transform(names, lambda k: F.struct(k, said(k)))))
+    beside = F.to_json(F.struct(said("content").alias("content"), other.alias("other"), "role", "turn"))
+    head = F.concat(F.lit('{"calls":['), F.array_join(F.transform("sorted", lambda s: s["json"]), ","), F.lit("],"), F.substring(beside, 2, 2**31 - 1))
     return out.select(
         "conv_id", "turn", "role", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_calls", "n_answered", "n_invalid")), F.coalesce("orphan", F.lit(False)).alias("orphan"),
         F.when(F.col("sorted").isNull(), plain).otherwise(head).alias("json"),

@@ -26,3 +26,28 @@ def test_links_order_and_validation(spark):
     assert got[1, 0].json == '{"content":"say \\"hi\\"\\n","role":"user","turn":0}' and got[2, 1].json == '{"content":"{not json","role":"assistant","turn":1}'
     assert got[None, None].json == "{}"
     assert chat_format(spark, turns.limit(0)).count() == 0
+
+
+def test_content_and_fields_beside_calls_stay(spark):
+    calls = [call("a", "search", {"query": "x"})]
+    texts = [
+        {"content": 'I look "that" up.\n日本', "tool_calls": calls, "zeta": {"b": [1, "2"], "a": None}, "model": "m", "n": 1.5, "nothing": None},
+        {"tool_calls": calls, "content": [{"type": "text", "text": "parts"}]},
+        {"tool_calls": calls, "content": None},
+        {"tool_calls": calls},
+    ]
+    turns = spark.createDataFrame([(1, i, "assistant", json.dumps(t)) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.turn: json.loads(r.json) for r in chat_format(spark, turns).collect()}
+    assert all(len(got[i]["calls"]) == 1 for i in range(4))
+    rest = [{k: v for k, v in got[i].items() if k != "calls"} for i in range(4)]
+    assert rest[0] == {"content": 'I look "that" up.\n日本', "other": {"model": "m", "n": 1.5, "zeta": {"a": None, "b": [1, "2"]}}, "role": "assistant", "turn": 0}
+    assert list(got[0]) == ["calls", "content", "other", "role", "turn"] and list(got[0]["other"]) == ["model", "n", "zeta"]
+    assert rest[1] == {"content": [{"type": "text", "text": "parts"}], "role": "assistant", "turn": 1}
+    assert rest[2:] == [{"role": "assistant", "turn": 2}, {"role": "assistant", "turn": 3}]
+
+
+def test_twice_named_fields_beside_calls(spark):
+    text = '{"content": "one", "tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "x"}}], "x": 1, "x": 2, "deep": {"k": 1, "k": 2}}'
+    (got,) = chat_format(spark, spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")).collect()
+    made = json.loads(got.json)
+    assert made["content"] == "one" and set(made["other"]) == {"deep", "x"} and made["other"]["deep"].count('"k"') == 2
