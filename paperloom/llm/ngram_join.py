@@ -4,28 +4,29 @@ Documents that resemble each other are put into groups, each group keeps the
 union of its members' shingles as rows (shingle, group), and a document looks
 only into groups whose union holds enough of its shingles.
 
-1. One scan gives every document the size and a fingerprint of its shingle set.
-   Equal sets are one node from here on.
+1. One scan gives every document the size and two fingerprints of its shingle
+   set. Equal sets are one node from here on.
 2. Sets that link differ in at most d shingles, a number that follows from their
    sizes. Shingles are dealt by hash to more than d parts, so two sets that link
    have a part that is equal and not empty. Nodes none of whose parts occurs in
-   another node are done; what stays is hardly more than real near copies.
-3. The others get their whole sets and are grouped: minhash bands propose one
-   leader a bucket, exact Jaccard confirms, components of confirmed links are
-   the groups. Two rounds with bands of different seeds.
+   another node are done; what stays is hardly more than real near copies. A
+   task emits the parts of equal sets once.
+3. The others get their whole sets and are grouped: minhash bands propose to each
+   node the leader that it shares most bands with, exact Jaccard confirms, and
+   components of confirmed links are the groups.
 4. A node with too many shingles that no *other* group holds has no partner
    outside its group and retires, first by a sample of shingles (those below a
    fixed hash value, so the bound holds), then by whole sets.
-5. What remains orders its shingles by the number of groups that hold them and
-   joins its prefix with the other groups' prefixes; the overlap with the
-   group's union must reach the bound before its members are opened, and exact
-   Jaccard decides. Prefix, length and positional filters lose no link. Prefix
-   shingles held by more than HOT nodes are not joined in pairs: the nodes that
-   such shingles connect are a family, cut into blocks; every two blocks of a
-   family meet in one task, which keeps only links that connect something new.
+5. For the rest the matrix (shingle, group) finds the candidates: shingles are
+   ordered by the number of groups that hold them, a node's prefix meets the
+   prefixes of other groups, with the sizes their members have, and the overlap
+   of the node with the group's union is counted. Only groups whose overlap
+   reaches the bound are opened: their members are compared one by one. Of two
+   groups the members of the smaller ask, and as members of a group are linked
+   already, a large group of near copies costs one question of each stray node.
 
 Every comparison that decides a link is exact on 64-bit shingle hashes; the
-minhash bands only save work.
+minhash bands only save work, and prefix, length and overlap bounds lose no link.
 """
 
 from __future__ import annotations
@@ -45,8 +46,6 @@ from paperloom.llm.workspace import Workspace
 SAMPLE = 0.3
 BELOW = int(-(2**63) + SAMPLE * 2**64)
 BANDS, ROWS, ROUNDS = 8, 3, 2
-#: Nodes a prefix shingle may have before its nodes are compared block by block, and bounds on a block.
-HOT, BLOCK_NODES, BLOCK_TOKENS = 24, 256, 1 << 21
 _U = np.uint64
 
 
@@ -65,8 +64,10 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.Array, np.ndarray,
 def _features(k: int):
     def run(batches):
         for batch in batches:
+            lo = 0
             for ids, _, slot, f1, f2 in _sets(batch, k):
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(slot)), pa.array(f1), pa.array(f2)], ["doc", "n", "node", "twin"])
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(lo, len(ids)), pa.array(np.diff(slot)), pa.array(f1), pa.array(f2)], ["doc", "row", "n", "node", "twin"])
+                lo += len(ids)
 
     return run
 
@@ -83,11 +84,16 @@ def _parts(k: int, num: int, den: int):
     """(part, node): the content of every part of every set, under the classes it may meet others in."""
 
     def run(batches):
+        told: set[int] = set()  # nodes of this task: as many as its rows at most
         for batch in batches:
             for _, values, slot, f1, _ in _sets(batch, k):
-                size = np.diff(slot)
-                some = np.flatnonzero(size)
-                if not len(some):
+                fresh = np.zeros(len(f1), bool)
+                for i, node in enumerate(f1.tolist()):
+                    fresh[i] = node not in told
+                    told.add(node)
+                values, size = values[np.repeat(fresh, np.diff(slot))], np.diff(slot)[fresh]
+                f1 = f1[fresh]
+                if not size.any():
                     continue
                 first = np.array(_classes(int(size.max()), num, den))
                 u = bt.mix(values.view(_U) + _U(0x8CB92BA72F3D8DD7))
@@ -159,32 +165,170 @@ def _bands(values: np.ndarray, slot: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def _whole(k: int):
+    """The whole set and the bands of every row whose set is the wanted one."""
+
     def run(batches):
         for batch in batches:
-            for ids, values, slot, f1, _ in _sets(batch, k):
+            lo = 0
+            for ids, values, slot, f1, f2 in _sets(batch, k):
+                node, twin = (np.asarray(batch.column(i).slice(lo, len(ids))) for i in (2, 3))
+                names = batch.column(4).slice(lo, len(ids))
+                lo += len(ids)
+                asked = (node == f1) & (twin == f2)
+                values, size = values[np.repeat(asked, np.diff(slot))], np.diff(slot)[asked]
+                slot = np.concatenate(([0], np.cumsum(size)))
                 keys = _bands(values, slot, ROUNDS)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(np.diff(slot)), pa.array(f1), bt.lists(values, slot), pa.array(bt.row_sums((values < BELOW).astype(np.int64), slot)), bt.lists(keys.ravel(), np.arange(len(keys) + 1) * keys.shape[1])],
-                    ["doc", "n", "node", "tokens", "n_sample", "bands"],
+                    [names.filter(pa.array(asked)), pa.array(size), bt.lists(values, slot), pa.array(bt.row_sums((values < BELOW).astype(np.int64), slot)), bt.lists(keys.ravel(), np.arange(len(keys) + 1) * keys.shape[1])],
+                    ["id", "n", "tokens", "n_sample", "bands"],
                 )
 
     return run
 
 
-def _linked(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs(a, b) of nodes whose sets reach the threshold."""
-    size = full.select("node", "n", "tokens")
-    left = size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
-        .withColumn("shared", both.cast("long"))
-        .where(f"shared * {den} >= (na + nb - shared) * {num}")
-        .select("a", "b")
-    )
+class _Join:
+    """One run: the steps as methods, so that what a step planned goes out of scope with it."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, words: int, num: int, den: int):
+        self.ws, self.docs, self.words, self.num, self.den = Workspace(spark, "ngram-join"), docs, words, num, den
+        self.spare = f"(n * {den - num} DIV {den})"
+
+    def nodes(self, feat: DataFrame) -> DataFrame:
+        """(id, node, twin, n, rep, open) of the distinct sets; open ones share a part with another."""
+        near = self.docs.where("doc IS NOT NULL").select("doc", "text").mapInArrow(_parts(self.words, self.num, self.den), "part long, node long")
+        near = near.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared, "node long").distinct().withColumn("open", F.lit(True))
+        sets = feat.where("n > 0 AND doc IS NOT NULL").groupBy("node", "twin", "n").agg(F.min("doc").alias("rep"))
+        # two sets with one fingerprint get ids of their own
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("twin", "n")) - 1
+        sets = sets.withColumn("id", F.col("node").bitwiseXOR(nth.cast("long")))
+        return self.ws.save(sets.join(near, "node", "left").select("id", "node", "twin", "n", "rep", F.coalesce("open", F.lit(False)).alias("open")), "nodes")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(id, n, tokens, n_sample, bands) of the open nodes."""
+        wanted = nodes.where("open").select(F.col("rep").alias("doc"), "node", "twin", "id")
+        whole = self.docs.select("doc", "text").join(wanted, "doc").mapInArrow(_whole(self.words), "id long, n long, tokens array<long>, n_sample long, bands array<long>")
+        found = self.ws.save(whole, "whole")
+        ids = found.select("id")
+        if ids.count() == ids.distinct().count():
+            return found
+        once = self.ws.save(found.groupBy("id").agg(*(F.first(c).alias(c) for c in found.columns if c != "id")), "once")  # repeated rows of a representative
+        self.ws.drop("whole")
+        return once
+
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs(a, b) of nodes whose sets reach the threshold."""
+        left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+        right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+        return (
+            pairs.join(left, "a")
+            .join(right, "b")
+            .where(f"least(na, nb) * {self.den} >= greatest(na, nb) * {self.num}")
+            .withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
+            .where(f"shared * {self.den} >= (na + nb - shared) * {self.num}")
+            .select("a", "b")
+        )
+
+    def proposed(self, sets: DataFrame, labels: DataFrame | None, r: int) -> DataFrame:
+        """(a, b): each node and the leader of another group that it shares most bands of this round with."""
+        keyed = sets.select("id", F.explode(F.slice("bands", r * BANDS + 1, BANDS)).alias("key"))
+        leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
+        votes = keyed.join(leads, "key").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("votes"))
+        if labels is not None:
+            la = labels.select(F.col("node").alias("id"), F.col("label").alias("ga"))
+            lb = labels.select(F.col("node").alias("lead"), F.col("label").alias("gb"))
+            votes = votes.join(la, "id", "left").join(lb, "lead", "left").where("coalesce(ga, id) <> coalesce(gb, lead)")
+        best = votes.groupBy("id").agg(F.max(F.struct("votes", "lead")).alias("best"))
+        return best.select(F.col("id").alias("a"), F.col("best.lead").alias("b"))
+
+    def grouped(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(edges, labels) of the groups that bands propose and exact Jaccard confirms."""
+        edges, labels = None, None
+        for r in range(ROUNDS):
+            fresh = self.ws.save(self.linked(self.proposed(sets, labels, r), sets), f"edges_{r}")
+            edges = fresh if edges is None else edges.unionByName(fresh)
+            labels = connected_components(self.ws, edges, f"groups_{r}")
+        return edges, labels
+
+    def rest(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """(id, n, g, tokens) of the nodes that may have a partner outside their group g."""
+        sets = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("label", "id").alias("g"), "tokens", "n_sample")
+        fewer = self.without_partners(sets.select("id", "n", "g", F.expr("slice(tokens, 1, cast(n_sample as int))").alias("tokens")))
+        some = self.ws.save(sets.join(fewer, "id", "left_anti").drop("n_sample"), "some")
+        last = self.ws.save(some.join(self.without_partners(some), "id", "left_anti"), "last")
+        self.ws.drop("some")
+        return last
+
+    def without_partners(self, sets: DataFrame) -> DataFrame:
+        """Nodes with too many shingles that no other group holds."""
+        rows = sets.select("id", "g", F.explode("tokens").alias("token"))
+        own = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo = hi").select("token")
+        count = rows.join(own, "token").groupBy("id").agg(F.count("*").alias("own"))
+        return count.join(sets.select("id", "n"), "id").where(f"own > {self.spare}").select("id")
+
+    def prefixes(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The matrix (token, g), and (id, n, own, g, token) of the nodes' rarest tokens that several groups hold."""
+        rows = sets.select("id", "n", "g", F.explode("tokens").alias("token"))
+        matrix = self.ws.save(rows.select("token", "g").distinct(), "matrix")
+        held = matrix.groupBy("token").agg(F.count("*").alias("df"))
+        by_node = Window.partitionBy("id")
+        ranked = rows.join(held, "token").withColumns({"place": F.row_number().over(by_node.orderBy("df", "token")), "own": F.sum((F.col("df") == 1).cast("long")).over(by_node)})
+        return matrix, self.ws.save(ranked.where(f"place <= {self.spare} + 1 AND df > 1").select("id", "n", "own", "g", "token"), "prefix")
+
+    def asked(self, sets: DataFrame, prefix: DataFrame) -> DataFrame:
+        """(a, n, g): nodes and the groups that may hold a partner, by prefix and sizes."""
+        num, den = self.num, self.den
+        members = sets.groupBy("g").agg(F.count("*").alias("members"))
+        prefix = prefix.join(members, "g")
+        offer = prefix.groupBy("token", "g", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("own")).alias("room"))
+        offer = offer.select("token", F.col("g").alias("og"), F.col("members").alias("om"), "lo", "hi", "room")
+        sized = f"lo * {num} <= n * {den} AND hi * {den} >= n * {num}"
+        # the overlap with the smallest partner there may be must fit into what both share with other groups
+        least = f"(n + greatest(lo, n * {num} DIV {den})) * {num}"
+        fits = f"(n - own) * {num + den} >= {least} AND room * {num + den} >= {least}"
+        met = prefix.join(offer, "token").where("members < om OR members = om AND g < og").where(sized).where(fits)
+        return self.ws.save(met.select(F.col("id").alias("a"), "n", F.col("og").alias("g")).distinct(), "asked")
+
+    def opened(self, sets: DataFrame, matrix: DataFrame, asked: DataFrame) -> DataFrame:
+        """(a, b): one node of each group that a node links with; only groups whose union holds enough of the node are opened."""
+        held = (
+            asked.join(sets.select(F.col("id").alias("a"), "tokens"), "a")
+            .select("a", "n", "g", F.explode("tokens").alias("token"))
+            .join(matrix, ["token", "g"])
+            .groupBy("a", "n", "g").agg(F.count("*").alias("both"))
+            .where(f"both * {self.den} >= n * {self.num}")
+        )
+        members = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
+        pairs = held.join(members, "g").where(f"least(n, nb) * {self.den} >= greatest(n, nb) * {self.num}").select("a", "b")
+        return self.ws.save(self.linked(pairs, sets), "across")
+
+    def across(self, sets: DataFrame) -> DataFrame:
+        matrix, prefix = self.prefixes(sets)
+        return self.opened(sets, matrix, self.asked(sets, prefix))
+
+    def classes(self) -> DataFrame:
+        """(doc, row, n, component) for every row: the class's smallest node, null without shingles or id."""
+        ws = self.ws
+        feat = ws.save(self.docs.mapInArrow(_features(self.words), "doc long, row long, n long, node long, twin long"), "features")
+        nodes = self.nodes(feat)
+        ws.settle()  # the parts are a multiple of everything that follows
+        sets = self.sets(nodes)
+        edges, labels = self.grouped(sets)
+        ws.settle()
+        last = self.rest(sets, labels)
+        ws.settle()
+        edges = edges.unionByName(self.across(last))
+        labels = connected_components(ws, edges, "final")
+        named = ws.save(nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", "twin", "n", "rep", F.coalesce("label", "id").alias("component")), "named")
+        ws.drop("nodes", "whole", "once", "last", "matrix", "prefix", "asked", "across", *(f"edges_{r}" for r in range(ROUNDS)), *(f"groups_{r}" for r in range(ROUNDS)))
+        ws.settle()
+        smallest = named.groupBy("component").agg(F.min("rep").alias("least"))
+        of = named.join(smallest, "component").select("node", "twin", "n", "component", "least")
+        wide = feat.alias("f").join(of.alias("o"), F.expr("f.node = o.node AND f.twin = o.twin AND f.n = o.n AND f.doc IS NOT NULL"), "left")
+        return wide.select("f.doc", "f.row", "f.n", "o.component", "o.least")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, row) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), row.cast("long").alias("row"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -198,136 +342,34 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     is returned with its size and without a component. Other columns of docs
     are not read.
     """
-    ws = Workspace(spark, "ngram-join")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    feat = ws.save(docs.mapInArrow(_features(words), "doc long, n long, node long, twin long"), "features")
-    live = feat.where("n > 0 AND doc IS NOT NULL")
-    spare = f"(n * {den - num} DIV {den})"
-
-    near = docs.where("doc IS NOT NULL").mapInArrow(_parts(words, num, den), "part long, node long").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared, "node long").distinct()
-    open_ = near.select("node", F.lit(True).alias("open"))
-    nodes = ws.save(live.groupBy("node", "n").agg(F.min("doc").alias("rep")).join(open_, "node", "left").select("node", "n", "rep", F.coalesce("open", F.lit(False)).alias("open")), "nodes")
-
-    wanted = nodes.where("open").select(F.col("rep").alias("doc"), "node")
-    whole = docs.join(wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(_whole(words), "doc long, n long, node long, tokens array<long>, n_sample long, bands array<long>")
-    full = ws.save(whole.join(wanted, ["doc", "node"], "left_semi").drop("doc"), "whole")
-    found = full.select("node")
-    if found.count() != found.distinct().count():  # repeated rows of a representative
-        full = ws.save(full.groupBy("node").agg(*(F.first(c).alias(c) for c in full.columns if c != "node")), "whole_once")
-        ws.drop("whole")
-
-    edges, labels = None, None
-    for r in range(ROUNDS):
-        keyed = full.select("node", "n", F.explode(F.slice("bands", r * BANDS + 1, BANDS)).alias("key"))
-        leads = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
-        pairs = keyed.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        if labels is not None:
-            la = labels.select(F.col("node").alias("a"), F.col("label").alias("ga"))
-            lb = labels.select(F.col("node").alias("b"), F.col("label").alias("gb"))
-            pairs = pairs.join(la, "a", "left").join(lb, "b", "left").where("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")
-        fresh = ws.save(_linked(pairs, full, num, den), f"edges_{r}")
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        labels = connected_components(ws, edges, f"groups_{r}")
-
-    group = F.coalesce("label", "node").alias("g")
-    sets = full.join(labels, "node", "left").select("node", "n", group, "tokens", "n_sample")
-    fewer = _without_partners(sets.select("node", "n", "g", F.expr("slice(tokens, 1, cast(n_sample as int))").alias("tokens")), spare)
-    rest = ws.save(sets.join(fewer, "node", "left_anti").drop("n_sample"), "rest")
-    again = _without_partners(rest, spare)
-    rest = ws.save(rest.join(again, "node", "left_anti"), "last")
-    across = _across_groups(ws, rest, num, den)
-    edges = edges.unionByName(across)
-    labels = connected_components(ws, edges, "final")
-
-    classes = nodes.join(labels, "node", "left").select("node", "rep", group)
-    smallest = classes.groupBy("g").agg(F.min("rep").alias("component_id"))
-    component = classes.join(smallest, "g").select("node", "component_id")
-    return feat.join(component, "node", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))).alias("component_id")
-    )
-
-
-def _without_partners(sets: DataFrame, spare: str) -> DataFrame:
-    """Nodes with too many shingles that no other group holds."""
-    rows = sets.select("node", "g", F.explode("tokens").alias("token"))
-    own = rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo = hi").select("token")
-    count = rows.join(own, "token").groupBy("node").agg(F.count("*").alias("own"))
-    return count.join(sets.select("node", "n"), "node").where(f"own > {spare}").select("node")
-
-
-def _across_groups(ws: Workspace, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between nodes of different groups, through the token-group matrix."""
-    rows = sets.select("node", "n", "g", F.explode("tokens").alias("token"))
-    matrix = ws.save(rows.select("token", "g").distinct(), "matrix")
-    held = matrix.groupBy("token").agg(F.count("*").alias("df"))
-    by_node = Window.partitionBy("node")
-    ranked = rows.join(held, "token").withColumns({"place": F.row_number().over(by_node.orderBy("df", "token")), "own": F.sum((F.col("df") == 1).cast("long")).over(by_node)})
-    prefix = ws.save(ranked.where(f"place <= (n * {den - num} DIV {den}) + 1 AND df > 1").select("node", "n", "g", "token", "place", "own"), "prefix")
-    popular = ws.save(prefix.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("lead")).where(F.col("c") > HOT).select("token", "lead"), "popular")
-    family = connected_components(ws, prefix.join(popular, "token").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "family")
-    blocked = _family_links(family, sets, num, den)
-    prefix = prefix.join(popular, "token", "left_anti")
-    a = prefix.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), "token", F.col("place").alias("pa"), F.col("own").alias("oa"))
-    b = prefix.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), "token", F.col("place").alias("pb"), F.col("own").alias("ob"))
-    sized = f"ga < gb AND least(na, nb) * {den} >= greatest(na, nb) * {num}"
-    # shingles of one group only come first and match nothing, so they count neither before the place nor in the whole
-    placed = f"(least(na - pa, nb - pb) + least(pa - oa, pb - ob)) * {num + den} >= (na + nb) * {num}"
-    hits = ws.save(a.join(b, "token").where(sized).where(placed).select("a", "b", "na", "gb").distinct(), "hits")
-    asked = hits.select("a", "na", "gb").distinct()
-    overlap = (
-        asked.join(sets.select(F.col("node").alias("a"), "tokens"), "a")
-        .select("a", "na", F.col("gb").alias("g"), F.explode("tokens").alias("token"))
-        .join(matrix, ["token", "g"])
-        .groupBy("a", "na", "g").agg(F.count("*").alias("both"))
-        .where(f"both * {den} >= na * {num}")
-        .select("a", F.col("g").alias("gb"))
-    )
-    return ws.save(_linked(hits.join(overlap, ["a", "gb"], "left_semi").select("a", "b"), sets, num, den).unionByName(blocked), "across")
-
-
-def _family_links(family: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links within families, from all pairs of their blocks; members of one group are linked already."""
-    members = sets.join(family, "node").select("node", "n", "g", "tokens", F.col("label").alias("fam"))
-    sizes = members.groupBy("fam").agg(F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_NODES}), ceil(sum(n) / {BLOCK_TOKENS})) as int)").alias("blocks"))
-    placed = members.join(sizes, "fam").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("fam", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "g", "tokens")
-
-    def links(table):
-        node, n, g = (table.column(c).to_numpy() for c in ("node", "n", "g"))
-        listed = table.column("tokens").combine_chunks()
-        token = listed.flatten().to_numpy()
-        row = np.repeat(np.arange(len(node)), n)
-        order = np.argsort(token, kind="stable")
-        token, row = token[order], row[order]
-        new = np.concatenate(([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, bool)
-        column = np.cumsum(new) - 1
-        often = np.bincount(column) if len(token) else np.zeros(0, int)
-        kept = often[column] > 1
-        row, column = row[kept], np.cumsum(np.concatenate(([0], np.diff(column[kept]) > 0)).astype(np.int64)) if kept.any() else column[kept]
-        both = np.zeros((len(node), len(node)), np.float32)
-        width = 4096
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, b = np.searchsorted(column, (lo, lo + width))
-            part = np.zeros((len(node), width), np.float32)
-            part[row[a:b], column[a:b] - lo] = 1
-            both += part @ part.T
-        shared = both.astype(np.int64)
-        whole = n[:, None] + n[None, :]
-        x, y = np.nonzero(np.triu((shared * den >= (whole - shared) * num) & (g[:, None] != g[None, :]), 1))
-        parent = {}
-
-        def root(v):
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        keep = []
-        for k, (p, q) in enumerate(zip(g[x].tolist(), g[y].tolist())):
-            p, q = root(p), root(q)
-            if p != q:
-                parent[p] = q
-                keep.append(k)
-        return pa.table({"a": node[x[keep]], "b": node[y[keep]]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return placed.groupBy("fam", "i", "j").applyInArrow(links, "a long, b long")
+    found = _Join(spark, _rows(docs, id_col, text_col, F.lit(None)), words, num, den).classes()
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs that stay when one row of each class of linked texts does, with all their columns.
+
+    The row of the smallest id stays, null ids last, ties by a hash of the row; of
+    rows that are equal in all columns one. Classes are as in ngram_jaccard_join,
+    but each row counts for itself: rows that share an id are told apart by text,
+    and rows without id take part. Texts without words all stay.
+    """
+    cols = docs.columns
+    plain = [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]
+    rows = docs.toDF(*(f"c{i}" for i in range(len(cols))))
+    where = {c: f"c{i}" for i, c in enumerate(cols)}
+    rows = rows.withColumn("row", F.xxhash64(*(where[c] for c in plain)))
+    # ids only name the representatives, so a row without one is named by its hash
+    named = F.coalesce(F.col(where[id_col]).cast("long"), F.col("row"))
+    found = _Join(spark, rows.select(named.alias("doc"), F.col(where[text_col]).cast("string").alias("text"), "row"), words, num, den)
+    classes = found.ws.save(found.classes().select("doc", "row", "component"), "classes")
+    found.ws.drop("features", "named")
+    told = classes.where("component IS NOT NULL").groupBy("component", "row").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
+    best = told.groupBy("component").agg(F.min(F.struct((F.col("doc") == F.col("row")).alias("unnamed"), "doc", "row", "copies")).alias("best"))
+    kept = best.select("best.row", (F.col("best.copies") > 1).alias("again")).unionByName(classes.where("component IS NULL").select("row", F.lit(False).alias("again")).distinct())
+    kept = found.ws.save(kept, "kept")
+    found.ws.drop("classes")
+    out = rows.join(kept.where("NOT again").select("row"), "row", "left_semi")
+    if kept.where("again").limit(1).count():
+        out = out.unionByName(rows.join(kept.where("again").select("row"), "row", "left_semi").dropDuplicates(["row"]))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(cols)))
