@@ -6,11 +6,11 @@ only into groups whose union holds enough of its shingles.
 
 1. One scan gives every document the size and two fingerprints of its shingle
    set. Equal sets are one node from here on.
-2. Sets that link differ in at most d shingles, a number that follows from their
-   sizes. Shingles are dealt by hash to more than d parts, so two sets that link
-   have a part that is equal and not empty. Nodes none of whose parts occurs in
-   another node are done; what stays is hardly more than real near copies. A
-   task emits the parts of equal sets once.
+2. Shingles in the order of their hashes: two sets that link hold their first
+   m common shingles within the first `spare + m` of each, where spare is the number
+   a set can miss. These leading shingles, with m a sixth of the set, are grouped by
+   shingle; nodes that share too few of theirs with other nodes are done. What stays
+   is hardly more than near copies. A task emits those of equal sets once.
 3. The others get their whole sets and are grouped: minhash bands propose to each
    node the leader that it shares most bands with, exact Jaccard confirms, and
    components of confirmed links are the groups.
@@ -45,7 +45,9 @@ from paperloom.llm.workspace import Workspace
 #: Share of all hash values whose shingles make the sample.
 SAMPLE = 0.3
 BELOW = int(-(2**63) + SAMPLE * 2**64)
-BANDS, ROWS, ROUNDS = 8, 3, 2
+BANDS, ROWS = 12, 3
+#: One in so many shingles is to be found in common among the leading ones.
+MORE = 6
 _U = np.uint64
 
 
@@ -72,16 +74,8 @@ def _features(k: int):
     return run
 
 
-def _classes(largest: int, num: int, den: int) -> list[int]:
-    """First size of each class: sets that link stand in the same class or in neighbours."""
-    first = [1]
-    while first[-1] <= largest:
-        first.append(first[-1] * den // num + 1)
-    return [*first, first[-1] * den // num + 1]
-
-
-def _parts(k: int, num: int, den: int):
-    """(part, node): the content of every part of every set, under the classes it may meet others in."""
+def _leading(k: int, num: int, den: int):
+    """(token, node): the leading shingles of every set, once a task."""
 
     def run(batches):
         told: set[int] = set()  # nodes of this task: as many as its rows at most
@@ -91,66 +85,44 @@ def _parts(k: int, num: int, den: int):
                 for i, node in enumerate(f1.tolist()):
                     fresh[i] = node not in told
                     told.add(node)
-                values, size = values[np.repeat(fresh, np.diff(slot))], np.diff(slot)[fresh]
-                f1 = f1[fresh]
-                if not size.any():
-                    continue
-                first = np.array(_classes(int(size.max()), num, den))
-                u = bt.mix(values.view(_U) + _U(0x8CB92BA72F3D8DD7))
-                low, high = (u & _U(0xFFFFFFFF)).astype(np.float64), (u >> _U(32)).astype(np.float64)
-                deal = values.view(_U) >> _U(32)
-                own = np.searchsorted(first, size, "right") - 1
-                for step in (0, 1):
-                    label = np.maximum(own, 0) + step
-                    differ = 2 * (first[np.minimum(label + 1, len(first) - 1)] - 1) * (den - num) // (den + num)
-                    spare = differ // 16 + (differ >= 3)
-                    parts = np.where(size > 0, differ + 1 + spare, 0)
-                    base = np.concatenate(([0], np.cumsum(parts)))
-                    at = np.repeat(base[:-1], size) + (deal * np.repeat(parts, size).astype(_U) >> _U(32)).astype(np.int64)
-                    total = base[-1]
-                    held = np.bincount(at, minlength=total)
-                    key = np.bincount(at, low, total).astype(_U) + (np.bincount(at, high, total).astype(_U) << _U(32))
-                    row = np.repeat(np.arange(len(size)), parts)
-                    place = (np.arange(total) - base[row]).astype(_U)
-                    salt = label.astype(_U)[row] << _U(40)
-                    key = bt.mix(key + bt.mix(salt + (place << _U(8)) + _U(1)))
-                    full = held > 0
-                    # equal parts may all be empty only between sets with more empty parts than there are to spare
-                    bare = np.flatnonzero(np.bincount(row, ~full, len(size)) > spare)
-                    keys = np.concatenate((key[full], bt.mix((label.astype(_U)[bare] << _U(40)) + _U(2))))
-                    nodes = np.concatenate((f1[row[full]], f1[bare]))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes)], ["part", "node"])
+                size = np.diff(slot)
+                wanted = np.where(fresh, np.minimum(size, size * (den - num) // den + 1 + size // MORE), 0)
+                token = values[np.repeat(slot[:-1], wanted) + np.arange(wanted.sum()) - np.repeat(np.cumsum(wanted) - wanted, wanted)]
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(f1, wanted))], ["token", "node"])
 
     return run
 
 
 def _shared(batches):
-    """Nodes that have a part in common with another node, from rows sorted by part."""
-    part = node = None
-    told = False
+    """(node, hits): how many tokens other nodes hold too, from rows sorted by token and node."""
+    held, told = None, False  # the last row so far, and whether its token is shared
     for batch in batches:
-        parts, nodes = (np.asarray(batch.column(i)) for i in range(2))
-        if not len(parts):
+        token, node = (np.asarray(batch.column(i)) for i in range(2))
+        if not len(token):
             continue
-        if part is not None:  # the row before belongs to the first group of this batch
-            parts, nodes = np.concatenate(([part], parts)), np.concatenate(([node], nodes))
-        begin = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1])))
-        count = np.diff(np.append(begin, len(parts)))
-        many = np.minimum.reduceat(nodes, begin) != np.maximum.reduceat(nodes, begin)
-        if part is not None and told:
-            many[0] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(nodes[np.repeat(many, count)]))], ["node"])
-        told = bool(many[-1])
-        part, node = int(parts[-1]), int(nodes[-1])
-
-
-def _bands(values: np.ndarray, slot: np.ndarray, rounds: int) -> np.ndarray:
-    """One key for each row, round and band: the smallest hashes under ROWS functions."""
+        if held is not None:
+            token, node = np.concatenate(([held[0]], token)), np.concatenate(([held[1]], node))
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
+        token, node = token[new], node[new]
+        begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        count = np.diff(np.append(begin, len(token)))
+        many = count > 1
+        many[0] |= told
+        out = np.repeat(many, count)
+        if told:
+            out[0] = False  # counted with the batch before
+        nodes, hits = np.unique(node[out], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(hits)], ["node", "hits"])
+        held, told = (token[-1], node[-1]), bool(many[-1])
+
+
+def _bands(values: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """One key for each row and band: the smallest hashes under ROWS functions."""
     rows = len(slot) - 1
-    keys = np.zeros((rows, rounds * BANDS), np.int64)
+    keys = np.zeros((rows, BANDS), np.int64)
     full = np.diff(slot) > 0
     u = values.view(_U)
-    for b in range(rounds * BANDS):
+    for b in range(BANDS):
         key = np.full(rows, (b + 1) * 0xA24BAED4963EE407 & (2**64 - 1), _U)
         for r in range(ROWS):
             seed = _U(((b * ROWS + r + 1) * 0x9FB21C651E98DF25) & (2**64 - 1))
@@ -177,7 +149,7 @@ def _whole(k: int):
                 asked = (node == f1) & (twin == f2)
                 values, size = values[np.repeat(asked, np.diff(slot))], np.diff(slot)[asked]
                 slot = np.concatenate(([0], np.cumsum(size)))
-                keys = _bands(values, slot, ROUNDS)
+                keys = _bands(values, slot)
                 yield pa.RecordBatch.from_arrays(
                     [names.filter(pa.array(asked)), pa.array(size), bt.lists(values, slot), pa.array(bt.row_sums((values < BELOW).astype(np.int64), slot)), bt.lists(keys.ravel(), np.arange(len(keys) + 1) * keys.shape[1])],
                     ["id", "n", "tokens", "n_sample", "bands"],
@@ -194,14 +166,16 @@ class _Join:
         self.spare = f"(n * {den - num} DIV {den})"
 
     def nodes(self, feat: DataFrame) -> DataFrame:
-        """(id, node, twin, n, rep, open) of the distinct sets; open ones share a part with another."""
-        near = self.docs.where("doc IS NOT NULL").select("doc", "text").mapInArrow(_parts(self.words, self.num, self.den), "part long, node long")
-        near = near.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared, "node long").distinct().withColumn("open", F.lit(True))
+        """(id, node, twin, n, rep, open) of the distinct sets; open ones share enough leading shingles with others."""
+        near = self.docs.where("doc IS NOT NULL").select("doc", "text").mapInArrow(_leading(self.words, self.num, self.den), "token long, node long")
+        near = near.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "node long, hits long").groupBy("node").agg(F.sum("hits").alias("hits"))
         sets = feat.where("n > 0 AND doc IS NOT NULL").groupBy("node", "twin", "n").agg(F.min("doc").alias("rep"))
         # two sets with one fingerprint get ids of their own
         nth = F.row_number().over(Window.partitionBy("node").orderBy("twin", "n")) - 1
         sets = sets.withColumn("id", F.col("node").bitwiseXOR(nth.cast("long")))
-        return self.ws.save(sets.join(near, "node", "left").select("id", "node", "twin", "n", "rep", F.coalesce("open", F.lit(False)).alias("open")), "nodes")
+        # a partner may be smaller, down to the threshold, and shows fewer of its own
+        least = f"1 + ((n * {self.num} + {self.den - 1}) DIV {self.den}) DIV {MORE}"
+        return self.ws.save(sets.join(near, "node", "left").select("id", "node", "twin", "n", "rep", F.coalesce(F.expr(f"hits >= {least}"), F.lit(False)).alias("open")), "nodes")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(id, n, tokens, n_sample, bands) of the open nodes."""
@@ -228,26 +202,18 @@ class _Join:
             .select("a", "b")
         )
 
-    def proposed(self, sets: DataFrame, labels: DataFrame | None, r: int) -> DataFrame:
-        """(a, b): each node and the leader of another group that it shares most bands of this round with."""
-        keyed = sets.select("id", F.explode(F.slice("bands", r * BANDS + 1, BANDS)).alias("key"))
+    def proposed(self, sets: DataFrame) -> DataFrame:
+        """(a, b): each node and the leader that it shares most bands with."""
+        keyed = sets.select("id", F.explode("bands").alias("key"))
         leads = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
         votes = keyed.join(leads, "key").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("votes"))
-        if labels is not None:
-            la = labels.select(F.col("node").alias("id"), F.col("label").alias("ga"))
-            lb = labels.select(F.col("node").alias("lead"), F.col("label").alias("gb"))
-            votes = votes.join(la, "id", "left").join(lb, "lead", "left").where("coalesce(ga, id) <> coalesce(gb, lead)")
         best = votes.groupBy("id").agg(F.max(F.struct("votes", "lead")).alias("best"))
         return best.select(F.col("id").alias("a"), F.col("best.lead").alias("b"))
 
     def grouped(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(edges, labels) of the groups that bands propose and exact Jaccard confirms."""
-        edges, labels = None, None
-        for r in range(ROUNDS):
-            fresh = self.ws.save(self.linked(self.proposed(sets, labels, r), sets), f"edges_{r}")
-            edges = fresh if edges is None else edges.unionByName(fresh)
-            labels = connected_components(self.ws, edges, f"groups_{r}")
-        return edges, labels
+        edges = self.ws.save(self.linked(self.proposed(sets), sets), "edges")
+        return edges, connected_components(self.ws, edges, "groups")
 
     def rest(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """(id, n, g, tokens) of the nodes that may have a partner outside their group g."""
@@ -310,7 +276,7 @@ class _Join:
         ws = self.ws
         feat = ws.save(self.docs.mapInArrow(_features(self.words), "doc long, row long, n long, node long, twin long"), "features")
         nodes = self.nodes(feat)
-        ws.settle()  # the parts are a multiple of everything that follows
+        ws.settle()  # the leading shingles are more than everything that follows
         sets = self.sets(nodes)
         edges, labels = self.grouped(sets)
         ws.settle()
@@ -319,7 +285,7 @@ class _Join:
         edges = edges.unionByName(self.across(last))
         labels = connected_components(ws, edges, "final")
         named = ws.save(nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", "twin", "n", "rep", F.coalesce("label", "id").alias("component")), "named")
-        ws.drop("nodes", "whole", "once", "last", "matrix", "prefix", "asked", "across", *(f"edges_{r}" for r in range(ROUNDS)), *(f"groups_{r}" for r in range(ROUNDS)))
+        ws.drop("nodes", "whole", "once", "edges", "last", "matrix", "prefix", "asked", "across")
         ws.settle()
         smallest = named.groupBy("component").agg(F.min("rep").alias("least"))
         of = named.join(smallest, "component").select("node", "twin", "n", "component", "least")
