@@ -8,7 +8,9 @@ softmax are linear, the two tables fold into one row of class scores a bucket,
 so scoring is one look-up a gram over the whole text.
 
 A share of the training rows is kept back for calibration: it sets the softmax
-temperature and the confidence below which a document is rejected.
+temperature and, by the length of a text, the confidence below which a document is
+rejected. For the floors of short texts the same rows are cut into pieces of 1 to
+64 words: a short clean text is seldom sure of itself, a long one nearly always.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 from paperloom.llm import bytetext as bt
 from paperloom.llm import grams
 
-#: Bound on the labelled documents that the model is fitted on.
-MAX_ROWS = 6000
+#: Bounds on the labelled documents that the model is fitted on, and on their bytes together.
+MAX_ROWS, MAX_BYTES = 6000, 1 << 25
 ORDERS = (3, 4)
 BITS, DIMENSIONS, EPOCHS, RATE = 16, 12, 6, 0.5
-#: Of the right calibration documents, the share that the rejection must keep, and the confidence that always suffices.
-KEEP, ENOUGH = 0.999, 0.3
+#: Of the right calibration texts of each length, the share that the rejection must keep.
+KEEP = 0.999
+#: Words of the calibration pieces, pieces of each size, and texts that a length needs for a floor of its own.
+PIECES, TAKEN, ENOUGH = (1, 2, 4, 8, 16, 32, 64), 3, 100
 UNKNOWN = "und"
 
 
@@ -36,7 +40,7 @@ UNKNOWN = "und"
 class Model:
     labels: list[str]
     table: np.ndarray  # bucket -> class scores, float64
-    floor: float
+    floors: np.ndarray  # by the binary digits of a text's number of bytes
 
 
 def _doc_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +62,7 @@ def fit(texts: list[str], langs: list[str], keys: list[int]) -> Model | None:
     if not labels:
         return None
     code = {x: i for i, x in enumerate(labels)}
-    data = [(k, code[lang], *_doc_grams(text)) for k, lang, text in rows]
+    data = [(text, code[lang], *_doc_grams(text)) for _, lang, text in rows]
     data = [x for x in data if len(x[2])]
     spare = [x for i, x in enumerate(data) if i % 7 == 3]
     train = [x for i, x in enumerate(data) if i % 7 != 3] or data
@@ -79,21 +83,63 @@ def fit(texts: list[str], langs: list[str], keys: list[int]) -> Model | None:
             e[bucket] -= (rate * len(bucket) ** 0.5) * np.outer(share, back)
             step += 1
     table = e @ w
-    z = np.array([share @ table[bucket] for _, _, bucket, share in spare]).reshape(-1, len(labels))
-    y = np.array([x[1] for x in spare], int)
-    heat, floor = 1.0, 0.0
-    if len(y):
+    heat, floors = 1.0, np.zeros(64)
+    if spare:
+        texts, y = _calibration(spare, rng)
+        z = np.array([share @ table[bucket] for bucket, share in map(_doc_grams, texts)])
         scales = np.geomspace(0.25, 64, 33)
-        loss = [-np.log(np.maximum(_softmax(z * s)[np.arange(len(y)), y], 1e-12)).mean() for s in scales]
+        whole = np.arange(len(spare))
+        loss = [-np.log(np.maximum(_softmax(z[whole] * s)[whole, y[whole]], 1e-12)).mean() for s in scales]
         heat = float(scales[int(np.argmin(loss))])
         p = _softmax(z * heat)
-        right = p.max(1)[p.argmax(1) == y]
-        floor = min(ENOUGH, float(np.quantile(right, 1 - KEEP))) if len(right) else 0.0
-    return Model(labels, table * heat, floor)
+        right = p.argmax(1) == y
+        floors = _floors(p.max(1)[right], np.array([len(x.encode("utf-8", "replace")) for x in texts])[right])
+    return Model(labels, table * heat, floors)
+
+
+def _calibration(spare: list[tuple], rng) -> tuple[list[str], np.ndarray]:
+    """The spare texts, then pieces of them, with their classes."""
+    texts, y = [x[0] for x in spare], [x[1] for x in spare]
+    for text, label, *_ in spare:
+        words = text.split()
+        for size in PIECES:
+            for at in rng.integers(0, max(1, len(words) - size), TAKEN).tolist() if len(words) > size else ():
+                piece = " ".join(words[at : at + size])
+                if any(map(str.isalpha, piece)):
+                    texts.append(piece)
+                    y.append(label)
+    return texts, np.array(y)
+
+
+def _digits(size: np.ndarray) -> np.ndarray:
+    """Binary digits of numbers of bytes."""
+    return np.frexp(size.astype(np.float64))[1]
+
+
+def _floors(sure: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The confidence that KEEP of the texts of a length reach; a longer text never has a lower floor."""
+    digits, floors = _digits(size), np.full(64, np.nan)
+    for d in np.unique(digits).tolist():
+        own = sure[digits == d]
+        if len(own) >= ENOUGH:
+            floors[d] = np.quantile(own, 1 - KEEP)
+    known = np.flatnonzero(~np.isnan(floors))
+    if not len(known):
+        return np.zeros(64)
+    for d in range(64):  # lengths without a floor of their own take that of the next shorter one
+        if np.isnan(floors[d]):
+            floors[d] = 0.0 if d < known[0] else floors[d - 1]
+    return np.minimum.accumulate(floors[::-1])[::-1]
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """The first of some thousand rows(key, text), by key, whose texts have `most` bytes together."""
+    upto = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(upto)).where(F.col("bytes") <= most).drop("bytes")
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_ROWS) -> Model | None:
-    """Fit on at most max_rows rows of docs with a language, as many of each; which ones follows from a hash of the id."""
+    """Fit on at most max_rows rows of docs with a language, as many of each, and on MAX_BYTES bytes; which ones follows from a hash of the id."""
     known = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
     if not counts:
@@ -106,7 +152,8 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows:
     keyed = known.select("doc", "lang", F.xxhash64("doc").alias("key")).join(bound, "lang").where("key <= bound")
     chosen = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share)
     chosen = chosen.select("doc", "key").distinct().orderBy("key").limit(max_rows)
-    rows = known.join(chosen, "doc").select("key", "lang", "text").dropDuplicates(["key", "lang"]).orderBy("key").limit(max_rows).collect()
+    rows = known.join(chosen, "doc").select("key", "lang", "text").dropDuplicates(["key", "lang"]).orderBy("key").limit(max_rows)
+    rows = bounded(rows, MAX_BYTES).collect()
     return fit([r.text for r in rows], [r.lang for r in rows], [r.key for r in rows])
 
 
@@ -137,7 +184,8 @@ def _predict(model):
         for batch in batches:
             raw, offsets = bt.buffers(batch.column(1))
             for lo, hi in bt.blocks(offsets):
-                p = _softmax(_scores(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], m.table))
+                at = offsets[lo : hi + 1] - offsets[lo]
+                p = _softmax(_scores(raw[offsets[lo] : offsets[hi]], at, m.table))
                 best = p.argmax(1)
                 score = p[np.arange(len(best)), best]
                 lettered = np.array(batch.column(2).slice(lo, hi - lo).to_pylist(), object) == True  # noqa: E712
@@ -146,7 +194,7 @@ def _predict(model):
                         *(batch.column(i).slice(lo, hi - lo) for i in (0, *range(3, batch.num_columns))),
                         pa.array(np.where(lettered, names[best], UNKNOWN).tolist(), pa.string()),
                         pa.array(np.where(lettered, score, 0.0)),
-                        pa.array(~lettered | (score < m.floor)),
+                        pa.array(~lettered | (score < m.floors[_digits(np.diff(at))])),
                     ],
                     [*(batch.schema.names[i] for i in (0, *range(3, batch.num_columns))), "lang_pred", "score", "rejected"],
                 )
@@ -158,7 +206,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col:
     """(doc_id, *keep, lang_pred, score, rejected) for every row of docs.
 
     lang_pred is a label of the model, or `und` where the text is null, empty or
-    has no letter (score 0, rejected); score is the calibrated probability.
+    has no letter (score 0, rejected); score is the calibrated probability, and a
+    text below the floor of its length is rejected too.
     Columns of docs other than those named are not read. Without a model (no
     labelled row) every row is `und`.
     """
@@ -173,3 +222,11 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col:
         schema = ", ".join(f"{c} {types[c]}" for c in ("doc_id", *(f"kept_{i}" for i in range(len(keep))))) + ", lang_pred string, score double, rejected boolean"
         out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
     return out.select("doc_id", *back, "lang_pred", "score", "rejected")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that identify() does not reject, with all their columns, whatever these are called."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(docs.columns, names))
+    found = identify(spark, docs.toDF(*names), model, place[id_col], place[text_col], keep=tuple(names))
+    return found.where("NOT rejected").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -5,7 +5,7 @@ sentence's score is logistic in its hashed words and 5-byte grams; a document's
 score is the noisy-or of its sentences, 1 - prod(1 - p). The weights are fitted
 to document labels through that noisy-or (adaptive gradient steps in numpy with
 a soft threshold, so that only features with evidence keep a weight), on at most
-MAX_POSITIVE and MAX_NEGATIVE whole documents. Sentences above LOCATE are
+MAX_POSITIVE and MAX_NEGATIVE whole documents of MAX_BYTES together. Sentences above LOCATE are
 reported as the places of the offence.
 """
 
@@ -15,14 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm import bytetext as bt
 from paperloom.llm import grams
 
-#: Bounds on the labelled documents that the model is fitted on.
-MAX_POSITIVE, MAX_NEGATIVE = 2500, 4500
+#: Bounds on the labelled documents that the model is fitted on, and on their bytes together.
+MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES = 2500, 4500, 1 << 26
 BITS, ORDER = 18, 5
 EPOCHS, BATCH, RATE, SHRINK = 16, 128, 0.12, 5e-5
 LOCATE = 0.5
@@ -121,7 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     marked = marked.groupBy("doc").agg(F.max((F.col("y") != 0).cast("int")).alias("y")).join(texts.select("doc").distinct(), "doc", "left_semi").withColumn("key", F.xxhash64("doc"))
     chosen = marked.where("y = 1").orderBy("key", "doc").limit(MAX_POSITIVE).unionByName(marked.where("y = 0").orderBy("key", "doc").limit(MAX_NEGATIVE))
-    rows = texts.join(chosen, "doc").dropDuplicates(["doc"]).orderBy("key", "doc").limit(MAX_POSITIVE + MAX_NEGATIVE).collect()
+    rows = texts.join(chosen, "doc").dropDuplicates(["doc"]).orderBy("key", "doc").limit(MAX_POSITIVE + MAX_NEGATIVE)
+    upto = Window.orderBy("key", "doc").rowsBetween(Window.unboundedPreceding, 0)  # some thousand rows
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(upto)).where(F.col("bytes") <= MAX_BYTES).collect()
     return fit([r.text for r in rows], [r.y for r in rows])
 
 
@@ -145,7 +147,10 @@ def _scored(m: Model, wanted: np.ndarray, ids: pa.Array, raw: np.ndarray, offset
     rows = len(offsets) - 1
     feature, place, starts = _features(raw, offsets, wanted)
     begins, first = _sentences(raw, offsets, starts)
-    sentence = np.maximum(np.searchsorted(begins, place, "right") - 1, 0)
+    row = np.searchsorted(offsets, place, "right") - 1
+    kept = first[row] < first[row + 1]  # rows without a word have no sentence
+    feature, place, row = feature[kept], place[kept], row[kept]
+    sentence = np.maximum(np.searchsorted(begins, place, "right") - 1, first[row])  # what stands before a row's first word is its own
     if len(begins):  # a feature counts once a sentence, as in training
         both = np.unique(sentence.astype(np.int64) << 20 | feature)
         z = m.bias + np.bincount(both >> 20, m.weights[both & ((1 << 20) - 1)].astype(float), len(begins))
