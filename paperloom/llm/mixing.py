@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.workspace import Workspace
+
 PART = 256.0
 #: Sources up to which their table of rates (some KB each) is sent to every executor.
 FEW = 1000
@@ -43,10 +45,14 @@ def mix(
 
     weights: share of each source (others get none); null sources count as one
     source of their own under alpha. total: expected rows of the result, by
-    default as many as docs has. Rows with the same id share a draw, as do rows
-    without id. A column of docs that has one of the two new names is replaced.
+    default as many as docs has. A row without id, or whose id another row has too, is
+    drawn and placed by a hash of all its columns, so only rows that are equal in all
+    of them share a draw. Null and empty texts are rows like others. A column of docs
+    that has one of the two new names is replaced.
     """
+    ws = Workspace(spark, "mixing")
     docs = docs.drop("copy_no", "shuffle_key")
+    names = docs.columns
     table = rates(docs, source_col, weights, alpha, total)
     table = table.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     cdf = """aggregate(sequence(1, cast(ceil(mean + 12 * sqrt(mean)) + 20 as int)), named_struct('p', exp(-mean), 'c', array(exp(-mean))),
@@ -54,8 +60,13 @@ def mix(
     table = table.select(F.col("source").alias("mix_source"), F.col("parts").alias("mix_parts"), F.expr(cdf).alias("mix_cdf"))
     if table.select("mix_source").limit(FEW + 1).count() <= FEW:
         table = F.broadcast(table)
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source"))).withColumn("mix_id", ident)
+    docs = docs.select(*docs.columns, F.col(id_col).cast("string").alias("mix_id"))
+    whole = F.concat(F.lit("row-"), F.md5(F.to_json(F.struct(*(F.col(c) for c in names)), {"ignoreNullFields": "false"})))
+    again = ws.save(docs.where("mix_id IS NOT NULL").groupBy("mix_id").agg(F.count("*").alias("n")).where("n > 1").select("mix_id", F.lit(True).alias("mix_again")), "again")
+    if again.limit(1).count():
+        docs = docs.join(again, "mix_id", "left").withColumn("mix_id", F.when(F.col("mix_again"), whole).otherwise(F.col("mix_id")))
+    docs = docs.withColumn("mix_id", F.coalesce("mix_id", whole))
+    drawn = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
 
     def times(part):
         u = uniform(F.lit(seed), F.col("mix_id"), part)
@@ -64,4 +75,4 @@ def mix(
     many = F.aggregate(F.sequence(F.lit(0), F.col("mix_parts") - 1), F.lit(0), lambda s, part: s + times(part))
     copies = drawn.withColumn("mix_k", many).where("mix_k > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("mix_k"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), "mix_id", F.col("copy_no").cast("string"))))
-    return keyed.select(*docs.columns, "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return keyed.select(*names, "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")

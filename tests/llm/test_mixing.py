@@ -22,6 +22,20 @@ def test_rates_order_and_edge_cases(spark):
     assert abs(len(whole) - 6001) < 5 * math.sqrt(6001)
 
 
+def test_rows_without_id_or_with_a_repeated_one_are_drawn_apart(spark):
+    rows = [(None, f"t{i}", "s") for i in range(3000)] + [(5, f"u{i}", "s") for i in range(3000)] + [(9, None, "s"), (10, "", "s"), (11, "long " * 400_000, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix(spark, docs, total=12000)
+    got = out.select("doc_id", "text", "copy_no", "shuffle_key").collect()
+    assert abs(len(got) - 12000) < 6 * math.sqrt(12000)
+    for doc in (None, 5):
+        times = Counter(r.text for r in got if r.doc_id == doc)
+        assert len(set(times.values())) > 4 and abs(sum(times.values()) - 6000) < 6 * math.sqrt(6000)
+    assert len({r.shuffle_key for r in got}) == len(got)
+    same = mix(spark, spark.createDataFrame([(1, "t", "s")] * 3, docs.schema), total=300).collect()
+    assert len(same) % 3 == 0 and len({r.shuffle_key for r in same}) == len(same) // 3
+
+
 def test_rates_beyond_one_part(spark):
     docs = spark.createDataFrame([(i, "t", "s") for i in range(4)], "doc_id long, text string, source string")
     counts = Counter(r.doc_id for r in mix(spark, docs, total=4000).collect())
