@@ -18,7 +18,8 @@ Equal lines may be shorter than those that one edit is looked for in.
 
 Hashes are polynomials over characters modulo 2**64, so prefix sums over a block
 of text give every line, quarter and variant. The texts of the lines of step 3
-come from a second scan, through a bitmap of fixed size and then a join.
+come from a second scan, through a bitmap and then a join. A task remembers lines
+it has lately emitted in a table of fixed size, so a very common line makes few rows.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bytetext as bt
+from paperloom.llm.bitmap import bitmap, marked
 from paperloom.llm.workspace import Workspace
 
 #: Characters from which one edit is looked for in a line.
 MIN_CHARS = 12
-#: log2 of the bits in the bitmap of open lines.
-BITMAP = 24
+#: log2 of the lines that a task remembers.
+RECENT = 20
 _U = np.uint64
 _SEED = 0x2545F4914F6CDD1D
 
@@ -77,8 +79,9 @@ def _places(least: int):
         for batch in batches:
             for lo, row, number, start, end, total, _ in _lines(batch):
                 kept = end - start >= least
-                ids = batch.column(0).slice(lo).take(pa.array(row[kept]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number[kept].astype(np.int32)), pa.array(_ids(total, start[kept], end[kept]))], ["doc_id", "line_no", "line_id"])
+                at = pa.array(row[kept])
+                ids, own = (batch.column(i).slice(lo).take(at) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, own, pa.array(number[kept].astype(np.int32)), pa.array(_ids(total, start[kept], end[kept]))], ["doc_id", "own", "line_no", "line_id"])
 
     return run
 
@@ -87,12 +90,16 @@ def _quarters(least: int):
     """(outer, line_id, slot): what a line has besides each quarter, as the longer (slot 0-3) or shorter (4-7) of two lines."""
 
     def run(batches):
+        recent = np.zeros(1 << RECENT, np.int64)
         for batch in batches:
             for _, _, _, start, end, total, _ in _lines(batch):
                 kept = end - start >= least
                 start, end = start[kept], end[kept]
                 ids, first = np.unique(_ids(total, start, end), return_index=True)
-                start, end = start[first], end[first]
+                slot = (ids.view(_U) >> _U(64 - RECENT)).astype(np.int64)
+                new = recent[slot] != ids
+                recent[slot] = ids
+                ids, start, end = ids[new], start[first[new]], end[first[new]]
                 for more in (0, 1):
                     m = end - start + more
                     for q in range(4):
@@ -125,26 +132,15 @@ def _agreeing(batches):
         told, held = bool(many[-1]), [c[-1] for c in cols]
 
 
-def _bits(batches):
-    bits = np.zeros(1 << (BITMAP - 3), np.uint8)
-    for batch in batches:
-        slot = (np.asarray(batch.column(0)).view(_U) >> _U(64 - BITMAP)).astype(np.int64)
-        np.bitwise_or.at(bits, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
-    for lo in range(0, len(bits), 1 << 16):
-        if bits[lo : lo + (1 << 16)].any():
-            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int64()), pa.array([bits[lo : lo + (1 << 16)].tobytes()], pa.binary())], ["lo", "part"])
-
-
-def _texts(bitmap, least: int):
+def _texts(shared, least: int):
     def run(batches):
-        bits = bitmap.value
+        bits = shared.value
         for batch in batches:
             for _, _, _, start, end, total, code in _lines(batch):
                 kept = end - start >= least
                 start, end = start[kept], end[kept]
                 ids, first = np.unique(_ids(total, start, end), return_index=True)
-                slot = (ids.view(_U) >> _U(64 - BITMAP)).astype(np.int64)
-                hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(marked(bits, ids.view(_U)))
                 lines = [code[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in first[hit]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(lines, pa.string())], ["line_id", "line"])
 
@@ -192,13 +188,19 @@ def _emit(batches):
 def _without(least: int):
     def run(batches):
         for batch in batches:
-            marks = batch.column(2).to_pylist()
+            marks = batch.column(3).to_pylist()
+            null = np.asarray(batch.column(1).is_null())
             for lo, row, number, start, end, total, code in _lines(batch):
                 rows = int(row[-1]) + 1 if len(row) else 0
                 ids, at = _ids(total, start, end), np.searchsorted(row, np.arange(rows + 1))
                 lines, kept, texts = [], [], []
                 for r in range(rows):
                     a, b = at[r], at[r + 1]
+                    if null[lo + r]:
+                        lines.append(0)
+                        kept.append(0)
+                        texts.append(None)
+                        continue
                     gone = {(m["line_no"], m["line_id"]) for m in marks[lo + r] or ()}
                     stay = [i for i in range(a, b) if not gone or (int(number[i]), int(ids[i])) not in gone]
                     lines.append(b - a)
@@ -213,11 +215,9 @@ def _within_one_edit(ws: Workspace, docs: DataFrame, first: DataFrame, least: in
     """(line_id) of the lines that have an earlier line within one edit; first(line_id, first) has the earliest places."""
     quarters = docs.mapInArrow(_quarters(least), "outer long, line_id long, slot byte")
     open_ = ws.save(quarters.repartition("outer").sortWithinPartitions("outer", "line_id").mapInArrow(_agreeing, "outer long, line_id long, slot byte").distinct(), "open")
-    bits = np.zeros(1 << (BITMAP - 3), np.uint8)
-    for r in open_.select("line_id").mapInArrow(_bits, "lo long, part binary").toLocalIterator():  # the bitmap's size at most for each task
-        bits[r.lo : r.lo + len(r.part)] |= np.frombuffer(r.part, np.uint8)
-    found = docs.mapInArrow(_texts(docs.sparkSession.sparkContext.broadcast(bits), least), "line_id long, line string")
-    asked = open_.select("line_id").distinct()
+    asked = ws.save(open_.select("line_id").distinct(), "asked")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(asked, "line_id"))
+    found = docs.mapInArrow(_texts(bits, least), "line_id long, line string")
     texts = ws.save(found.join(asked, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line")).join(first, "line_id"), "texts")
     keys = ws.save(open_.join(texts, "line_id").select("line_id", "line", "outer", "slot").mapInArrow(_emit, "key long, line_id long, role byte"), "keys")
     placed = keys.where("role = 2").join(texts.select("line_id", "first"), "line_id")
@@ -230,30 +230,35 @@ def _within_one_edit(ws: Workspace, docs: DataFrame, first: DataFrame, least: in
     b = texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
     near = pairs.join(a, "a").join(b, "b").where(F.levenshtein("la", "lb", 1) >= 0)
     gone = ws.save(near.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("line_id")).distinct(), "gone")
-    ws.drop("open", "texts", "keys")
+    ws.drop("open", "asked", "texts", "keys")
     return gone
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, equal_chars: int | None = None) -> DataFrame:
-    """(doc_id, n_lines, n_kept, text) for every row of docs whose text is not null, with the lines that stay.
+def line_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, equal_chars: int = 1) -> DataFrame:
+    """(doc_id, n_lines, n_kept, text) for every row of docs, with the lines that stay.
 
     A line goes when an earlier line, by (doc_id, line number), is equal to it or
     within one edit, whether or not that line itself stays. One edit counts between
-    lines of min_chars characters or more, equality from equal_chars on (min_chars
-    where that is None); shorter lines always stay. Rows with the same id are one sequence of
-    places each, told apart by their text: of equal places the first occurrence
-    stays in all of them. Rows without id come last. Other columns are not read.
+    lines of min_chars characters or more, equality from equal_chars on; shorter lines
+    always stay. Rows with the same id are one sequence of places each, told apart by
+    their text: of equal places the first occurrence stays in all of them. Rows without
+    id come last, in the order of a hash of their text; equal ones among them count as
+    one. A null text has no lines and stays null, an empty one has one empty line.
+    Other columns are not read.
     """
     ws = Workspace(spark, "line-dedup")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    lines = docs.mapInArrow(_places(min_chars if equal_chars is None else equal_chars), "doc_id long, line_no int, line_id long")
-    # places compare as strings: doc_id with its sign turned, then line number, both with leading zeros
-    place = F.concat(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lpad(F.hex("line_no"), 8, "0"))
-    lines = ws.save(lines.withColumn("place", F.coalesce(place, F.lit("f" * 24))), "lines")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("own", F.xxhash64("text"))
+    full = docs.where("text IS NOT NULL")
+    # places compare as strings: doc_id with its sign turned, then line number, with leading zeros
+    number = F.lpad(F.hex("line_no"), 8, "0")
+    place = F.concat(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), number)
+    lines = full.mapInArrow(_places(equal_chars), "doc_id long, own long, line_no int, line_id long")
+    lines = ws.save(lines.withColumn("place", F.coalesce(place, F.concat(F.lit("g"), F.lpad(F.hex("own"), 16, "0"), number))), "lines")
     first = ws.save(lines.groupBy("line_id").agg(F.min("place").alias("first")), "first")
-    gone = _within_one_edit(ws, docs, first, min_chars).withColumn("gone", F.lit(True))
+    gone = _within_one_edit(ws, full, first, min_chars).withColumn("gone", F.lit(True))
+    ws.settle()
     out = lines.join(first, "line_id").join(gone, "line_id", "left").where("gone OR place > first")
-    marks = ws.save(out.groupBy(F.col("doc_id").alias("marked")).agg(F.collect_set(F.struct("line_no", "line_id")).alias("marks")), "marks")
+    marks = ws.save(out.groupBy(F.col("doc_id").alias("marked"), F.col("own").alias("marked_own")).agg(F.collect_set(F.struct("line_no", "line_id")).alias("marks")), "marks")
     ws.drop("lines", "first", "gone")
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("marked")), "left").select("doc_id", "text", "marks")
+    joined = docs.join(marks, (F.col("own") == F.col("marked_own")) & F.col("doc_id").eqNullSafe(F.col("marked")), "left").select("doc_id", "text", "own", "marks")
     return joined.mapInArrow(_without(min_chars), "doc_id long, n_lines long, n_kept long, text string")

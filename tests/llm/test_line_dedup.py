@@ -13,14 +13,17 @@ def distance_within_one(a, b):
 
 
 def brute(rows, least):
-    places = [(doc, n, line) for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]) for n, line in enumerate(text.split("\n"))]
-    gone = {(d, n) for i, (d, n, x) in enumerate(places) if len(x) >= least and any(len(y) >= least and distance_within_one(x, y) for _, _, y in places[:i])}
+    """(n_lines, n_kept, text) by (id, text); rows without id come last."""
+    order = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is None, r[0] or 0))
+    places = [(doc, text, n, line) for doc, text in order for n, line in enumerate(text.split("\n"))]
+    near = lambda x, y: x == y != "" or min(len(x), len(y)) >= least and distance_within_one(x, y)
+    earlier = lambda p, q: q[0] != p[0] or q[2] < p[2]  # noqa: E731  of one id, each text is a sequence of the same places
+    gone = {p[:3] for i, p in enumerate(places) if any(earlier(p, q) and near(p[3], q[3]) for q in places[:i])}
     out = {}
     for doc, text in rows:
-        if text is not None:
-            lines = text.split("\n")
-            kept = [x for n, x in enumerate(lines) if (doc, n) not in gone]
-            out[doc] = (len(lines), len(kept), "\n".join(kept))
+        lines = [] if text is None else text.split("\n")
+        kept = [x for n, x in enumerate(lines) if (doc, text, n) not in gone]
+        out[doc, text] = (len(lines), len(kept), None if text is None else "\n".join(kept))
     return out
 
 
@@ -45,7 +48,16 @@ def test_same_as_brute_force(spark):
     rows += [(500, None), (501, ""), (502, "x" * 40_000), (503, "x" * 39_999), (504, "ends with a break\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "'clash' AS line_id").repartition(3)
     got = {r.doc_id: (r.n_lines, r.n_kept, r.text) for r in line_dedup(spark, docs).collect()}
-    assert got == brute(rows, 12)
+    assert got == {doc: v for (doc, _), v in brute(rows, 12).items()}
+
+
+def test_null_and_repeated_ids_and_repeated_rows(spark):
+    rows = [(3, "a line of the page\nmore"), (3, "a line of the page\nmore"), (None, "a line of the page\nonly without an id"), (None, "tail\nonly without an id!"), (None, "tail\nonly without an id!"), (None, None), (4, None)]
+    got = line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'o' AS own")).collect()
+    assert sorted(str((r.doc_id, r.n_lines, r.n_kept)) for r in got if r.text is None or r.doc_id == 3) == sorted(map(str, [(3, 2, 2), (3, 2, 2), (None, 0, 0), (4, 0, 0)]))
+    rest = sorted(r.text for r in got if r.doc_id is None and r.text is not None)
+    # of the two near lines without an id, the one that comes first by its text's hash stays
+    assert rest in (["only without an id", "tail", "tail"], ["", "tail\nonly without an id!", "tail\nonly without an id!"])
 
 
 def test_empty_table(spark):
