@@ -9,10 +9,11 @@ will do and a lost task leaves nothing half written:
 
 * `codebook`: symbol, bits. Codes follow canonically: sorted by (bits, symbol),
   each the successor of the one before.
-* `blocks`: part, block (together ascending with doc_id), n_ids, and per block
-  doc_ids (int64), doc_sizes (uint32), marks (uint32 bit offset of every
-  STRIDE-th id) and payload (big-endian 32-bit words, codes from the top bit).
-  A document stands in one block; a block needs nothing but the codebook.
+* `blocks`: part, block (together ascending with doc_id, null first), n_ids, n_null
+  (documents without id, the first of a block), and per block doc_ids (int64),
+  doc_sizes (uint32), marks (uint32 bit offset of every STRIDE-th id) and payload
+  (big-endian 32-bit words, codes from the top bit). A document stands in one
+  block; a block needs nothing but the codebook.
 
 Decoding looks up MAX_BITS bits at a time in one table and runs all of a
 block's checkpoints side by side.
@@ -36,7 +37,9 @@ BLOCK_IDS = 1 << 18
 #: Words in one generation of a worker's memory.
 REMEMBER = 500_000
 _ROWS = 256
-_BLOCK = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+_BLOCK = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+#: Texts whose ids tell whether a model may be asked word by word.
+_PROBES = ("Of one, two\tand Three.\n\nÉté  it's 4 o'clock ", "a", " b.c,d  12.5\r\n-x")
 
 
 def lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -126,11 +129,16 @@ def unpack(payload: bytes, marks: np.ndarray, n: int, table) -> np.ndarray:
     return out.ravel()[:n]
 
 
+def words_of(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class WordIds:
     """Ids of words as bytes, from the tokenizer or from memory.
 
-    Words stand between spaces and are encoded alone: no token, merge or
-    normalisation of the model reaches over white space. A word of letters or
+    Words stand between spaces and are encoded alone where no token, merge or
+    normalisation of the model reaches over white space, as its marks for word ends
+    and some probes show; other models get whole texts. A word of letters or
     digits below U+0130 with full stops or commas behind has the ids of both parts,
     and those of its lower case. Words of letters only make one
     piece each, which the mark at the end of its last token shows, so they are
@@ -152,6 +160,8 @@ class WordIds:
         self.simple = bool(self.suffix) and lowers
         if self.simple:
             self.closes[[i for t, i in self.model.get_vocab().items() if t.endswith(self.suffix)]] = True
+        joined = lambda t: b"".join(self._encoded(words_of(t)))
+        self.by_word = bool(self.suffix) and all(joined(t) == self._encoded([t])[0] for t in _PROBES)
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -159,6 +169,17 @@ class WordIds:
     def _encoded(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch(words, add_special_tokens=False)]
 
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
+        if not self.by_word:
+            return self._encoded(texts)
+        split = [words_of(t) for t in texts]
+        words = set().union(*split).difference(self.new)
+        if words:
+            self.learn(words if len(self.new) + len(words) <= REMEMBER else set().union(*split))
+        look = self.new.__getitem__
+        return [b"".join(map(look, s)) for s in split]
+
     def _tail(self, marks: str) -> bytes:
         found = self.tails.get(marks)
         if found is None:
@@ -217,12 +238,7 @@ def _encode(path: str, end_id: int):
         counts = np.zeros(memory.size, np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS):
-                split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in batch.column(1).slice(lo, _ROWS).to_pylist()]
-                words = set().union(*split).difference(memory.new)
-                if words:
-                    memory.learn(words if len(memory.new) + len(words) <= REMEMBER else set().union(*split))
-                look = memory.new.__getitem__
-                ids = [b"".join(map(look, s)) + end for s in split]
+                ids = [x + end for x in memory.of([t or "" for t in batch.column(1).slice(lo, _ROWS).to_pylist()])]
                 counts += np.bincount(np.frombuffer(b"".join(ids), memory.kind), minlength=memory.size)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, _ROWS), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
@@ -233,6 +249,17 @@ def _encode(path: str, end_id: int):
     return run
 
 
+def _counted(batches):
+    """(symbol, n) of the counts of whole tasks."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            one = np.frombuffer(raw, np.int64)
+            total = total + one if len(total) else one.copy()
+    symbol = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(symbol), pa.array(total[symbol])], ["symbol", "n"])
+
+
 def _write(book):
     def run(batches):
         from pyspark import TaskContext
@@ -246,9 +273,9 @@ def _write(book):
             nonlocal block, docs, sizes, ids, held
             flat = np.concatenate(ids)
             payload, marks = pack(flat, code, bits)
-            row = [part, block, len(flat), np.array(docs, np.int64).tobytes(), np.array(sizes, np.uint32).tobytes(), marks.tobytes(), payload]
+            row = [part, block, len(flat), docs.count(None), np.array([x or 0 for x in docs], np.int64).tobytes(), np.array(sizes, np.uint32).tobytes(), marks.tobytes(), payload]
             block, docs, sizes, ids, held = block + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _BLOCK)], ["part", "block", "n_ids", "doc_ids", "doc_sizes", "marks", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, _BLOCK)], ["part", "block", "n_ids", "n_null", "doc_ids", "doc_sizes", "marks", "payload"])
 
         for batch in batches:
             for doc, n, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -270,22 +297,22 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_i
 
     tokenizer is the file of a model of the `tokenizers` library, readable on all
     executors. Each text is followed by end_id; null texts count as empty. Rows
-    with the same id follow each other, ordered by their ids' hash. Rows with a null id
-    come first (and read back as -2**63). Other columns are not read.
+    with the same id follow each other, ordered by a hash of their tokens. Rows with a
+    null id come first. Other columns are not read. Without rows the files are empty.
     """
     ws = Workspace(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "text")
     coded = ws.save(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, n long, ids binary, counts binary"), "ids")
-    counts = None
-    for row in coded.where("n < 0").select("counts").toLocalIterator():  # one row a task, of the vocabulary's size
-        one = np.frombuffer(row.counts, np.int64)
-        counts = one.copy() if counts is None else counts + one
-    bits = lengths(counts if counts is not None else np.zeros(1, np.int64))
+    counts = coded.where("n < 0").select("counts").mapInArrow(_counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()  # the vocabulary's size at most
+    symbols, times = counts.column("symbol").to_numpy(), counts.column("n").to_numpy()
+    total = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, np.int64)
+    total[symbols] = times
+    bits = lengths(total)
     spark.createDataFrame(pa.table({"symbol": np.flatnonzero(bits), "bits": bits[bits > 0]})).coalesce(1).write.parquet(f"{path}/codebook")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = coded.where("n > 0").select("doc_id", "n", "ids").repartitionByRange(parts, "doc_id").withColumn("h", F.xxhash64("ids")).sortWithinPartitions("doc_id", "n", "h").drop("h")
-    ordered.mapInArrow(_write(spark.sparkContext.broadcast(bits)), "part int, block int, n_ids long, doc_ids binary, doc_sizes binary, marks binary, payload binary").write.parquet(f"{path}/blocks")
+    # the hash deals out rows of one id, or of none, to several parts
+    ordered = coded.where("n > 0").select("doc_id", "n", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "n").drop("h")
+    ordered.mapInArrow(_write(spark.sparkContext.broadcast(bits)), "part int, block int, n_ids long, n_null long, doc_ids binary, doc_sizes binary, marks binary, payload binary").write.parquet(f"{path}/blocks")
     ws.drop("ids")
 
 
@@ -293,11 +320,11 @@ def _read(book, digest: bool):
     def run(batches):
         table = decoding_table(book.value)
         for batch in batches:
-            for part, block, n, docs, sizes, marks, payload in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for part, block, n, n_null, docs, sizes, marks, payload in zip(*(batch.column(i).to_pylist() for i in range(8))):
                 ids = unpack(payload, np.frombuffer(marks, np.uint32), n, table)
                 sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
                 at = np.concatenate(([0], np.cumsum(sizes)))
-                rows = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.full(len(sizes), block, np.int32)), pa.array(np.frombuffer(docs, np.int64)), pa.array(at[:-1]), pa.array(sizes)]
+                rows = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.full(len(sizes), block, np.int32)), pa.array(np.frombuffer(docs, np.int64), mask=np.arange(len(sizes)) < n_null), pa.array(at[:-1]), pa.array(sizes)]
                 if digest:
                     raw = memoryview(ids.astype("<u4")).cast("B")
                     rows.append(pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64()))

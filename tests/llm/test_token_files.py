@@ -32,11 +32,24 @@ def test_files_hold_what_the_library_gives(spark, tmp_path):
 def test_repeated_ids_and_an_empty_table(spark, tmp_path):
     tf.write(spark, spark.createDataFrame([(5, "a b"), (5, "c"), (5, "a b"), (None, "z")], "doc_id long, text string"), str(tmp_path / "b"), PATH, 2)
     got = tf.read(spark, str(tmp_path / "b"), digest=True).orderBy("start").collect()
-    assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(-(2**63), 0, 2), (5, 2, 2), (5, 4, 3), (5, 7, 3)]
+    assert (got[0].doc_id, got[0].start, got[0].n_tokens) == (None, 0, 2)
+    assert [r.doc_id for r in got[1:]] == [5, 5, 5] and sorted(r.n_tokens for r in got[1:]) == [2, 3, 3] and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    low = spark.createDataFrame([(-(2**63), "low"), (None, "none"), (None, None)], "doc_id long, text string")
+    tf.write(spark, low, str(tmp_path / "d"), PATH, 2)
+    assert [r.doc_id for r in tf.read(spark, str(tmp_path / "d")).orderBy("start").collect()] == [None, None, -(2**63)]
     tf.write(spark, spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "c"), PATH, 2)
     assert tf.read(spark, str(tmp_path / "c"), digest=True).collect() == []
 
 
+def test_a_model_that_joins_words_gets_whole_texts(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, t) for i, t in enumerate(["Hello world, it's  2024!\n\n x", "", None, "naïve " * 300, "日本語のテキスト 한국어"])]
+    tf.write(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "e"), path, 2)
+    model = Tokenizer.from_file(path)
+    assert {r.doc_id: r.ids for r in tf.read(spark, str(tmp_path / "e")).collect()} == {i: model.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows}
+    assert tf.WordIds(PATH, 2).by_word and not tf.WordIds(path, 2).by_word
+
+
 def test_code_lengths():
     rng = np.random.default_rng(1)
     for counts, limit in ((2 ** np.arange(30), 7), (rng.zipf(1.3, 5000), 13), (np.array([0, 9, 0]), 18), (np.array([1, 1]), 1)):
