@@ -13,17 +13,20 @@ only into groups whose union holds enough of its shingles.
    is hardly more than near copies. A task emits those of equal sets once.
 3. The others get their whole sets and are grouped: minhash bands propose to each
    node the leader that it shares most bands with, exact Jaccard confirms, and
-   components of confirmed links are the groups.
+   components of confirmed links are the groups. Nodes that step 4 leaves over try
+   again with neighbours in their bands, so that families of loose copies join too.
 4. A node with too many shingles that no *other* group holds has no partner
    outside its group and retires, first by a sample of shingles (those below a
    fixed hash value, so the bound holds), then by whole sets.
 5. For the rest the matrix (shingle, group) finds the candidates: shingles are
-   ordered by the number of groups that hold them, a node's prefix meets the
-   prefixes of other groups, with the sizes their members have, and the overlap
-   of the node with the group's union is counted. Only groups whose overlap
-   reaches the bound are opened: their members are compared one by one. Of two
-   groups the members of the smaller ask, and as members of a group are linked
-   already, a large group of near copies costs one question of each stray node.
+   ordered by the number of groups that hold them, and prefixes meet group by group,
+   with bounds on the sizes and on what members share with other groups at all (the
+   smaller of two sets that link shows itself in a shorter prefix). Of two groups the
+   members of the smaller ask; the overlap of each with the other group's union is
+   counted, and only groups whose overlap reaches the bound are opened: block by
+   block, members and askers meet in one task, which returns links and nothing else.
+   As members of a group are linked already, a large group of near copies costs one
+   question of each stray node.
 
 Every comparison that decides a link is exact on 64-bit shingle hashes; the
 minhash bands only save work, and prefix, length and overlap bounds lose no link.
@@ -46,6 +49,10 @@ from paperloom.llm.workspace import Workspace
 SAMPLE = 0.3
 BELOW = int(-(2**63) + SAMPLE * 2**64)
 BANDS, ROWS = 12, 3
+#: Further rounds of grouping, and nodes of one band that elect a neighbour together.
+AGAIN, TOGETHER = 2, 4
+#: Bounds on a block of an opened group or of its askers.
+BLOCK_NODES, BLOCK_TOKENS = 512, 1 << 20
 #: One in so many shingles is to be found in common among the leading ones.
 MORE = 6
 _U = np.uint64
@@ -158,6 +165,25 @@ def _whole(k: int):
     return run
 
 
+def _links(num: int, den: int):
+    """For each asker, the member that it shares most with, where that is enough."""
+
+    def run(members: pa.Table, askers: pa.Table) -> pa.Table:
+        node, n = (members.column(c).to_numpy() for c in ("node", "n"))
+        token, owner = members.column("tokens").combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        found = []
+        for a, na, own in zip(askers.column("asker").to_pylist(), askers.column("size").to_pylist(), askers.column("own")):
+            own = own.values.to_numpy()  # sorted
+            at = np.minimum(np.searchsorted(own, token), len(own) - 1)
+            shared = np.bincount(owner[own[at] == token], minlength=len(n))
+            good = np.flatnonzero(shared * den >= (n + na - shared) * num)
+            if len(good):
+                found.append((a, int(node[good[np.argmax(shared[good])]])))
+        return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return run
+
+
 class _Join:
     """One run: the steps as methods, so that what a step planned goes out of scope with it."""
 
@@ -216,14 +242,34 @@ class _Join:
         return edges, connected_components(self.ws, edges, "groups")
 
     def rest(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
-        """(id, n, g, tokens) of the nodes that may have a partner outside their group g."""
-        sets = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("label", "id").alias("g"), "tokens", "n_sample")
+        """(id, n, g, tokens, bands) of the nodes that may have a partner outside their group g."""
+        sets = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("label", "id").alias("g"), "tokens", "bands", "n_sample")
         fewer = self.without_partners(sets.select("id", "n", "g", F.expr("slice(tokens, 1, cast(n_sample as int))").alias("tokens")))
         some = self.ws.save(sets.join(fewer, "id", "left_anti").drop("n_sample"), "some")
         last = self.ws.save(some.join(self.without_partners(some), "id", "left_anti"), "last")
         self.ws.drop("some")
         return last
 
+    def neighbours(self, sets: DataFrame, r: int) -> DataFrame:
+        """(a, b): each node and, of every band, one of the few nodes of other groups that it is put together with."""
+        keyed = sets.select("id", "g", F.explode("bands").alias("key"))
+        crowd = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / TOGETHER).alias("seats"))
+        seated = keyed.join(crowd, "key").withColumn("seat", F.pmod(F.xxhash64("id", F.lit(r)), F.col("seats")))
+        leads = seated.groupBy("key", "seat").agg(F.min(F.struct(F.xxhash64("id", F.lit(-r)).alias("h"), F.col("id").alias("lead"), F.col("g").alias("lg"))).alias("l"))
+        return seated.join(leads, ["key", "seat"]).where("g <> l.lg").select(F.col("id").alias("a"), F.col("l.lead").alias("b")).distinct()
+
+    def regrouped(self, last: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """last and the edges after further rounds of grouping."""
+        for r in range(1, AGAIN + 1):
+            fresh = self.ws.save(self.linked(self.neighbours(last, r), last), f"edges_{r}")
+            if not fresh.limit(1).count():
+                break
+            edges = edges.unionByName(fresh)
+            labels = connected_components(self.ws, edges, f"groups_{r}").select(F.col("node").alias("id"), "label")
+            named = last.join(labels, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label")
+            last = self.ws.save(named.join(self.without_partners(named), "id", "left_anti"), f"last_{r}")
+        return last, edges
+
     def without_partners(self, sets: DataFrame) -> DataFrame:
         """Nodes with too many shingles that no other group holds."""
         rows = sets.select("id", "g", F.explode("tokens").alias("token"))
@@ -232,44 +278,58 @@ class _Join:
         return count.join(sets.select("id", "n"), "id").where(f"own > {self.spare}").select("id")
 
     def prefixes(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The matrix (token, g), and (id, n, own, g, token) of the nodes' rarest tokens that several groups hold."""
+        """The matrix (token, g), and (id, n, own, g, token, place) of the nodes' rarest tokens that several groups hold."""
         rows = sets.select("id", "n", "g", F.explode("tokens").alias("token"))
         matrix = self.ws.save(rows.select("token", "g").distinct(), "matrix")
         held = matrix.groupBy("token").agg(F.count("*").alias("df"))
         by_node = Window.partitionBy("id")
         ranked = rows.join(held, "token").withColumns({"place": F.row_number().over(by_node.orderBy("df", "token")), "own": F.sum((F.col("df") == 1).cast("long")).over(by_node)})
-        return matrix, self.ws.save(ranked.where(f"place <= {self.spare} + 1 AND df > 1").select("id", "n", "own", "g", "token"), "prefix")
+        return matrix, self.ws.save(ranked.where(f"place <= {self.spare} + 1 AND df > 1").select("id", "n", "own", "g", "token", "place"), "prefix")
 
     def asked(self, sets: DataFrame, prefix: DataFrame) -> DataFrame:
-        """(a, n, g): nodes and the groups that may hold a partner, by prefix and sizes."""
+        """(a, n, g, members): nodes and the groups that may hold a partner, by prefixes, sizes and shared tokens."""
         num, den = self.num, self.den
+        room = F.max(F.col("n") - F.col("own")).alias("room")
+        # of a pair, the smaller set shows a common token in its first n - 2 num n / (num + den) + 1, the larger in its whole prefix
+        index = prefix.where(f"place <= n - (2 * n * {num} + {num + den - 1}) DIV {num + den} + 1").groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), room)
+        probe = prefix.groupBy("token", "g").agg(F.min("n").alias("p_lo"), F.max("n").alias("p_hi"), room.alias("p_room")).withColumnRenamed("g", "p")
+        sized = f"lo <= p_hi AND hi * {den} >= p_lo * {num}"
+        fits = f"least(room, p_room) * {num + den} >= (lo + greatest(lo, p_lo)) * {num}"
+        pairs = index.join(probe, "token").where("g <> p").where(sized).where(fits).select(F.least("g", "p").alias("x"), F.greatest("g", "p").alias("y")).distinct()
         members = sets.groupBy("g").agg(F.count("*").alias("members"))
-        prefix = prefix.join(members, "g")
-        offer = prefix.groupBy("token", "g", "members").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("own")).alias("room"))
-        offer = offer.select("token", F.col("g").alias("og"), F.col("members").alias("om"), "lo", "hi", "room")
-        sized = f"lo * {num} <= n * {den} AND hi * {den} >= n * {num}"
-        # the overlap with the smallest partner there may be must fit into what both share with other groups
-        least = f"(n + greatest(lo, n * {num} DIV {den})) * {num}"
-        fits = f"(n - own) * {num + den} >= {least} AND room * {num + den} >= {least}"
-        met = prefix.join(offer, "token").where("members < om OR members = om AND g < og").where(sized).where(fits)
-        return self.ws.save(met.select(F.col("id").alias("a"), "n", F.col("og").alias("g")).distinct(), "asked")
-
-    def opened(self, sets: DataFrame, matrix: DataFrame, asked: DataFrame) -> DataFrame:
-        """(a, b): one node of each group that a node links with; only groups whose union holds enough of the node are opened."""
+        for c in "xy":
+            pairs = pairs.join(members.select(F.col("g").alias(c), F.col("members").alias(f"m{c}")), c)
+        turned = F.col("mx") <= F.col("my")
+        asks = pairs.select(F.when(turned, F.col("x")).otherwise(F.col("y")).alias("own"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("g"), F.greatest("mx", "my").alias("members"))
+        return self.ws.save(asks.join(sets.select(F.col("id").alias("a"), "n", F.col("g").alias("own")), "own").select("a", "n", "g", "members"), "asked")
+
+    def qualified(self, sets: DataFrame, matrix: DataFrame, asked: DataFrame) -> DataFrame:
+        """(a, g): the questions whose node has enough tokens in the group's union; of a single member its comparison decides."""
         held = (
-            asked.join(sets.select(F.col("id").alias("a"), "tokens"), "a")
+            asked.where("members > 1").join(sets.select(F.col("id").alias("a"), "tokens"), "a")
             .select("a", "n", "g", F.explode("tokens").alias("token"))
             .join(matrix, ["token", "g"])
             .groupBy("a", "n", "g").agg(F.count("*").alias("both"))
             .where(f"both * {self.den} >= n * {self.num}")
         )
-        members = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-        pairs = held.join(members, "g").where(f"least(n, nb) * {self.den} >= greatest(n, nb) * {self.num}").select("a", "b")
-        return self.ws.save(self.linked(pairs, sets), "across")
+        return self.ws.save(held.select("a", "g").unionByName(asked.where("members = 1").select("a", "g")), "qualified")
+
+    def opened(self, sets: DataFrame, asks: DataFrame) -> DataFrame:
+        """(a, b): for each question a node of the group that the asker links with, if there is one in a block."""
+        cuts = lambda size, name: F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_NODES}), ceil(sum({size}) / {BLOCK_TOKENS})) as int)").alias(name)
+        members = sets.select("g", F.col("id").alias("node"), "n", "tokens")
+        asks = asks.join(sets.select(F.col("id").alias("a"), F.col("n").alias("size"), F.col("tokens").alias("own")), "a").select("g", F.col("a").alias("asker"), "size", "own")
+        shape = members.groupBy("g").agg(cuts("n", "rows")).join(asks.groupBy("g").agg(cuts("size", "cols")), "g")
+        spread = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+        place = lambda c, x: F.pmod(F.xxhash64(c), F.col(x)).cast("int")
+        left = members.join(shape, "g").select("g", place("node", "rows").alias("i"), spread("cols").alias("j"), "node", "n", "tokens")
+        right = asks.join(shape, "g").withColumn("j", place("asker", "cols")).select(F.col("g").alias("g2"), spread("rows").alias("i2"), F.col("j").alias("j2"), "asker", "size", "own")
+        met = left.groupBy("g", "i", "j").cogroup(right.groupBy("g2", "i2", "j2")).applyInArrow(_links(self.num, self.den), "a long, b long")
+        return self.ws.save(met, "across")
 
     def across(self, sets: DataFrame) -> DataFrame:
         matrix, prefix = self.prefixes(sets)
-        return self.opened(sets, matrix, self.asked(sets, prefix))
+        return self.opened(sets, self.qualified(sets, matrix, self.asked(sets, prefix)))
 
     def classes(self) -> DataFrame:
         """(doc, row, n, component) for every row: the class's smallest node, null without shingles or id."""
@@ -280,12 +340,13 @@ class _Join:
         sets = self.sets(nodes)
         edges, labels = self.grouped(sets)
         ws.settle()
-        last = self.rest(sets, labels)
+        last, edges = self.regrouped(self.rest(sets, labels), edges)
         ws.settle()
         edges = edges.unionByName(self.across(last))
         labels = connected_components(ws, edges, "final")
         named = ws.save(nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", "twin", "n", "rep", F.coalesce("label", "id").alias("component")), "named")
-        ws.drop("nodes", "whole", "once", "edges", "last", "matrix", "prefix", "asked", "across")
+        again = [f"{x}_{r}" for x in ("edges", "groups", "last") for r in range(1, AGAIN + 1)]
+        ws.drop("nodes", "whole", "once", "edges", "last", "matrix", "prefix", "asked", "qualified", "across", *again)
         ws.settle()
         smallest = named.groupBy("component").agg(F.min("rep").alias("least"))
         of = named.join(smallest, "component").select("node", "twin", "n", "component", "least")
