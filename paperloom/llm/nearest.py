@@ -4,10 +4,18 @@ Vectors are scaled to length one and dealt to lists by the nearest of some
 centroids (k-means on a bounded sample; every vector is indexed). What is left
 after the centroid is rotated at random and kept as one bit a dimension, packed,
 with two scalars: its length, and its inner product with its own code. From
-these the inner product with a query follows up to an error whose bound is known
-with high probability; only vectors whose upper bound reaches the fifth best
-lower bound are compared in double precision. Lists and the queries that probe
-them are cut into blocks, so a popular list is many tasks.
+these the inner product with a query, whose rotated rest is cut into bit planes of
+few-bit integers, follows by counting common bits, up to an error whose bound is
+known with high probability; only vectors whose upper bound reaches the fifth best
+lower bound are compared in double precision.
+
+A query first visits its FIRST nearest lists, which gives its fifth best score so
+far. For every other list the number of vectors beyond that score is expected from
+the centroid's cosine, the list's size and the length of what is left: the lists
+with the least to expect are left out as long as all together promise MISSED vectors
+at most. On clustered vectors few lists remain, on others all may; there is no fixed
+share. Lists and the queries that visit them are cut into blocks, so a popular
+list is many tasks.
 
 Equal vectors are one candidate with its k + 1 smallest ids: a further copy
 always loses the tie against k of these, so nothing is lost.
@@ -22,13 +30,17 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.workspace import Workspace
 
-#: Bound on the vectors that the centroids are fitted on, vectors a list is made for, and the share of lists a query probes.
-SAMPLE, PER_LIST, PROBED = 16384, 1024, 0.4
-MAX_LISTS = 2048
+#: Bounds on the vectors that the centroids are fitted on and on the lists, and vectors a list is made for.
+SAMPLE, MAX_LISTS, PER_LIST = 16384, 2048, 1024
+#: Lists that a query visits first, and near vectors that those it leaves out may be expected to hold.
+FIRST, MISSED = 4, 0.02
+#: Allowance for what is left not being quite normal.
+TAIL = 1.2
+#: Bits of the integers that a query's coordinates are cut to.
+PLANES = 6
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
 #: Standard deviations that the error bound allows.
 SIGMAS = 3.0
-_SCHEMA = "list int, vec_id long, embedding array<float>, code binary, length float, fit float"
 
 
 def fit_centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
@@ -73,7 +85,7 @@ def _code(model, dim: int):
             bits = left > 0
             code = np.where(bits, 1, -1).astype(np.float32) / np.sqrt(dim)
             fit = (code * left).sum(1) / np.maximum(length, 1e-12)
-            packed = np.packbits(bits, axis=1)
+            packed = _packed(bits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(near.astype(np.int32)), batch.column(0), batch.column(1), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(length), pa.array(fit.astype(np.float32))],
                 ["list", "vec_id", "embedding", "code", "length", "fit"],
@@ -82,16 +94,50 @@ def _code(model, dim: int):
     return run
 
 
-def _probe(model, dim: int, probes: int):
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as rows of bytes, filled up to whole 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
+
+
+def _first(model, dim: int):
+    """(list, query_id, embedding, floor) of the nearest lists of each query; no score is known yet."""
+
     def run(batches):
         c, _ = model.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             unit = _unit(_matrix(batch.column(1), dim))
-            best = np.argsort(-(unit @ c.T - 0.5 * (c * c).sum(1)), axis=1, kind="stable")[:, :probes]
-            row = np.repeat(np.arange(len(unit)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["list", "query_id", "embedding"])
+            best = np.argsort(-(unit @ c.T - 0.5 * (c * c).sum(1)), axis=1, kind="stable")[:, :FIRST]
+            row = pa.array(np.repeat(np.arange(len(unit)), best.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(best.ravel().astype(np.int32)), batch.column(0).take(row), batch.column(1).take(row), pa.nulls(len(row), pa.float64())], ["list", "query_id", "embedding", "floor"])
+
+    return run
+
+
+def _others(model, stats, dim: int):
+    """The same rows for the lists worth a visit afterwards; floor is the score to beat."""
+
+    def run(batches):
+        c, _ = model.value
+        size, length, spread = stats.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = _unit(_matrix(batch.column(1), dim))
+            near = unit @ c.T
+            seen = np.argsort(-(near - 0.5 * (c * c).sum(1)), axis=1, kind="stable")[:, :FIRST]
+            floor = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            beat = np.where(np.isnan(floor), -2.0, floor)
+            z = np.maximum((beat[:, None] - near) / np.maximum(length * spread, 1e-9), 0)
+            expected = size * 0.5 * np.exp(-0.5 * z * z)
+            expected[np.arange(len(unit))[:, None], seen] = 0
+            order = np.argsort(expected, axis=1, kind="stable")
+            upto = np.cumsum(np.take_along_axis(expected, order, 1), axis=1)
+            row, place = np.nonzero(upto > MISSED)
+            row, lists = pa.array(row), order[row, place]
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *(batch.column(i).take(row) for i in range(3))], ["list", "query_id", "embedding", "floor"])
 
     return run
 
@@ -102,6 +148,19 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def _inner(left: np.ndarray, code: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inner products of rows of left with codes of plus and minus one, step of the integers), by common bits."""
+    low = left.min(1, keepdims=True)
+    step = np.maximum((left.max(1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-12)
+    whole = np.rint((left - low) / step).astype(np.uint8)
+    total = np.zeros((len(left), len(code)), np.int64)
+    for b in range(PLANES):
+        plane = _packed((whole >> b & 1).astype(bool)).view(np.uint64)
+        for w in range(code.shape[1]):
+            total += np.bitwise_count(plane[:, w, None] & code[None, :, w]).astype(np.int64) << b
+    return 2 * (low * ones + step * total) - left.sum(1, keepdims=True), step[:, 0]
+
+
 def _search(model, dim: int, k: int):
     kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -112,10 +171,13 @@ def _search(model, dim: int, k: int):
         centre = c[key[0].as_py()]
         original = _matrix(block.column("embedding"), dim)
         ids = block.column("vec_id").to_numpy()
-        code = np.unpackbits(np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)[:, :dim].astype(np.float32) * 2 - 1
+        code = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
+        ones = np.bitwise_count(code).sum(1, dtype=np.int64)
         length, fit = (block.column(x).to_numpy().astype(np.float32) for x in ("length", "fit"))
         fit = np.maximum(fit, 1e-6)
         asked, query_ids = _matrix(queries.column("embedding"), dim), queries.column("query_id").to_numpy()
+        floor = queries.column("floor").to_numpy(zero_copy_only=False).astype(np.float64)
+        floor = np.where(np.isnan(floor), -np.inf, floor)
         unit = _unit(asked)
         towards = (original.shape[0] and _unit(original) @ centre) - float(centre @ centre)
         out_q, out_v, out_s = [], [], []
@@ -123,12 +185,13 @@ def _search(model, dim: int, k: int):
             q = unit[lo : lo + 128]
             left = (q - centre) @ p
             norm = np.sqrt((left * left).sum(1))
-            guess = (left @ code.T) / np.sqrt(dim) / fit * length + towards + (q @ centre)[:, None]
-            slack = SIGMAS * norm[:, None] * length * np.sqrt(np.maximum(1 - fit * fit, 0)) / (fit * np.sqrt(max(dim - 1, 1))) + 1e-5
+            inner, step = _inner(left, code, ones)
+            guess = inner / np.sqrt(dim) / fit * length + towards + (q @ centre)[:, None]
+            slack = SIGMAS * (norm[:, None] * np.sqrt(np.maximum(1 - fit * fit, 0) / max(dim - 1, 1)) + step[:, None] / np.sqrt(6)) * length / fit + 1e-5
             own = ids[None, :] == query_ids[lo : lo + 128, None]
             low = np.where(own, -np.inf, guess - slack)
             least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
-            row, col = np.nonzero((guess + slack >= least[:, None]) & ~own)
+            row, col = np.nonzero((guess + slack >= np.maximum(least, floor[lo : lo + 128])[:, None]) & ~own)
             score = cosines(asked[lo + row], original[col]) if len(row) else np.zeros(0)
             order = np.lexsort((ids[col], -score, row))
             row, col, score = row[order], col[order], score[order]
@@ -146,14 +209,16 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     """(query_id, rank, vec_id, score): the k rows of vectors of largest cosine found for each row of queries.
 
     Both tables have id_col and vector_col; a query's own id is never a
-    candidate. Ties go to the smaller id. Vectors that are null, empty, zero or
+    candidate. Ties go to the smaller id; where there are fewer candidates than k,
+    all are returned. Float vectors stay float, others are compared as double. Vectors that are null, empty, zero or
     hold a null or a non-finite component take no part, nor do those whose number
     of components is not the usual one. Of rows with the same id the smallest
     vector counts. Other columns are not read.
     """
     ws = Workspace(spark, "nearest")
-    usable = f"{id_col} IS NOT NULL AND size({vector_col}) > 0 AND NOT exists({vector_col}, x -> x IS NULL OR isnan(x) OR abs(x) = float('inf')) AND exists({vector_col}, x -> x <> 0)"
-    rows = lambda df: df.where(F.coalesce(F.expr(usable), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    usable = f"{id_col} IS NOT NULL AND size({vector_col}) > 0 AND NOT exists({vector_col}, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists({vector_col}, x -> x <> 0)"
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = lambda df: df.where(F.coalesce(F.expr(usable), F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"))
     data = rows(vectors)
     dims = data.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("d")).limit(1).collect()
     if not dims:
@@ -162,19 +227,44 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int
     once = data.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
     data = ws.save(once.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r"), "distinct")
-    asked = rows(queries).where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = ws.save(rows(queries).where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     total = data.count()
-    sample = np.array([r.embedding for r in data.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).collect()], np.float32)
+    sample = np.array([r.embedding for r in data.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE).collect()])
     lists = int(min(MAX_LISTS, max(1, total // PER_LIST), len(sample)))
-    probes = max(min(lists, 8), int(np.ceil(PROBED * lists)))
-    model = spark.sparkContext.broadcast((fit_centroids(_unit(sample), lists), rotation(dim)))
-    index = ws.save(data.mapInArrow(_code(model, dim), _SCHEMA), "index")
-    probed = ws.save(asked.mapInArrow(_probe(model, dim, probes), "list int, query_id long, embedding array<float>"), "probed")
-    shape = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("cuts")).join(probed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("asks")), "list")
+    unit = _unit(sample)
+    c = fit_centroids(unit, lists)
+    model = spark.sparkContext.broadcast((c, rotation(dim)))
+    index = ws.save(data.mapInArrow(_code(model, dim), f"list int, vec_id long, embedding {kind}, code binary, length float, fit float"), "index")
+    visit = f"list int, query_id long, embedding {kind}, floor double"
+    found = ws.save(_visited(index, ws.save(asked.mapInArrow(_first(model, dim), visit), "first"), model, dim, k), "found")
+    if lists > FIRST:
+        about = index.groupBy("list").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("length").cast("double") ** 2)).alias("length")).collect()  # MAX_LISTS rows at most
+        size, length = np.zeros(lists), np.ones(lists)
+        for r in about:
+            size[r.list], length[r.list] = r.n, r.length
+        stats = spark.sparkContext.broadcast((size, length, _spread(unit, c)))
+        fifth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        floor = found.withColumn("r", fifth).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        more = asked.join(floor, "vec_id", "left").select("vec_id", "embedding", "floor").mapInArrow(_others(model, stats, dim), visit)
+        found = found.unionByName(ws.save(_visited(index, ws.save(more, "others"), model, dim, k), "more"))
+    ws.drop("distinct", "queries", "index", "first", "others")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _spread(unit: np.ndarray, c: np.ndarray) -> float:
+    """Standard deviation of a coordinate of what is left, per unit of its length: above 1 / sqrt(dim) where few directions carry most."""
+    near = np.argmax(unit @ c.T - 0.5 * (c * c).sum(1), axis=1)
+    left = unit - c[near]
+    own = np.linalg.eigvalsh(left.T.astype(np.float64) @ left)
+    return TAIL * float(np.sqrt((own * own).sum()) / max(own.sum(), 1e-12))
+
+
+def _visited(index: DataFrame, visits: DataFrame, model, dim: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block of each list that a query visits."""
+    shape = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("cuts")).join(visits.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("asks")), "list")
     shape = F.broadcast(shape)  # MAX_LISTS rows at most
     left = index.join(shape, "list").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    right = probed.join(shape, "list").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    right = visits.join(shape, "list").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("asks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     left, right = (df.drop("cuts", "asks").groupBy("list", "i", "j") for df in (left, right))
-    found = left.cogroup(right).applyInArrow(_search(model, dim, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.cogroup(right).applyInArrow(_search(model, dim, k), "query_id long, vec_id long, score double")
