@@ -22,7 +22,6 @@ SYMBOLS = (("$", None), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("A$", "AU
 CODE = rf"\b({'|'.join(CODES)})\b"
 LITERAL = WIDE + r"^[\s$€£¥+\-(]*\d[\d\s.,' ]*\)?\s*%?\s*$"
 NUMBER_CHARS = WIDE + r"^[\d\s.,' -]+$"
-DECIMAL = "decimal(38,10)"
 
 
 def is_numeric_literal(x) -> Column:
@@ -53,7 +52,7 @@ def currency(x, default: str = "AUD") -> Column:
 def bare_number(x) -> Column:
     """Without what stands before the first digit or sign and after the last number character."""
     cut = F.regexp_replace(F.coalesce(col(x), F.lit("")), r"^[^\d+-]+", "")
-    return F.regexp_replace(cut, WIDE + r"[^\d.,'\s -]+$", "")
+    return F.regexp_replace(cut, WIDE + r"[^\d.,'\s\x{A0}+-]+$", "")
 
 
 def cleaned(x) -> Column:
@@ -62,7 +61,7 @@ def cleaned(x) -> Column:
 
 
 def parse(x, label: str) -> Column:
-    """Value of a cell in one format, as an exact decimal; null if it doesn't fit."""
+    """Value of a cell in one format, the double next to it; null if it doesn't fit."""
     return parse_cleaned(cleaned(x), label)
 
 
@@ -81,7 +80,7 @@ def parse_cleaned(bare, label: str) -> Column:
     integer = F.replace(F.replace(whole, F.lit(thousands), F.lit("")), F.lit(" "), F.lit(""))
     sound = fits & (F.size(pieces) <= 2) & (~with_fraction | fraction.rlike(r"^\d+$")) & grouped & integer.rlike(r"^\d*$")
     text = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), F.when(integer == "", F.lit("0")).otherwise(integer), F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)))
-    return F.when(sound, text.try_cast(DECIMAL))
+    return F.when(sound, text.try_cast("double"))
 
 
 def repair(x) -> Column:
@@ -100,7 +99,7 @@ def repair_cleaned(bare) -> Column:
         & (F.length(F.element_at(groups, 1)) <= 3) & F.forall(middle, lambda g: F.length(g) == 3)
     )
     text = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), F.array_join(F.slice(groups, F.lit(1), F.greatest(n - 1, F.lit(0))), ""), F.lit("."), F.element_at(groups, -1))
-    return F.when(sound, text.try_cast(DECIMAL))
+    return F.when(sound, text.try_cast("double"))
 
 
 def hinted(hint) -> Column:
@@ -115,7 +114,7 @@ def boolean(x) -> Column:
 
 def parse_in(bare, label) -> Column:
     """Value of a cleaned cell in the format named by a column."""
-    out = F.when(F.lit(False), F.lit(None).cast(DECIMAL))
+    out = F.when(F.lit(False), F.lit(None).cast("double"))
     for name, _, _ in FORMATS:
         out = out.when(col(label) == name, parse_cleaned(bare, name))
     return out

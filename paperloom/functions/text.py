@@ -24,6 +24,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x, use) -> Column:
+    """use(x), with x worked out once however often it is used."""
+    return F.get(F.transform(F.array(col(x)), use), F.lit(0))
+
+
 def norm_text(x) -> Column:
     """White space (no-break spaces too) as single spaces, trimmed; null as empty."""
     return F.trim(F.regexp_replace(F.coalesce(col(x), F.lit("")), WIDE + r"\s+", " "))
@@ -54,8 +59,8 @@ def numbered(base, nth) -> Column:
 
 def derive_keys(labels) -> Column:
     """Column keys of an array of labels, unique by a suffix within equal bases."""
-    bases = F.transform(col(labels), lambda x, i: key_base(x, i))
-    return F.transform(bases, lambda b, i: numbered(b, F.size(F.filter(F.slice(bases, F.lit(1), i + 1), lambda y: y == b))))
+    count = lambda bases, b, i: F.size(F.filter(F.slice(bases, F.lit(1), i + 1), lambda y: y == b))
+    return let(F.transform(col(labels), lambda x, i: key_base(x, i)), lambda bases: F.transform(bases, lambda b, i: numbered(b, count(bases, b, i))))
 
 
 def short_lines(x, longest: int = 45) -> Column:
@@ -100,7 +105,7 @@ def similarity(a, b) -> Column:
 def row_similarity(a, b) -> Column:
     """Mean similarity of two rows of cells; 0 unless they have the same, non-zero width."""
     a, b = col(a), col(b)
-    each = F.zip_with(a, b, lambda x, y: similarity(F.lower(norm_text(x)), F.lower(norm_text(y))))
+    each = F.zip_with(F.transform(a, norm_text), F.transform(b, norm_text), similarity)
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(F.lit(0.0))
 
 

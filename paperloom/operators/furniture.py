@@ -17,9 +17,9 @@ def repeating(signatures: DataFrame, pages: int = DEFAULTS.furniture_pages) -> D
 
 
 def drop_furniture(fragments: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """fragments(doc_id, fragment_id, page, html, grid) without short ones whose text repeats over pages."""
+    """fragments(doc_id, fragment_id, page, grid) without short ones whose text repeats over pages."""
     short = F.size(hg.body("grid")) < settings.suppress_min_rows
-    signed = fragments.withColumn("signature", F.when(short, F.lower(hg.table_text("html"))))
+    signed = fragments.withColumn("signature", F.when(short, F.lower(hg.text("grid"))))
     return signed.join(repeating(signed.where("signature IS NOT NULL"), settings.furniture_pages).select("doc_id", "signature"), ["doc_id", "signature"], "left_anti").drop("signature")
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Upper bounds of the buckets.
-JOB_SECONDS = (1, 5, 15, 30, 60, 120, 300, 600, 1200, 1800, 3600)
-STAGE_SECONDS = (0.1, 0.5, 1, 5, 15, 30, 60, 120, 300, 600, 900)
+JOB_SECONDS = (1, 5, 15, 30, 60, 120, 300, 600, 1800, 3600)
+STAGE_SECONDS = (0.1, 0.5, 1, 5, 15, 60, 300, 900)
 ROUTED_RATIO = (0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)
 VERBATIM = (0.9, 0.95, 0.98, 0.99, 0.995, 1.0)
 

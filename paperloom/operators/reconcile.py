@@ -81,7 +81,8 @@ def verbatim(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, checked, grounded, ungrounded_identifiers, ungrounded_numbers, score) of fragments(doc_id, text).
 
     Identifiers, each once, must stand in the pages' text without white space;
-    numbers, each time, must equal one of the pages' numbers.
+    numbers, each time, must equal one of the pages' numbers. A document whose pages
+    say nothing is not checked: its score is 1.
     """
     source = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), " ").alias("source"))
     known = pages.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(tx.CHECK_NUMBER), 0)).alias("raw")).select("doc_id", tx.canon_number("raw").alias("canon")).distinct().withColumn("there", F.lit(True))
@@ -95,6 +96,7 @@ def verbatim(fragments: DataFrame, pages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~F.col("good") & (F.col("kind") == "number"), F.col("value")))).alias("ungrounded_numbers"),
     )
     none = F.array().cast("array<string>")
+    checks = checks.join(source.where(tx.canon("source") != "").select("doc_id"), "doc_id", "left_semi")
     return fragments.select("doc_id").distinct().join(checks, "doc_id", "left").select(
         "doc_id", F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("grounded", F.lit(0)).alias("grounded"), F.coalesce("ungrounded_identifiers", none).alias("ungrounded_identifiers"),
         F.coalesce("ungrounded_numbers", none).alias("ungrounded_numbers"), F.coalesce(F.try_divide("grounded", "checked"), F.lit(1.0)).alias("score"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import html_grid as hg
+from paperloom.functions import text as tx
 from paperloom.operators import flatten, furniture, merge, reconcile, route
 from paperloom.settings import DEFAULTS, Settings
 from paperloom.sources.scratch import Scratch
@@ -31,39 +32,70 @@ def fragments(vision: DataFrame, ocr: DataFrame, allowed: DataFrame | None = Non
 
 
 def reconciled(scratch: Scratch, parts: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """fragments with the texts of their grids grounded in the pages; the report; the confidence of texts."""
-    grids = scratch.keep(parts.withColumn("grid", hg.grid_of("html")), "grids")
-    cells = hg.cells(grids, "doc_id", "fragment_id").select("doc_id", "fragment_id", "r", "c", "text")
+    """fragments with the texts of their grids, inner tables included, grounded in the pages; the report; the confidence of texts."""
+    grids = scratch.keep(parts.withColumn("grid", hg.grid_of("html")).drop("html"), "grids")
+    cells = hg.cells(grids, "doc_id", "fragment_id").select("doc_id", "fragment_id", "t", "r", "c", "text")
     fixed, report, confidence = reconcile.reconcile(cells, pages, settings, scratch)
-    rows = fixed.groupBy("doc_id", "fragment_id", "r").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "text"))), lambda x: x["text"]).alias("row"))
-    rows = rows.groupBy("doc_id", "fragment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"]).alias("rows"))
-    out = grids.join(rows, ["doc_id", "fragment_id"], "left").withColumn("grid", F.col("grid").withField("rows", F.coalesce("rows", F.col("grid.rows")))).drop("rows")
-    nested = F.size("grid.nested") > 0  # their markup can't be rebuilt from the dense grid
-    return out.withColumn("html", F.when(nested, F.col("html")).otherwise(hg.to_html("grid"))), report, confidence
+    slot = ["doc_id", "fragment_id", "t", "r", "c"]
+    changed = fixed.join(cells.withColumnRenamed("text", "was"), slot).where("text <> was")
+    edits = changed.groupBy("doc_id", "fragment_id").agg(F.collect_list(F.struct("t", "r", "c", "text")).alias("edits"))
+    out = grids.join(edits, ["doc_id", "fragment_id"], "left")
+    return out.withColumn("grid", F.when(F.col("edits").isNull(), F.col("grid")).otherwise(hg.edited("grid", "edits"))).drop("edits"), report, confidence
 
 
-def extract(pages: DataFrame, ocr: DataFrame, vision: DataFrame, verdicts: DataFrame | None = None, allowed: DataFrame | None = None, raster: DataFrame | None = None, settings: Settings = DEFAULTS) -> Result:
-    """Reconcile, drop furniture, merge, flatten, suppress and check, in this order."""
+def extract(pages: DataFrame, ocr: DataFrame, vision: DataFrame, verdicts: DataFrame | None = None, allowed: DataFrame | None = None, raster: DataFrame | None = None, settings: Settings = DEFAULTS, failed: DataFrame | None = None) -> Result:
+    """Reconcile, drop furniture, merge, flatten, suppress and check, in this order; each table is parsed once.
+
+    failed(doc_id, page) are pages whose reading failed: their OCR tables count, and the result is partial.
+    """
     planned = route.plan(pages, ocr, allowed, raster, settings)
     scratch = Scratch(pages.sparkSession, "extraction")
     parts, report, confidence = reconciled(scratch, fragments(vision, ocr, allowed), pages, settings)
     parts = scratch.keep(parts, "fragments")
-    score = reconcile.verbatim(parts.select("doc_id", hg.table_text("html").alias("text")), pages)
-    kept = furniture.drop_furniture(parts, settings)
-    merged = merge.merge(kept.withColumn("title", F.lit(None).cast("string")).drop("grid"), None if verdicts is None else verdicts, settings).withColumn("grid", hg.grid_of("html"))
+    merged = merge.merge(furniture.drop_furniture(parts, settings).withColumn("title", F.lit(None).cast("string")), verdicts, settings)
     width = F.when(F.size("grid.rows") > 0, F.size(F.col("grid.rows")[0])).otherwise(0)
     tables = scratch.keep(merged.withColumns({"n_rows": F.size(hg.body("grid")), "n_cols": width}).withColumn("suppressed", furniture.suppressed("n_rows", "n_cols", settings)), "tables")
+    score = reconcile.verbatim(tables.select("doc_id", hg.text("grid").alias("text")), pages)
     raw = scratch.keep(flatten.raw_cells(tables, settings), "raw")
     columns = scratch.keep(flatten.columns(raw, settings), "columns")
     cells = scratch.keep(flatten.typed_cells(raw, columns, confidence), "cells")
     warned = flatten.warnings(cells, columns, settings)
     live = tables.where("NOT suppressed").select("doc_id", "table_id")
-    full = cells.join(live, ["doc_id", "table_id"]).groupBy("doc_id").agg(F.count_if(F.trim("raw") != "").alias("cells_populated"), F.count_distinct("table_id", "row_index").alias("rows"))
+    full = cells.join(live, ["doc_id", "table_id"]).groupBy("doc_id").agg(F.count_if(tx.norm_text("raw") != "").alias("cells_populated"), F.count_distinct("table_id", "row_index").alias("rows"))
     noted = warned.join(live, ["doc_id", "table_id"]).groupBy("doc_id").agg(F.count("*").alias("warnings"))
     routed = planned.groupBy("doc_id").agg(F.count("*").alias("pages_routed"))
     counts = tables.groupBy("doc_id").agg(F.count_if(~F.col("suppressed")).alias("tables"), F.count_if("suppressed").alias("suppressed"))
-    summary = pages.select("doc_id").distinct()
+    read = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
+    lost = (failed if failed is not None else pages.select("doc_id", "page").limit(0)).groupBy("doc_id").agg(F.array_sort(F.collect_set("page")).alias("failed_pages"))
+    summary = read
     for part in (counts, full, noted, routed, report.drop("grounded_rate"), score.select("doc_id", "checked", "grounded", F.round("score", 4).alias("verbatim_score"))):
         summary = summary.join(part, "doc_id", "left")
-    summary = summary.na.fill(1.0, ["verbatim_score"]).na.fill(0)
-    return Result(planned, tables.drop("grid"), columns, cells, warned, summary)
+    summary = summary.na.fill(1.0, ["verbatim_score"]).na.fill(0).join(lost, "doc_id", "left")
+    summary = summary.withColumns({"routed_ratio": F.col("pages_routed") / F.col("pages"), "partial": F.col("failed_pages").isNotNull(), "failed_pages": F.coalesce("failed_pages", F.array().cast("array<int>"))})
+    flat = flatten.flat_tables(tables, cells, settings)
+    shown = tables.drop("n_rows", "n_cols").join(flat, ["doc_id", "table_id"]).withColumn("html", hg.to_html("grid")).drop("grid")
+    return Result(planned, shown, columns, cells, warned, summary)
+
+
+def table_index(result: Result, include_suppressed: bool = False) -> DataFrame:
+    """(doc_id, table_id, title, pages, n_rows, n_cols, rows_before_explosion, columns, warnings, suppressed): a line for each table, with its first 8 labels."""
+    labels = F.array_sort(F.collect_list(F.struct("col_index", "label")))
+    named = result.columns.groupBy("doc_id", "table_id").agg(F.slice(F.transform(labels, lambda x: x["label"]), 1, 8).alias("columns"))
+    noted = result.warnings.groupBy("doc_id", "table_id").agg(F.count("*").alias("warnings"))
+    out = result.tables if include_suppressed else result.tables.where("NOT suppressed")
+    out = out.join(named, ["doc_id", "table_id"], "left").join(noted, ["doc_id", "table_id"], "left")
+    return out.select(
+        "doc_id", "table_id", "title", "pages", "n_rows", "n_cols", "rows_before_explosion", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), F.coalesce("warnings", F.lit(0)).alias("warnings"), "suppressed"
+    )
+
+
+def one_table(result: Result, doc_id, table_id: str) -> DataFrame:
+    """(row_index, col_index, key, raw, …) of the cells of one table, suppressed or not; no rows where there is none."""
+    return result.cells.where((F.col("doc_id") == F.lit(doc_id)) & (F.col("table_id") == F.lit(table_id)))
+
+
+def review_flags(result: Result) -> DataFrame:
+    """(doc_id, table_id, suspect, unparsed, ambiguous): what a reviewer should look at first."""
+    noted = result.warnings.groupBy("doc_id", "table_id").agg(F.count_if(F.col("code") == "VALUE_NOT_PARSED").alias("unparsed"), F.count_if(F.col("code") == "LOCALE_AMBIGUOUS").alias("ambiguous"))
+    flagged = furniture.suspect(result.tables).select("doc_id", "table_id", "suspect").join(noted, ["doc_id", "table_id"], "left")
+    return flagged.select("doc_id", "table_id", "suspect", *((F.coalesce(c, F.lit(0)) > 0).alias(c) for c in ("unparsed", "ambiguous")))

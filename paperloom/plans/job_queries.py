@@ -146,7 +146,7 @@ def stage_duration(spark, sf_dir):
     return jobs.stage_durations(table(spark, sf_dir, "events").selectExpr("user_id AS job_id", "event_type AS stage", "ts", "event_id AS seq"))
 
 
-@query("SELECT event_type, b AS le, count(*) FILTER (WHERE value <= b) AS n FROM events, unnest([1, 5, 15, 30, 60, 120, 300, 600, 1200, 1800, 3600, 'inf'::DOUBLE]) t(b) GROUP BY 1, 2")
+@query("SELECT event_type, b AS le, count(*) FILTER (WHERE value <= b) AS n FROM events, unnest([1, 5, 15, 30, 60, 120, 300, 600, 1800, 3600, 'inf'::DOUBLE]) t(b) GROUP BY 1, 2")
 def histogram_le(spark, sf_dir):
     return metrics.histogram(table(spark, sf_dir, "events"), "value", metrics.JOB_SECONDS, "event_type")
 

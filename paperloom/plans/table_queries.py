@@ -84,7 +84,7 @@ def stitch_rows(spark, sf_dir):
     part = lambda xs: F.array_join(F.transform(xs, row), "")
     head = F.concat(F.lit(f"<table>{HEAD}"), part(F.slice("x", F.lit(1), cut)), F.lit("</table>"))
     tail = F.concat(F.lit(f"<table>{HEAD}<tr><td></td><td>rest</td><td></td></tr>"), part(F.slice("x", cut + 1, F.greatest(F.size("x") - cut, F.lit(0)))), F.lit("</table>"))
-    whole = line.select("l_orderkey", cut.alias("cut"), merge.stitch(F.when(F.size("x") > 1, F.array(head, tail)).otherwise(F.array(head))).alias("g"))
+    whole = line.select("l_orderkey", cut.alias("cut"), F.when(F.size("x") > 1, F.array(hg.grid_of(head), hg.grid_of(tail))).otherwise(F.array(hg.grid_of(head))).alias("g")).withColumn("g", merge.stitch("g"))
     at = F.element_at("g.rows", F.col("cut") + 1)
     return whole.select("l_orderkey", (F.size("g.rows") - 1).alias("rows"), F.concat(at[0], F.lit("|"), at[1]).alias("wrapped"))
 

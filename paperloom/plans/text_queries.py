@@ -198,10 +198,11 @@ def number_signatures(spark, sf_dir):
 
 
 @query(
-    """
-    WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^a-zA-Z ]', '', 'g') AS a, lag(regexp_replace(text, '[^a-zA-Z ]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
-    w AS (SELECT conv_id, turn, lower(trim(regexp_replace(substr(a, 1, 20), ' +', ' ', 'g'))) AS a1, lower(trim(regexp_replace(substr(b, 1, 20), ' +', ' ', 'g'))) AS b1, lower(trim(regexp_replace(substr(a, 21, 20), ' +', ' ', 'g'))) AS a2, lower(trim(regexp_replace(substr(b, 21, 20), ' +', ' ', 'g'))) AS b2 FROM t WHERE b IS NOT NULL),
-    n AS (SELECT conv_id, turn, unnest([a1, a2]) AS a, unnest([b1, b2]) AS b FROM w)
+    r"""
+    WITH t AS (SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+    q AS (SELECT conv_id, turn, i, substr(a, (i * length(a)) // 4 + 1, ((i + 1) * length(a)) // 4 - (i * length(a)) // 4) AS a,
+                 substr(b, (i * length(b)) // 4 + 1, ((i + 1) * length(b)) // 4 - (i * length(b)) // 4) AS b FROM t, range(0, 4) r(i) WHERE b IS NOT NULL),
+    n AS (SELECT conv_id, turn, trim(regexp_replace(a, '\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM q)
     SELECT conv_id, turn, round(avg(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END), 6) AS similarity FROM n GROUP BY 1, 2
     """
 )

@@ -2,7 +2,8 @@
 
 A plan that several results hang on is written once below `spark.checkpoint.dir`
 and read again: no branch computes it a second time, and a lost executor costs
-a re-read. A temporary folder is made only where the session names none.
+a re-read. Where the session names no folder, a local master gets a temporary one;
+on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
