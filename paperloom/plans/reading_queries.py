@@ -119,8 +119,9 @@ def repeating_furniture(spark, sf_dir):
 
 @query(
     """
-    WITH s AS (SELECT doc_id, n_chars // 3 AS cut, n_chars // 6 AS f FROM documents)
-    SELECT d.doc_id, replace(substr(text, 1, 20), substr(text, 5, 3), ' ') || ' ' || substr(text, 21, 20) AS text FROM documents d
+    WITH s AS (SELECT doc_id, text, length(text) // 3 AS cut, length(text) // 6 AS f FROM documents)
+    SELECT doc_id, replace(substr(text, 1, cut), substr(text, f + 1, 3), ' ') || ' ' || replace(substr(text, cut + 1, cut), substr(text, cut + f + 1, 3), ' ')
+           || ' ' || replace(substr(text, 2 * cut + 1), substr(text, 2 * cut + f + 1, 3), ' ') AS text FROM s
     """
 )
 def furniture_spans(spark, sf_dir):

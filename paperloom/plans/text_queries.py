@@ -199,7 +199,8 @@ def number_signatures(spark, sf_dir):
 
 @query(
     r"""
-    WITH t AS (SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+    WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM conversations),
+    t AS (SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c),
     q AS (SELECT conv_id, turn, i, substr(a, (i * length(a)) // 4 + 1, ((i + 1) * length(a)) // 4 - (i * length(a)) // 4) AS a,
                  substr(b, (i * length(b)) // 4 + 1, ((i + 1) * length(b)) // 4 - (i * length(b)) // 4) AS b FROM t, range(0, 4) r(i) WHERE b IS NOT NULL),
     n AS (SELECT conv_id, turn, trim(regexp_replace(a, '\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\s+', ' ', 'g')) AS b FROM q)
@@ -212,5 +213,6 @@ def header_similarity(spark, sf_dir):
     # four cells of a quarter each, which together hold the whole text
     row = F.expr("transform(sequence(0, 3), i -> substring(text, int(i * length(text) DIV 4) + 1, int((i + 1) * length(text) DIV 4) - int(i * length(text) DIV 4)))")
     order = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", row.alias("row"), F.lag(row).over(order).alias("before"))
+    # DuckDB's distance counts bytes, so every character beyond ASCII becomes one question mark in both
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?")).select("conv_id", "turn", row.alias("row"), F.lag(row).over(order).alias("before"))
     return turns.where("before IS NOT NULL").select("conv_id", "turn", F.round(tx.row_similarity("before", "row"), 6).alias("similarity"))
