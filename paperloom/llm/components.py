@@ -17,7 +17,7 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str) -> DataFram
     from a node to itself says nothing; without edges the result is empty.
     """
     both = ws.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}_links")
-    labels = ws.save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{name}_0")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
     step = 0
     while True:
         step += 1

@@ -166,20 +166,21 @@ def _whole(k: int):
 
 
 def _links(num: int, den: int):
-    """For each asker, the member that it shares most with, where that is enough."""
+    """The groups of the askers that link with a member, and the members' group, once a block."""
 
     def run(members: pa.Table, askers: pa.Table) -> pa.Table:
-        node, n = (members.column(c).to_numpy() for c in ("node", "n"))
-        token, owner = members.column("tokens").combine_chunks().flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-        found = []
-        for a, na, own in zip(askers.column("asker").to_pylist(), askers.column("size").to_pylist(), askers.column("own")):
+        n, token = members.column("n").to_numpy(), members.column("tokens").combine_chunks().flatten().to_numpy()
+        owner, found = np.repeat(np.arange(len(n)), n), set()
+        for home, na, own in zip(askers.column("home").to_pylist(), askers.column("size").to_pylist(), askers.column("own")):
+            if home in found:
+                continue
             own = own.values.to_numpy()  # sorted
             at = np.minimum(np.searchsorted(own, token), len(own) - 1)
             shared = np.bincount(owner[own[at] == token], minlength=len(n))
-            good = np.flatnonzero(shared * den >= (n + na - shared) * num)
-            if len(good):
-                found.append((a, int(node[good[np.argmax(shared[good])]])))
-        return pa.table({"a": [x for x, _ in found], "b": [y for _, y in found]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            if (shared * den >= (n + na - shared) * num).any():
+                found.add(home)
+        there = members.column("g")[0].as_py() if found else None
+        return pa.table({"a": list(found), "b": [there] * len(found)}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return run
 
@@ -216,7 +217,7 @@ class _Join:
         return once
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs(a, b) of nodes whose sets reach the threshold."""
+        """The pairs(a, b, ...) of nodes whose sets reach the threshold."""
         left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
         right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
         return (
@@ -225,7 +226,7 @@ class _Join:
             .where(f"least(na, nb) * {self.den} >= greatest(na, nb) * {self.num}")
             .withColumn("shared", F.size(F.array_intersect("ta", "tb")).cast("long"))
             .where(f"shared * {self.den} >= (na + nb - shared) * {self.num}")
-            .select("a", "b")
+            .select(*pairs.columns)
         )
 
     def proposed(self, sets: DataFrame) -> DataFrame:
@@ -236,10 +237,9 @@ class _Join:
         best = votes.groupBy("id").agg(F.max(F.struct("votes", "lead")).alias("best"))
         return best.select(F.col("id").alias("a"), F.col("best.lead").alias("b"))
 
-    def grouped(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(edges, labels) of the groups that bands propose and exact Jaccard confirms."""
-        edges = self.ws.save(self.linked(self.proposed(sets), sets), "edges")
-        return edges, connected_components(self.ws, edges, "groups")
+    def grouped(self, sets: DataFrame) -> DataFrame:
+        """(node, label) of the groups that bands propose and exact Jaccard confirms."""
+        return connected_components(self.ws, self.linked(self.proposed(sets), sets), "groups")
 
     def rest(self, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """(id, n, g, tokens, bands) of the nodes that may have a partner outside their group g."""
@@ -251,24 +251,26 @@ class _Join:
         return last
 
     def neighbours(self, sets: DataFrame, r: int) -> DataFrame:
-        """(a, b): each node and, of every band, one of the few nodes of other groups that it is put together with."""
+        """(a, b, ga, gb): each node and, of every band, one of the few nodes of other groups that it is put together with; and their groups."""
         keyed = sets.select("id", "g", F.explode("bands").alias("key"))
         crowd = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / TOGETHER).alias("seats"))
         seated = keyed.join(crowd, "key").withColumn("seat", F.pmod(F.xxhash64("id", F.lit(r)), F.col("seats")))
         leads = seated.groupBy("key", "seat").agg(F.min(F.struct(F.xxhash64("id", F.lit(-r)).alias("h"), F.col("id").alias("lead"), F.col("g").alias("lg"))).alias("l"))
-        return seated.join(leads, ["key", "seat"]).where("g <> l.lg").select(F.col("id").alias("a"), F.col("l.lead").alias("b")).distinct()
+        return seated.join(leads, ["key", "seat"]).where("g <> l.lg").select(F.col("id").alias("a"), F.col("l.lead").alias("b"), F.col("g").alias("ga"), F.col("l.lg").alias("gb")).distinct()
 
-    def regrouped(self, last: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """last and the edges after further rounds of grouping."""
+    def regrouped(self, last: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """last after further rounds of grouping, and the (node, label) that each round gave to groups that joined others."""
+        moves = []
         for r in range(1, AGAIN + 1):
-            fresh = self.ws.save(self.linked(self.neighbours(last, r), last), f"edges_{r}")
-            if not fresh.limit(1).count():
+            fresh = self.linked(self.neighbours(last, r), last).select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+            moved = connected_components(self.ws, fresh, f"moves_{r}")
+            if not moved.limit(1).count():
                 break
-            edges = edges.unionByName(fresh)
-            labels = connected_components(self.ws, edges, f"groups_{r}").select(F.col("node").alias("id"), "label")
-            named = last.join(labels, "id", "left").withColumn("g", F.coalesce("label", "id")).drop("label")
+            moves.append(moved)
+            named = self.ws.save(last.join(moved.withColumnRenamed("node", "g"), "g", "left").withColumn("g", F.coalesce("label", "g")).drop("label"), f"named_{r}")
             last = self.ws.save(named.join(self.without_partners(named), "id", "left_anti"), f"last_{r}")
-        return last, edges
+            self.ws.drop(f"named_{r}")
+        return last, moves
 
     def without_partners(self, sets: DataFrame) -> DataFrame:
         """Nodes with too many shingles that no other group holds."""
@@ -315,17 +317,16 @@ class _Join:
         return self.ws.save(held.select("a", "g").unionByName(asked.where("members = 1").select("a", "g")), "qualified")
 
     def opened(self, sets: DataFrame, asks: DataFrame) -> DataFrame:
-        """(a, b): for each question a node of the group that the asker links with, if there is one in a block."""
+        """(a, b): groups of which an asker of the one links with a member of the other."""
         cuts = lambda size, name: F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_NODES}), ceil(sum({size}) / {BLOCK_TOKENS})) as int)").alias(name)
         members = sets.select("g", F.col("id").alias("node"), "n", "tokens")
-        asks = asks.join(sets.select(F.col("id").alias("a"), F.col("n").alias("size"), F.col("tokens").alias("own")), "a").select("g", F.col("a").alias("asker"), "size", "own")
+        asks = asks.join(sets.select(F.col("id").alias("a"), F.col("g").alias("home"), F.col("n").alias("size"), F.col("tokens").alias("own")), "a").select("g", F.col("a").alias("asker"), "home", "size", "own")
         shape = members.groupBy("g").agg(cuts("n", "rows")).join(asks.groupBy("g").agg(cuts("size", "cols")), "g")
         spread = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
         place = lambda c, x: F.pmod(F.xxhash64(c), F.col(x)).cast("int")
-        left = members.join(shape, "g").select("g", place("node", "rows").alias("i"), spread("cols").alias("j"), "node", "n", "tokens")
-        right = asks.join(shape, "g").withColumn("j", place("asker", "cols")).select(F.col("g").alias("g2"), spread("rows").alias("i2"), F.col("j").alias("j2"), "asker", "size", "own")
-        met = left.groupBy("g", "i", "j").cogroup(right.groupBy("g2", "i2", "j2")).applyInArrow(_links(self.num, self.den), "a long, b long")
-        return self.ws.save(met, "across")
+        left = members.join(shape, "g").select("g", place("node", "rows").alias("i"), spread("cols").alias("j"), "n", "tokens")
+        right = asks.join(shape, "g").withColumn("j", place("asker", "cols")).select(F.col("g").alias("g2"), spread("rows").alias("i2"), F.col("j").alias("j2"), "home", "size", "own")
+        return left.groupBy("g", "i", "j").cogroup(right.groupBy("g2", "i2", "j2")).applyInArrow(_links(self.num, self.den), "a long, b long")
 
     def across(self, sets: DataFrame) -> DataFrame:
         matrix, prefix = self.prefixes(sets)
@@ -338,15 +339,16 @@ class _Join:
         nodes = self.nodes(feat)
         ws.settle()  # the leading shingles are more than everything that follows
         sets = self.sets(nodes)
-        edges, labels = self.grouped(sets)
+        labels = self.grouped(sets)
         ws.settle()
-        last, edges = self.regrouped(self.rest(sets, labels), edges)
+        last, moves = self.regrouped(self.rest(sets, labels))
         ws.settle()
-        edges = edges.unionByName(self.across(last))
-        labels = connected_components(ws, edges, "final")
+        moves.append(connected_components(ws, self.across(last), "final"))
+        labels = sets.select(F.col("id").alias("node")).join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        for moved in moves:  # what a group was named at first leads to its last name
+            labels = labels.join(moved.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         named = ws.save(nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", "twin", "n", "rep", F.coalesce("label", "id").alias("component")), "named")
-        again = [f"{x}_{r}" for x in ("edges", "groups", "last") for r in range(1, AGAIN + 1)]
-        ws.drop("nodes", "whole", "once", "edges", "last", "matrix", "prefix", "asked", "qualified", "across", *again)
+        ws.drop("nodes", "whole", "once", "last", "matrix", "prefix", "asked", "qualified", *(f"last_{r}" for r in range(1, AGAIN + 1)))
         ws.settle()
         smallest = named.groupBy("component").agg(F.min("rep").alias("least"))
         of = named.join(smallest, "component").select("node", "twin", "n", "component", "least")
