@@ -321,7 +321,8 @@ class _Join:
         cuts = lambda size, name: F.expr(f"cast(greatest(ceil(count(*) / {BLOCK_NODES}), ceil(sum({size}) / {BLOCK_TOKENS})) as int)").alias(name)
         members = sets.select("g", F.col("id").alias("node"), "n", "tokens")
         asks = asks.join(sets.select(F.col("id").alias("a"), F.col("g").alias("home"), F.col("n").alias("size"), F.col("tokens").alias("own")), "a").select("g", F.col("a").alias("asker"), "home", "size", "own")
-        shape = members.groupBy("g").agg(cuts("n", "rows")).join(asks.groupBy("g").agg(cuts("size", "cols")), "g")
+        # a table of its own, so that a group with many members meets it in several tasks
+        shape = self.ws.save(members.groupBy("g").agg(cuts("n", "rows")).join(asks.groupBy("g").agg(cuts("size", "cols")), "g"), "shape")
         spread = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
         place = lambda c, x: F.pmod(F.xxhash64(c), F.col(x)).cast("int")
         left = members.join(shape, "g").select("g", place("node", "rows").alias("i"), spread("cols").alias("j"), "n", "tokens")
@@ -348,7 +349,7 @@ class _Join:
         for moved in moves:  # what a group was named at first leads to its last name
             labels = labels.join(moved.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         named = ws.save(nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("node", "twin", "n", "rep", F.coalesce("label", "id").alias("component")), "named")
-        ws.drop("nodes", "whole", "once", "last", "matrix", "prefix", "asked", "qualified", *(f"last_{r}" for r in range(1, AGAIN + 1)))
+        ws.drop("nodes", "whole", "once", "last", "matrix", "prefix", "asked", "qualified", "shape", *(f"last_{r}" for r in range(1, AGAIN + 1)))
         ws.settle()
         smallest = named.groupBy("component").agg(F.min("rep").alias("least"))
         of = named.join(smallest, "component").select("node", "twin", "n", "component", "least")
