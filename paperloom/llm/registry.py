@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, language_id, license_scan, line_dedup, mixing, nearest, ngram_join, token_files, toxicity
+from paperloom.llm import chat_format, decontamination, importance, language_id, license_scan, line_dedup, mixing, nearest, ngram_join, quality, token_files, toxicity, whitening
 from paperloom.llm.workspace import Workspace
 
 QUERIES: dict = {}
@@ -135,3 +135,42 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest(spark, vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.expr(HELD_OUT.format(4, 2))
+    found = quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "strength", "quantile")
+
+
+@query(
+    "op12_importance_resampling",
+    r"""
+    WITH RECURSIVE bits(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    tab AS (SELECT i AS slot, c AS value FROM bits WHERE k = 8),
+    w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    f AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+    g AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+    crc(f, h, c) AS (SELECT f, hex(f), 4294967295 FROM (SELECT f FROM f UNION SELECT f FROM g)
+                     UNION ALL SELECT f, substr(h, 3), xor(c >> 8, value) FROM crc JOIN tab ON slot = xor(c, ('0x' || substr(h, 1, 2))::BIGINT) & 255 WHERE h <> ''),
+    hashed AS (SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE h = ''),
+    s AS (SELECT bucket, count(*) AS s FROM f JOIN hashed USING (f) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM g JOIN hashed USING (f) GROUP BY bucket),
+    gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+    m AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS gains FROM f JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+    x AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce((gains - ((gains % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight,
+                 ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN m USING (doc_id)),
+    y AS (SELECT doc_id, n_words, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296))))::BIGINT AS score FROM x),
+    z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM y WHERE n_words >= 20)
+    SELECT y.doc_id, n_features, weight, score, CASE WHEN r <= (SELECT 25 * count(*) // 100 FROM z) THEN r END AS rank, n_words FROM y LEFT JOIN z USING (doc_id)
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
