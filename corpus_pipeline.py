@@ -48,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null source is one source. Every row has a draw of its own; only rows equal in
     all columns share one.
     """
-    return mixing.mix(spark, docs).select(docs.columns)
+    return mixing.mix(spark, docs, numbered=False)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from paperloom.llm import grams
 
 #: Bounds on the labelled documents that the model is fitted on, and on their bytes together.
 MAX_ROWS, MAX_BYTES = 6000, 1 << 25
+#: Training texts over this part of MAX_BYTES are taken last.
+LARGE = 64
 ORDERS = (3, 4)
 BITS, DIMENSIONS, EPOCHS, RATE = 16, 12, 6, 0.5
 #: Of the right calibration texts of each length, the share that the rejection must keep.
@@ -133,13 +135,23 @@ def _floors(sure: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def bounded(rows: DataFrame, most: int) -> DataFrame:
-    """The first of some thousand rows(key, text), by key, whose texts have `most` bytes together."""
-    upto = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(upto)).where(F.col("bytes") <= most).drop("bytes")
+    """Of some thousand rows(key, text, ...) those that fit into `most` bytes together.
+
+    Texts of less than 1 / LARGE of `most` come first, by key, then longer ones by
+    length; what does not fit is left out and does not cut what follows it.
+    """
+    size = F.octet_length("text").cast("long")
+    rows = rows.withColumn("bytes", size).withColumn("large", F.when(size * LARGE > most, size).otherwise(0))
+    upto = Window.orderBy("large", "key").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("upto", F.sum("bytes").over(upto)).where(F.col("upto") <= most).drop("bytes", "large", "upto")
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_ROWS) -> Model | None:
-    """Fit on at most max_rows rows of docs with a language, as many of each, and on MAX_BYTES bytes; which ones follows from a hash of the id."""
+    """Fit on at most max_rows rows of docs with a language, as many of each, and on MAX_BYTES bytes; which ones follows from a hash of the id.
+
+    None if no row has a language and a text; an error if there are such rows, but each is
+    longer than MAX_BYTES.
+    """
     known = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("doc IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
     if not counts:
@@ -153,7 +165,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows:
     chosen = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= share)
     chosen = chosen.select("doc", "key").distinct().orderBy("key").limit(max_rows)
     rows = known.join(chosen, "doc").select("key", "lang", "text").dropDuplicates(["key", "lang"]).orderBy("key").limit(max_rows)
-    rows = bounded(rows, MAX_BYTES).collect()
+    rows = bounded(rows, MAX_BYTES).orderBy("key", "lang").collect()
+    if not rows:
+        raise ValueError(f"no text with a language is short enough to learn from: {MAX_BYTES} bytes at most")
     return fit([r.text for r in rows], [r.lang for r in rows], [r.key for r in rows])
 
 

@@ -38,20 +38,9 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, al
     return counts.crossJoin(F.broadcast(whole)).select("source", F.coalesce(F.try_divide(target * F.col("w"), F.col("all_w") * F.col("n")), F.lit(0.0)).alias("rate"))
 
 
-def mix(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 0
-) -> DataFrame:
-    """docs with rows repeated to the target weights, in random order; further columns `copy_no` and `shuffle_key`.
-
-    weights: share of each source (others get none); null sources count as one
-    source of their own under alpha. total: expected rows of the result, by
-    default as many as docs has. A row without id, or whose id another row has too, is
-    drawn and placed by a hash of all its columns, so only rows that are equal in all
-    of them share a draw. Null and empty texts are rows like others. A column of docs
-    that has one of the two new names is replaced.
-    """
+def _repeated(spark: SparkSession, docs: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None, alpha: float, total: int | None, seed: int) -> DataFrame:
+    """docs, whose columns have names of our own, with its rows repeated; further columns `copy_no` and `shuffle_key`."""
     ws = Workspace(spark, "mixing")
-    docs = docs.drop("copy_no", "shuffle_key")
     names = docs.columns
     table = rates(docs, source_col, weights, alpha, total)
     table = table.withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
@@ -60,7 +49,7 @@ def mix(
     table = table.select(F.col("source").alias("mix_source"), F.col("parts").alias("mix_parts"), F.expr(cdf).alias("mix_cdf"))
     if table.select("mix_source").limit(FEW + 1).count() <= FEW:
         table = F.broadcast(table)
-    docs = docs.select(*docs.columns, F.col(id_col).cast("string").alias("mix_id"))
+    docs = docs.select(*names, F.col(id_col).cast("string").alias("mix_id"))
     whole = F.concat(F.lit("row-"), F.md5(F.to_json(F.struct(*(F.col(c) for c in names)), {"ignoreNullFields": "false"})))
     again = ws.save(docs.where("mix_id IS NOT NULL").groupBy("mix_id").agg(F.count("*").alias("n")).where("n > 1").select("mix_id", F.lit(True).alias("mix_again")), "again")
     if again.limit(1).count():
@@ -76,3 +65,23 @@ def mix(
     copies = drawn.withColumn("mix_k", many).where("mix_k > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("mix_k"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"order-{seed}"), "mix_id", F.col("copy_no").cast("string"))))
     return keyed.select(*names, "copy_no", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def mix(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, total: int | None = None, seed: int = 0, numbered: bool = True
+) -> DataFrame:
+    """docs with rows repeated to the target weights, in random order; further columns `copy_no` and `shuffle_key`.
+
+    weights: share of each source (others get none); null sources count as one
+    source of their own under alpha. total: expected rows of the result, by
+    default as many as docs has. A row without id, or whose id another row has too, is
+    drawn and placed by a hash of all its columns, so only rows that are equal in all
+    of them share a draw. Null and empty texts are rows like others. Columns of docs may
+    have any names; one that has one of the two new names is replaced. Without
+    `numbered` the new columns are left out and docs keeps all its own.
+    """
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    place = dict(zip(reversed(docs.columns), reversed(own)))
+    out = _repeated(spark, docs.toDF(*own), place[id_col], place[source_col], weights, alpha, total, seed)
+    new = ("copy_no", "shuffle_key") if numbered else ()
+    return out.select(*(F.col(c).alias(name) for c, name in zip(own, docs.columns) if name not in new), *new)

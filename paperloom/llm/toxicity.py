@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import bytetext as bt
 from paperloom.llm import grams
+from paperloom.llm.language_id import bounded
 
 #: Bounds on the labelled documents that the model is fitted on, and on their bytes together.
 MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES = 2500, 4500, 1 << 26
@@ -115,15 +116,17 @@ def fit(texts: list[str], toxic: list[int]) -> Model | None:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fit on labelled rows of docs; labels has id_col and label_col (any value but 0 means toxic, null is no label).
 
-    Which rows are taken follows from a hash of the id. A document labelled twice is toxic if one label says so.
+    Which rows are taken follows from a hash of the id; long texts are taken last, and those that do not fit are left
+    out. A document labelled twice is toxic if one label says so. An error if every labelled text is longer than MAX_BYTES.
     """
     marked = labels.select(F.col(id_col).cast("long").alias("doc"), F.col(label_col).cast("long").alias("y")).where("doc IS NOT NULL AND y IS NOT NULL")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     marked = marked.groupBy("doc").agg(F.max((F.col("y") != 0).cast("int")).alias("y")).join(texts.select("doc").distinct(), "doc", "left_semi").withColumn("key", F.xxhash64("doc"))
     chosen = marked.where("y = 1").orderBy("key", "doc").limit(MAX_POSITIVE).unionByName(marked.where("y = 0").orderBy("key", "doc").limit(MAX_NEGATIVE))
     rows = texts.join(chosen, "doc").dropDuplicates(["doc"]).orderBy("key", "doc").limit(MAX_POSITIVE + MAX_NEGATIVE)
-    upto = Window.orderBy("key", "doc").rowsBetween(Window.unboundedPreceding, 0)  # some thousand rows
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("text").cast("long")).over(upto)).where(F.col("bytes") <= MAX_BYTES).collect()
+    rows = bounded(rows, MAX_BYTES).orderBy("key", "doc").collect()
+    if not rows and chosen.limit(1).count():
+        raise ValueError(f"no labelled text is short enough to learn from: {MAX_BYTES} bytes at most")
     return fit([r.text for r in rows], [r.y for r in rows])
 
 

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from paperloom.llm import bytetext as bt
 from paperloom.llm import grams
@@ -135,3 +136,23 @@ def test_toxicity_without_documents(spark):
     docs, labels = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert tx.train(docs, labels) is None
     assert tx.score(spark, docs, None).count() == 0
+
+
+def test_a_text_too_long_to_learn_from_cuts_nothing_else(spark, monkeypatch):
+    rng = random.Random(6)
+    smallest = spark.range(100_000).selectExpr("min_by(id, xxhash64(id)) AS id").first().id
+    rows = [(i, say(rng, "aa" if i % 2 else "bb", 30) + (" idiot!" if i % 3 == 0 else "")) for i in range(300) if i != smallest] + [(smallest, "ka lo " * 7_000_000)]
+    assert len(rows[-1][1]) > li.MAX_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", li.F.when(li.F.col("doc_id") % 2 == 1, "aa").otherwise("bb"))
+    model = li.train(docs, "doc_id", "text", "lang")
+    short = docs.where(f"doc_id <> {smallest}")
+    assert li.accepted(spark, short, model).count() >= 0.98 * 299
+    toxic = docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 1, 0) AS toxic")
+    monkeypatch.setattr(tx, "MAX_BYTES", 1 << 25)
+    found = tx.score(spark, short, tx.train(docs, toxic)).where("score >= 0.7").select("doc_id").collect()
+    assert len(found) >= 90 and all(r.doc_id % 3 == 0 for r in found)
+    alone = docs.where(f"doc_id = {smallest}")
+    with pytest.raises(ValueError):
+        li.train(alone, "doc_id", "text", "lang")
+    with pytest.raises(ValueError):
+        tx.train(alone, toxic)

@@ -42,6 +42,17 @@ def test_rates_beyond_one_part(spark):
     assert all(abs(c - 1000) < 6 * math.sqrt(1000) for c in counts.values()) and len(set(counts.values())) > 1
 
 
+def test_columns_of_any_name_keep_their_values(spark):
+    rows = [(i, "t", "s" if i % 3 else None, i + 1, i + 2, i + 3, 77, "k", i + 4, i + 5) for i in range(300)] + [(None, "t", "s", 1, 2, 3, 77, "k", 4, 5), (7, "u", "s", 8, 9, 10, 77, "k", 11, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_id int, `a.b` int, mix_k int, copy_no int, shuffle_key string, mix_source int, c0 int")
+    kept = mix(spark, docs, total=900, numbered=False)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} <= set(rows) and abs(kept.count() - 900) < 200
+    numbered = mix(spark, docs, total=900)
+    assert numbered.columns == [c for c in docs.columns if c not in ("copy_no", "shuffle_key")] + ["copy_no", "shuffle_key"]
+    assert {r.copy_no for r in numbered.collect()} > {1, 2, 3} and {r.mix_id - r.doc_id for r in numbered.where("doc_id IS NOT NULL").collect()} == {1}
+
+
 def test_empty_table(spark):
     assert mix(spark, spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 

@@ -4,7 +4,7 @@ import random
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, lang_pred string, dirty_id int, row int, copy_no int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected string, lang_pred string, dirty_id int, row int, copy_no int, mix_id int, mix_source string, `a.b` int"
 WORDS = {"en": "the and of house water there which people".split(), "de": "und der nicht Wasser welche Häuser über schön".split()}
 
 
@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     rows += [(1100, f"the people {item} and water", "en", "web"), (None, f"the house {item} of the people", None, "web")]  # passages
     rows += [(1200, None, "en", "web"), (1201, "", "en", None), (1202, "12 !!", None, "web"), (1203, "long " + "water people " * 120_000, "en", "web")]
     rows += [rows[20]]
-    full = [(i, t, lang, s, len(t or ""), 0.5, "r", "l", 1, 2, 3) for i, t, lang, s in rows]
+    full = [(i, t, lang, s, len(t or ""), 0.5, "r", "l", 1, 2, 77, 88, "m", 99) for i, t, lang, s in rows]
     spark.createDataFrame(full, COLUMNS).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at, rows
@@ -64,6 +64,7 @@ def test_each_stage_does_its_work_on_the_rows_of_the_one_before(spark, tables):
 
     fourth = stages["mixing"](spark, docs, at)
     assert fourth.columns == docs.columns
+    assert {(r.score, r.row, r.copy_no, r.mix_id, r.mix_source, r["a.b"]) for part in (first, second, third, fourth) for r in part.collect()} == {(0.5, 2, 77, 88, "m", 99)}
     assert {r.text for r in fourth.collect()} <= {t for _, t, *_ in rows} and abs(fourth.count() - len(rows)) < 6 * len(rows) ** 0.5
 
     last = stages["token_files"](spark, docs, at).collect()
