@@ -37,12 +37,56 @@ def live_by_digest(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin(*LIVE)).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def submit(requests: DataFrame) -> DataFrame:
-    """requests(principal_id, idempotency_key, sha256, options, created_at, job_id) with `answer`, the job each one gets, and `created`."""
-    same = F.coalesce(F.concat(F.lit("key:"), F.col("idempotency_key")), F.concat_ws(":", F.lit("hash"), "sha256", "options"))
-    order = Window.partitionBy("principal_id", "same").orderBy("created_at", "job_id")
-    out = requests.withColumn("same", same).withColumn("answer", F.first("job_id").over(order))
-    return out.withColumn("created", F.col("answer") == F.col("job_id")).drop("same")
+def carried(rows: DataFrame, group: list[str], value: str, slot: str) -> DataFrame:
+    """rows with `value` replaced by its last filled one in the group up to the row, by (created_at, job_id).
+
+    Groups may hold any number of rows: a window runs within one `slot` of a group only (a number that
+    grows with created_at), and what earlier slots end with comes from a window over
+    one row a slot.
+    """
+    at = F.struct("created_at", "job_id")
+    ends = rows.where(F.col(value).isNotNull()).groupBy(*group, slot).agg(F.max_by(value, at).alias("_end"))
+    slots = rows.select(*group, slot).distinct().join(ends, [*group, slot], "left")
+    before = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_carry", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    within = Window.partitionBy(*group, slot).orderBy("created_at", "job_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(slots, [*group, slot], "left")
+    return out.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(within), "_carry")).drop("_carry")
+
+
+def submit(requests: DataFrame, jobs: DataFrame | None = None, slot_seconds: int = 3600) -> DataFrame:
+    """requests(principal_id, idempotency_key, sha256, options, created_at, job_id) with `answer`, the job each one gets, `created` and `code`.
+
+    Requests are taken in the order of created_at and job_id, after everything in
+    jobs(job_id, principal_id, idempotency_key, status, sha256, options, created_at). One with a key (not blank) gets the
+    principal's job of that key, whatever became of it, or creates one. One without gets the newest live
+    job of the same bytes and options, be it of the table or created just before, or creates one.
+    A request depends on those before it only through the jobs that they create, so two
+    aggregations find these and one carried value gives every answer.
+    """
+    digest = ["principal_id", "sha256", "options"]
+    fits = [F.col(c).cast("string").alias(c) for c in digest[1:]]
+    r = requests.select("principal_id", F.nullif(F.col("idempotency_key"), F.lit("")).alias("idempotency_key"), *fits, "created_at", "job_id")
+    r = r.na.fill("", ["sha256", "options"]).withColumn("slot", F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / slot_seconds))
+    at = F.struct("created_at", "job_id")
+    if jobs is None:
+        jobs = r.where("false").withColumn("status", F.lit(None).cast("string"))
+    table = jobs.select("principal_id", F.nullif(F.col("idempotency_key"), F.lit("")).alias("idempotency_key"), *fits, "created_at", "job_id", "status").na.fill("", ["sha256", "options"])
+    by_key = table.where("idempotency_key IS NOT NULL").groupBy("principal_id", "idempotency_key").agg(F.min_by("job_id", at).alias("known"))
+    live = table.where(F.col("status").isin(*LIVE)).groupBy(*digest).agg(F.max_by("job_id", at).alias("live"))
+    keyed = r.where("idempotency_key IS NOT NULL").groupBy("principal_id", "idempotency_key").agg(F.min_by("job_id", at).alias("first"))
+    keyed = keyed.join(by_key, ["principal_id", "idempotency_key"], "left").select("principal_id", "idempotency_key", F.coalesce("known", "first").alias("keyed"))
+    r = r.join(keyed, ["principal_id", "idempotency_key"], "left")
+    made = r.where("keyed = job_id").groupBy(*digest).agg(F.min(at).alias("keyed_at"))
+    plain = r.where("idempotency_key IS NULL").groupBy(*digest).agg(F.min(at).alias("plain_at"))
+    # without a key only the first of its digest can create a job: if none is live, and no keyed one came before
+    first = plain.join(made, digest, "left").join(live, digest, "left").where("live IS NULL AND (keyed_at IS NULL OR plain_at < keyed_at)").select(*digest, F.col("plain_at.job_id").alias("opener"))
+    r = r.join(first, digest, "left").join(live, digest, "left")
+    creates = F.when((F.col("keyed") == F.col("job_id")) | (F.col("idempotency_key").isNull() & (F.col("opener") == F.col("job_id"))), F.col("job_id"))
+    r = carried(r.withColumn("newest", creates), digest, "newest", "slot")
+    answers = r.select("job_id", F.when(F.col("idempotency_key").isNotNull(), F.col("keyed")).otherwise(F.coalesce("newest", "live")).alias("answer"))
+    out = requests.join(answers, "job_id").withColumn("created", F.col("answer") == F.col("job_id"))
+    return out.withColumn("code", F.when(F.col("created"), 201).otherwise(200))
 
 
 def claim_next(jobs: DataFrame, now, n: int = 1, settings: Settings = DEFAULTS) -> DataFrame:
@@ -67,8 +111,31 @@ def finish(jobs: DataFrame, job_id: str, status: str, now, error: str | None = N
     return jobs.withColumns({"completed_at": F.when(mine, col(now)).otherwise(F.col("completed_at")), "error": F.when(mine, F.lit(error)).otherwise(F.col("error")), "lease_expires_at": F.when(~mine, F.col("lease_expires_at")), "status": F.when(mine, status).otherwise(F.col("status"))})
 
 
-def cancel(jobs: DataFrame, which: Column) -> DataFrame:
-    return jobs.withColumn("status", F.when(which & F.col("status").isin("queued", "running"), "cancelled").otherwise(F.col("status")))
+def finish_all(jobs: DataFrame, outcomes: DataFrame, now) -> DataFrame:
+    """jobs after outcomes(job_id, status, error), one row a job at most, of jobs that are not final yet."""
+    o = outcomes.select("job_id", F.col("status").alias("o_status"), F.col("error").cast("string").alias("o_error"))
+    out = jobs.join(o, "job_id", "left")
+    mine = F.col("o_status").isNotNull() & ~F.col("status").isin(*TERMINAL)
+    return out.withColumns({"completed_at": F.when(mine, col(now)).otherwise(F.col("completed_at")), "error": F.when(mine, F.col("o_error")).otherwise(F.col("error")), "lease_expires_at": F.when(~mine, F.col("lease_expires_at")), "status": F.when(mine, F.col("o_status")).otherwise(F.col("status"))}).drop("o_status", "o_error")
+
+
+def set_progress(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """jobs with `progress` of the newest of events(job_id, progress, seq), where there is one."""
+    new = latest_progress(events).select("job_id", F.col("progress").alias("new"))
+    old = F.col("progress") if "progress" in jobs.columns else F.lit(None)
+    return jobs.join(new, "job_id", "left").withColumn("progress", F.coalesce("new", old)).drop("new")
+
+
+def next_cursor(page: DataFrame, limit: int) -> DataFrame:
+    """One row, `next_cursor`: the last key of a full page of list_page, else null."""
+    return page.agg(F.when(F.count("*") == max(1, min(200, limit)), F.min("job_id")).alias("next_cursor"))
+
+
+def cancel(jobs: DataFrame, which: Column, now=None) -> DataFrame:
+    """Live jobs of `which` end; with now, they also say when, and give up their lease."""
+    mine = which & F.col("status").isin("queued", "running")
+    out = jobs if now is None else jobs.withColumns({"completed_at": F.when(mine, col(now)).otherwise(F.col("completed_at")), "lease_expires_at": F.when(~mine, F.col("lease_expires_at"))})
+    return out.withColumn("status", F.when(mine, "cancelled").otherwise(F.col("status")))
 
 
 def delete(jobs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -77,9 +144,9 @@ def delete(jobs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def reclaim(jobs: DataFrame, now, settings: Settings = DEFAULTS) -> DataFrame:
     """Running jobs past their lease queue again, or fail once they have had max_attempts."""
-    lost = (F.col("status") == "running") & (F.col("lease_expires_at") < col(now))
+    lost = F.coalesce((F.col("status") == "running") & (F.col("lease_expires_at") < col(now)), F.lit(False))
     again = lost & (F.col("attempts") < settings.max_attempts)
-    return jobs.withColumns({"error": F.when(lost & ~again, "WORKER_LOST").otherwise(F.col("error")), "lease_expires_at": F.when(~lost, F.col("lease_expires_at")), "status": F.when(again, "queued").when(lost, "failed").otherwise(F.col("status"))})
+    return jobs.withColumns({"completed_at": F.when(lost & ~again, col(now)).otherwise(F.col("completed_at")), "error": F.when(lost & ~again, "WORKER_LOST").otherwise(F.col("error")), "lease_expires_at": F.when(~lost, F.col("lease_expires_at")), "status": F.when(again, "queued").when(lost, "failed").otherwise(F.col("status"))})
 
 
 def expire(jobs: DataFrame, now, settings: Settings = DEFAULTS) -> DataFrame:

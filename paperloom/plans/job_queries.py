@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators import jobs, metrics
 from paperloom.plans.catalogue import query, table
 from paperloom.settings import Settings
+from paperloom.streaming import lifecycle, worker
 
 #: Orders as jobs, in SQL that both engines read.
 JOBS = """
@@ -170,3 +173,82 @@ def exposition(spark, sf_dir):
 @query("SELECT event_id, props->>'$.k' AS k FROM events")
 def json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+#: Orders as jobs with keys, and events as requests of the same principals, in SQL that both engines read.
+KEYED = f"SELECT j.*, CASE WHEN job_id % 4 = 0 THEN concat('k', job_id % 90) END AS idempotency_key FROM ({JOBS}) j"
+REQUESTS = """
+    SELECT event_id + 100000000 AS job_id, user_id % 50 AS principal_id, CASE WHEN event_id % 4 = 0 THEN concat('k', event_id % 120) WHEN event_id % 11 = 0 THEN '' END AS idempotency_key,
+           CAST(event_id % 700 AS VARCHAR) AS sha256, CASE event_type WHEN 'view' THEN '1-URGENT' WHEN 'click' THEN '2-HIGH' WHEN 'error' THEN '3-MEDIUM' WHEN 'signup' THEN '5-LOW' ELSE event_type END AS options, ts AS created_at
+    FROM events
+"""
+
+
+@query(
+    f"""
+    WITH j AS ({KEYED}), r AS (SELECT *, nullif(idempotency_key, '') AS k FROM ({REQUESTS})),
+    live AS (SELECT principal_id, sha256, options, job_id FROM (SELECT *, row_number() OVER (PARTITION BY principal_id, sha256, options ORDER BY created_at DESC, job_id DESC) AS n FROM j WHERE status IN ('queued', 'running', 'succeeded')) WHERE n = 1),
+    keyed AS (SELECT job_id, coalesce((SELECT min(j.job_id) FROM j WHERE j.principal_id = r.principal_id AND j.idempotency_key = r.k AND j.created_at = (SELECT min(created_at) FROM j i WHERE i.principal_id = r.principal_id AND i.idempotency_key = r.k)),
+                                      first_value(job_id) OVER (PARTITION BY principal_id, k ORDER BY created_at, job_id)) AS answer FROM r WHERE k IS NOT NULL),
+    c1 AS (SELECT r.* FROM r JOIN keyed USING (job_id) WHERE answer = job_id),
+    c2 AS (SELECT r.* FROM r WHERE k IS NULL AND NOT EXISTS (SELECT 1 FROM live l WHERE l.principal_id = r.principal_id AND l.sha256 = r.sha256 AND l.options = r.options)
+           AND NOT EXISTS (SELECT 1 FROM c1 WHERE c1.principal_id = r.principal_id AND c1.sha256 = r.sha256 AND c1.options = r.options AND (c1.created_at < r.created_at OR c1.created_at = r.created_at AND c1.job_id < r.job_id))
+           AND NOT EXISTS (SELECT 1 FROM r q WHERE q.k IS NULL AND q.principal_id = r.principal_id AND q.sha256 = r.sha256 AND q.options = r.options AND (q.created_at < r.created_at OR q.created_at = r.created_at AND q.job_id < r.job_id))),
+    made AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+    last AS (SELECT r.job_id, arg_max(m.job_id, (m.created_at, m.job_id)) AS newest FROM r JOIN made m ON m.principal_id = r.principal_id AND m.sha256 = r.sha256 AND m.options = r.options AND (m.created_at < r.created_at OR m.created_at = r.created_at AND m.job_id <= r.job_id) GROUP BY 1),
+    a AS (SELECT r.job_id, CASE WHEN r.k IS NOT NULL THEN keyed.answer ELSE coalesce(newest, l.job_id) END AS answer FROM r LEFT JOIN keyed USING (job_id) LEFT JOIN last USING (job_id) LEFT JOIN live l ON l.principal_id = r.principal_id AND l.sha256 = r.sha256 AND l.options = r.options)
+    SELECT job_id, answer, answer = job_id AS created, CASE WHEN answer = job_id THEN 201 ELSE 200 END::INT AS code FROM a
+    """
+)
+def submit_against_table(spark, sf_dir):
+    """Requests with and without keys, answered from a table of live, failed and cancelled jobs and from each other."""
+    live = spark.sql(KEYED.replace(JOBS, "SELECT * FROM {jobs}"), jobs=_jobs(spark, sf_dir))
+    asked = spark.sql(REQUESTS.replace("VARCHAR", "STRING").replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return jobs.submit(asked, live).select("job_id", "answer", "created", "code")
+
+
+LIFE = """
+    SELECT user_id * 3 + event_id % 3 AS job_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'submitted' WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'heartbeat' WHEN 'purchase' THEN 'succeeded' ELSE CASE WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 7 = 1 THEN 'cancelled' ELSE 'unknown' END END AS kind,
+           ts, CASE WHEN event_type = 'error' THEN concat('E', event_id % 5) END AS error
+    FROM events
+"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS n FROM (SELECT * FROM ({LIFE}) UNION ALL SELECT DISTINCT user_id * 3 + event_id % 3, NULL, 'end', TIMESTAMP '2024-02-01', NULL FROM events)),
+    s AS (SELECT DISTINCT job_id, 0::BIGINT AS n, 'none' AS status, 0 AS attempts, 0 AS reclaimed, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS lease, NULL::TIMESTAMP AS completed_at, NULL::VARCHAR AS error FROM e
+          UNION ALL
+          SELECT job_id, n, CASE WHEN st = 'none' AND kind = 'submitted' THEN 'queued' WHEN st = 'queued' AND kind = 'claimed' THEN 'running' WHEN ended THEN kind ELSE st END,
+                 attempts + CASE WHEN st = 'queued' AND kind = 'claimed' THEN 1 ELSE 0 END, reclaimed, CASE WHEN st = 'none' AND kind = 'submitted' THEN ts ELSE created_at END,
+                 CASE WHEN st = 'queued' AND kind = 'claimed' OR st = 'running' AND kind = 'heartbeat' THEN ts + INTERVAL 24 HOUR WHEN st = 'running' AND NOT ended THEN lease END,
+                 CASE WHEN ended THEN ts ELSE completed_at END, CASE WHEN ended THEN CASE WHEN kind = 'failed' THEN said END ELSE error END
+          FROM (SELECT *, st = 'running' AND kind IN ('succeeded', 'failed', 'cancelled') OR st = 'queued' AND kind = 'cancelled' AS ended
+                FROM (SELECT s.job_id, e.n, e.kind, e.ts, e.error AS said, attempts, created_at, lease, reclaimed + CASE WHEN status = 'running' AND lease < e.ts AND attempts < 3 THEN 1 ELSE 0 END AS reclaimed,
+                             CASE WHEN status = 'running' AND lease < e.ts THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END WHEN status = 'succeeded' AND completed_at + INTERVAL 72 HOUR < e.ts THEN 'expired' ELSE status END AS st,
+                             CASE WHEN status = 'running' AND lease < e.ts AND attempts >= 3 THEN lease ELSE completed_at END AS completed_at,
+                             CASE WHEN status = 'running' AND lease < e.ts AND attempts >= 3 THEN 'WORKER_LOST' ELSE s.error END AS error
+                      FROM s JOIN e ON e.job_id = s.job_id AND e.n = s.n + 1)))
+    SELECT job_id, status, attempts, reclaimed, created_at, completed_at, error FROM s JOIN (SELECT job_id, max(n) AS n FROM e GROUP BY 1) USING (job_id, n) WHERE status <> 'none'
+    """
+)
+def job_lifecycle(spark, sf_dir):
+    """Events folded into jobs with leases of a day, three attempts and results kept for three days."""
+    events = spark.sql(LIFE.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    out = lifecycle.lifecycle(events, Settings(lease_seconds=86_400, result_ttl_hours=72), datetime(2024, 2, 1))
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("job_id", "status", "attempts", "reclaimed", naive("created_at"), naive("completed_at"), "error")
+
+
+@query(
+    f"""
+    WITH r AS (SELECT *, coalesce(status = 'running' AND lease_expires_at < TIMESTAMP '{NOW}', false) AS lost FROM ({JOBS})),
+    s AS (SELECT *, CASE WHEN lost AND attempts < 3 THEN 'queued' WHEN lost THEN 'failed' WHEN status = 'succeeded' AND completed_at < TIMESTAMP '{NOW}' - INTERVAL 72 HOUR THEN 'expired' ELSE status END AS st FROM r),
+    q AS (SELECT job_id FROM s WHERE st = 'queued' ORDER BY created_at, job_id LIMIT 40)
+    SELECT job_id, CASE WHEN job_id IN (FROM q) THEN 'running' ELSE st END AS status, (attempts + (job_id IN (FROM q))::INT)::BIGINT AS attempts, CASE WHEN lost AND attempts >= 3 THEN 'WORKER_LOST' END AS error,
+           CASE WHEN lost AND attempts >= 3 THEN TIMESTAMP '{NOW}' ELSE completed_at END AS completed_at FROM s
+    """
+)
+def worker_tick(spark, sf_dir):
+    """One poll: lost leases reclaimed, old results expired, then the 40 oldest of all queued jobs claimed."""
+    return worker.tick(_jobs(spark, sf_dir), _now(), 40, Settings(result_ttl_hours=72)).select("job_id", "status", "attempts", "error", "completed_at")
