@@ -24,10 +24,18 @@ class Result:
     summary: DataFrame
 
 
-def fragments(vision: DataFrame, ocr: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(doc_id, fragment_id, page, source, html): vision tables, and OCR tables of pages that vision does not cover."""
+def fragments(vision: DataFrame, ocr: DataFrame, allowed: DataFrame | None = None, planned: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, fragment_id, page, source, html): vision tables, and OCR tables of pages that vision did not cover.
+
+    Covered are the planned pages but the failed ones, whether or not a table was found there.
+    """
     seen = vision.select("doc_id", F.format_string("p%04d_%d", "page", "idx").alias("fragment_id"), "page", F.lit("vision").alias("source"), "html")
-    rest = route.fallback_tables(ocr, vision.select("doc_id", "page").distinct(), allowed)
+    covered = vision.select("doc_id", "page")
+    if planned is not None:
+        covered = covered.union(planned.select("doc_id", "page"))
+    if failed is not None:
+        covered = covered.join(failed.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+    rest = route.fallback_tables(ocr, covered.distinct(), allowed)
     return seen.unionByName(rest.select("doc_id", F.format_string("o%04d_%d", "page", "idx").alias("fragment_id"), "page", F.lit("ocr").alias("source"), "html"))
 
 
@@ -48,9 +56,9 @@ def extract(pages: DataFrame, ocr: DataFrame, vision: DataFrame, verdicts: DataF
 
     failed(doc_id, page) are pages whose reading failed: their OCR tables count, and the result is partial.
     """
-    planned = route.plan(pages, ocr, allowed, raster, settings)
     scratch = Scratch(pages.sparkSession, "extraction")
-    parts, report, confidence = reconciled(scratch, fragments(vision, ocr, allowed), pages, settings)
+    planned = scratch.keep(route.plan(pages, ocr, allowed, raster, settings), "plan")
+    parts, report, confidence = reconciled(scratch, fragments(vision, ocr, allowed, planned, failed), pages, settings)
     parts = scratch.keep(parts, "fragments")
     merged = merge.merge(furniture.drop_furniture(parts, settings).withColumn("title", F.lit(None).cast("string")), verdicts, settings)
     width = F.when(F.size("grid.rows") > 0, F.size(F.col("grid.rows")[0])).otherwise(0)
@@ -95,7 +103,14 @@ def one_table(result: Result, doc_id, table_id: str) -> DataFrame:
 
 
 def review_flags(result: Result) -> DataFrame:
-    """(doc_id, table_id, suspect, unparsed, ambiguous): what a reviewer should look at first."""
-    noted = result.warnings.groupBy("doc_id", "table_id").agg(F.count_if(F.col("code") == "VALUE_NOT_PARSED").alias("unparsed"), F.count_if(F.col("code") == "LOCALE_AMBIGUOUS").alias("ambiguous"))
-    flagged = furniture.suspect(result.tables).select("doc_id", "table_id", "suspect").join(noted, ["doc_id", "table_id"], "left")
-    return flagged.select("doc_id", "table_id", "suspect", *((F.coalesce(c, F.lit(0)) > 0).alias(c) for c in ("unparsed", "ambiguous")))
+    """(doc_id, table_id, suspect, unparsed, ambiguous): what a reviewer should look at first.
+
+    unparsed: a filled cell of a column that is not ambiguous has no value; ambiguous: a column's number format is.
+    """
+    cols = result.columns.select(*flatten.COLUMN, "ambiguous")
+    blank = F.coalesce(F.col("value_double").cast("string"), "value_string", F.col("value_bool").cast("string")).isNull()
+    read = result.cells.select(*flatten.COLUMN, ((tx.norm_text("raw") != "") & blank).alias("lost"))
+    lost = read.where("lost").join(cols.where("NOT ambiguous"), flatten.COLUMN, "left_semi").groupBy("doc_id", "table_id").agg(F.lit(True).alias("unparsed"))
+    unsure = cols.groupBy("doc_id", "table_id").agg(F.bool_or("ambiguous").alias("ambiguous"))
+    flagged = furniture.suspect(result.tables).select("doc_id", "table_id", "suspect").join(lost, ["doc_id", "table_id"], "left").join(unsure, ["doc_id", "table_id"], "left")
+    return flagged.select("doc_id", "table_id", "suspect", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("unparsed", "ambiguous")))
