@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
@@ -21,22 +21,62 @@ def vocabulary(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tokens, numbers.select("doc_id", "signature", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("canonical"))
 
 
-def nearest(tokens: DataFrame, vocab: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+#: Edits up to which near identifiers are found by what is left of both after as many deletions.
+INDEXED = 2
+
+
+def _deletions(x: Column, edits: int) -> Column:
+    """All texts that x becomes by leaving out at most `edits` of its characters."""
+    fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    out = F.array(x)
+    for _ in range(edits):
+        out = tx.let(out, lambda known: F.array_distinct(F.concat(known, F.flatten(F.transform(known, fewer)))))
+    return out
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """(doc_id, token, known, score, second): the two best of the candidates of each token, by a fold and not a sort of all."""
+    at = F.struct((-F.col("score")).alias("order"), "known")
+    first = scored.groupBy("doc_id", "token").agg(F.min(at).alias("a"))
+    rest = scored.join(first, ["doc_id", "token"]).where(F.col("known") != F.col("a.known")).groupBy("doc_id", "token").agg(F.max("score").alias("second"))
+    return first.join(rest, ["doc_id", "token"], "left").select("doc_id", "token", F.col("a.known").alias("known"), (-F.col("a.order")).alias("score"), "second")
+
+
+def nearest(tokens: DataFrame, vocab: DataFrame, settings: Settings = DEFAULTS, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, token, match, score, second) for each token, match null where none is near enough or two are.
 
-    Lengths are compared before texts: a pair below the similarity of a possible
-    runner-up can't change the answer.
+    An inverted index answers first: the texts that a token and a known one become by
+    leaving out at most INDEXED characters meet in an equal one exactly if they are so
+    near. A token is done if nothing that the index does not hold could be its match or
+    a runner-up that matters. Only the others, mostly those without any near
+    neighbour, are compared with the known ones of their document, length by length, and with
+    a bounded distance. score is null where nothing reaches the similarity of a possible runner-up; a second
+    below that is left out.
     """
     least = settings.identifier_similarity - settings.identifier_margin
-    v = vocab.select(F.col("doc_id").alias("vd"), F.col("token").alias("known"))
-    fits = (F.col("doc_id") == F.col("vd")) & (F.least(F.length("token"), F.length("known")) >= F.greatest(F.length("token"), F.length("known")) * F.lit(least))
-    scored = tokens.select("doc_id", "token").distinct().join(v, fits, "left").withColumn("score", F.when(F.col("known").isNotNull(), tx.similarity("token", "known")))
-    order = Window.partitionBy("doc_id", "token").orderBy(F.desc_nulls_last("score"), "known")
-    top = scored.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("doc_id", "token").agg(
-        F.max(F.when(F.col("r") == 1, F.col("known"))).alias("known"), F.max(F.when(F.col("r") == 1, F.col("score"))).alias("score"), F.max(F.when(F.col("r") == 2, F.col("score"))).alias("second")
-    )
+    asked = tokens.select("doc_id", "token").distinct()
+    known = vocab.select("doc_id", F.col("token").alias("known")).distinct()
+    index = lambda df, c: df.withColumn("left", F.explode(F.transform(_deletions(F.col(c), INDEXED), lambda v: F.xxhash64(v))))
+    pairs = index(asked, "token").join(index(known, "known"), ["doc_id", "left"]).select("doc_id", "token", "known").distinct()
+    longest = F.greatest(F.length("token"), F.length("known"))
+    near = pairs.withColumn("edits", F.levenshtein("token", "known", INDEXED)).where("edits >= 0").withColumn("score", 1 - F.col("edits") / longest)
+    found = _best(near.where(F.col("score") >= F.lit(least)))
+    if scratch is not None:
+        found = scratch.keep(found, "near")
+    unseen = 1 - (INDEXED + 1) / (F.length("token") + (INDEXED + 1))  # the most that a known text beyond the index can reach
+    done = (F.col("score") - unseen >= settings.identifier_margin) | (unseen < least)
+    settled = found.where(done)
+    open_ = asked.join(settled.select("doc_id", "token"), ["doc_id", "token"], "left_anti").where(unseen >= least)
+    if scratch is not None:
+        open_ = scratch.keep(open_, "open")
+    shortest, farthest = F.ceil(F.length("token") * F.lit(least)), F.floor(F.length("token") / F.lit(least))
+    by_length = open_.withColumn("n", F.explode(F.sequence(shortest.cast("int"), farthest.cast("int"))))
+    every = by_length.join(known.withColumn("n", F.length("known")), ["doc_id", "n"])
+    bound = F.floor((1 - F.lit(least)) * longest + 1e-9).cast("int")
+    every = every.withColumn("edits", F.levenshtein("token", "known")).where(F.col("edits") <= bound).withColumn("score", 1 - F.col("edits") / longest)
+    best = settled.unionByName(_best(every.where(F.col("score") >= F.lit(least)).select("doc_id", "token", "known", "score")))
     good = (F.col("score") >= settings.identifier_similarity) & (F.col("score") - F.coalesce("second", F.lit(-1.0)) >= settings.identifier_margin)
-    return top.select("doc_id", "token", F.when(good, F.col("known")).alias("match"), "score", "second")
+    return asked.join(best, ["doc_id", "token"], "left").select("doc_id", "token", F.when(good, F.col("known")).alias("match"), "score", "second")
 
 
 def reconcile(cells: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -52,7 +92,7 @@ def reconcile(cells: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS,
     spoken = words.select("doc_id").union(numbers.where("canonical IS NOT NULL").select("doc_id")).distinct().withColumn("grounded", F.lit(True))
     base = cells.join(spoken, "doc_id", "left").withColumn("ids", F.when(F.col("grounded") & F.lit(settings.ground_identifiers), tx.identifiers("text")).otherwise(F.array().cast("array<string>")))
     found = base.select(*keys, F.explode("ids").alias("token")).join(words.withColumn("kept", F.lit(True)), ["doc_id", "token"], "left")
-    near = nearest(found.where("kept IS NULL").select("doc_id", "token"), words, settings)
+    near = nearest(found.where("kept IS NULL").select("doc_id", "token"), words, settings, scratch)
     judged = keep(found.join(near, ["doc_id", "token"], "left"), "judged")
     change = F.when(F.col("kept").isNull(), F.struct((-F.length("token")).alias("order"), F.col("token").alias("old"), F.coalesce("match", F.lit("")).alias("new")))
     edits = judged.groupBy(*keys).agg(F.array_sort(F.collect_list(change)).alias("edits"))
@@ -77,6 +117,51 @@ def reconcile(cells: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS,
     return out, report, confidence
 
 
+#: Identifiers up to this length are found by postings, with so much text around a posting to verify them; longer ones in the whole text.
+NEAR = 64
+#: Characters of a posting's key.
+GRAM = 5
+
+
+def _turn(x: Column) -> Column:
+    """Characters before the first change between digits and others."""
+    return F.length(F.regexp_extract(x, r"^([0-9]+|[^0-9]+)", 1))
+
+
+def postings(pages: DataFrame) -> DataFrame:
+    """(doc_id, turn, gram, left, right): where the squeezed text of pages(doc_id, page, text) changes between digits and other identifier characters.
+
+    A page is read on into those after it, so that what crosses a page break has its
+    postings too. gram are GRAM characters that hold the change `turn` characters behind their start;
+    left and right are the NEAR characters before and behind the change.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page", "s").rowsBetween(1, NEAR - 1)
+    spoken = pages.select("doc_id", "page", tx.canon("text").alias("s")).where("s <> ''")
+    ahead = F.substring(F.array_join(F.collect_list(F.substring("s", 1, NEAR)).over(order), ""), 1, NEAR - 1)
+    runs = spoken.withColumn("s", F.concat("s", ahead)).select("doc_id", F.explode(F.regexp_extract_all("s", F.lit(f"[A-Z0-9-]{{{GRAM},}}"), 0)).alias("run")).where(F.col("run").rlike("[0-9]") & F.col("run").rlike("[^0-9]"))
+    digit = lambda i: F.substring("run", i, F.lit(1)).between("0", "9")
+    turns = runs.select("doc_id", "run", F.explode(F.filter(F.sequence(F.lit(2), F.length("run")), lambda i: digit(i) != digit(i - 1))).alias("i"))
+    around = turns.select("doc_id", "run", "i", F.substring("run", F.greatest(F.col("i") - NEAR, F.lit(1)), F.least(F.col("i") - 1, F.lit(NEAR))).alias("left"), F.substring("run", F.col("i"), F.lit(NEAR)).alias("right"), F.explode(F.array(*map(F.lit, range(1, GRAM)))).alias("turn"))
+    start = F.col("i") - F.col("turn")
+    return around.where((start >= 1) & (start + GRAM - 1 <= F.length("run"))).select("doc_id", "turn", F.substring("run", start, F.lit(GRAM)).alias("gram"), "left", "right")
+
+
+def contained(ids: DataFrame, pages: DataFrame) -> DataFrame:
+    """The (doc_id, value) of ids whose value stands somewhere in the text of the document's pages without white space.
+
+    ids are identifiers as tx.identifiers finds them: GRAM characters or more, digits and others.
+    """
+    code = tx.canon("value")
+    keyed = ids.select("doc_id", "value", code.alias("code"), _turn(code).alias("p"))
+    start = F.least(F.col("p") - 1, F.length("code") - GRAM)
+    keyed = keyed.where(F.length("code") <= NEAR).withColumn("turn", F.col("p") - start).withColumn("gram", F.substring("code", start + 1, F.lit(GRAM)))
+    met = keyed.join(postings(pages), ["doc_id", "turn", "gram"])
+    found = met.where(F.endswith("left", F.substring("code", F.lit(1), F.col("p"))) & F.startswith("right", F.substring("code", F.col("p") + 1, F.length("code")))).select("doc_id", "value").distinct()
+    long = ids.where(F.length(code) > NEAR)
+    whole = pages.join(long.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), " ").alias("source"))
+    return found.unionByName(long.join(whole, "doc_id").where(F.contains(tx.canon("source"), code)).select("doc_id", "value"))
+
+
 def verbatim(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, checked, grounded, ungrounded_identifiers, ungrounded_numbers, score) of fragments(doc_id, text).
 
@@ -84,10 +169,10 @@ def verbatim(fragments: DataFrame, pages: DataFrame) -> DataFrame:
     numbers, each time, must equal one of the pages' numbers. A document whose pages
     say nothing is not checked: its score is 1.
     """
-    source = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), " ").alias("source"))
     known = pages.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(tx.CHECK_NUMBER), 0)).alias("raw")).select("doc_id", tx.canon_number("raw").alias("canon")).distinct().withColumn("there", F.lit(True))
     ids = fragments.select("doc_id", F.explode(tx.identifiers("text")).alias("value")).distinct()
-    ids = ids.join(source.select("doc_id", tx.canon("source").alias("squeezed")), "doc_id").select("doc_id", "value", F.contains("squeezed", tx.canon("value")).alias("good"), F.lit("identifier").alias("kind"))
+    there = contained(ids, pages).withColumn("there", F.lit(True))
+    ids = ids.join(there, ["doc_id", "value"], "left").select("doc_id", "value", F.coalesce("there", F.lit(False)).alias("good"), F.lit("identifier").alias("kind"))
     nums = fragments.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(tx.CHECK_NUMBER), 0)).alias("value")).withColumn("canon", tx.canon_number("value")).where("length(canon) >= 3")
     nums = nums.join(known, ["doc_id", "canon"], "left").select("doc_id", "value", F.coalesce("there", F.lit(False)).alias("good"), F.lit("number").alias("kind"))
     checks = ids.unionByName(nums).groupBy("doc_id").agg(
@@ -96,7 +181,7 @@ def verbatim(fragments: DataFrame, pages: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(~F.col("good") & (F.col("kind") == "number"), F.col("value")))).alias("ungrounded_numbers"),
     )
     none = F.array().cast("array<string>")
-    checks = checks.join(source.where(tx.canon("source") != "").select("doc_id"), "doc_id", "left_semi")
+    checks = checks.join(pages.where(tx.canon("text") != "").select("doc_id").distinct(), "doc_id", "left_semi")
     return fragments.select("doc_id").distinct().join(checks, "doc_id", "left").select(
         "doc_id", F.coalesce("checked", F.lit(0)).alias("checked"), F.coalesce("grounded", F.lit(0)).alias("grounded"), F.coalesce("ungrounded_identifiers", none).alias("ungrounded_identifiers"),
         F.coalesce("ungrounded_numbers", none).alias("ungrounded_numbers"), F.coalesce(F.try_divide("grounded", "checked"), F.lit(1.0)).alias("score"),

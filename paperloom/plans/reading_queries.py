@@ -9,6 +9,7 @@ from paperloom.functions import text as tx
 from paperloom.operators import furniture, merge, reconcile, route
 from paperloom.plans.catalogue import query, table
 from paperloom.sources import readings
+from paperloom.sources.scratch import Scratch
 
 TABLES = "SELECT l_orderkey % 40 AS doc_id, l_orderkey // 40 AS page, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey"
 
@@ -75,7 +76,7 @@ def vocabulary_numbers(spark, sf_dir):
 def identifier_repair(spark, sf_dir):
     v = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS doc_id", "concat('ID', upper(substr(md5(cast(c_custkey AS string)), 1, 8))) AS token").distinct()
     asked = v.selectExpr("doc_id", "concat(substr(token, 1, 5), 'Z', substr(token, 7)) AS token")
-    return reconcile.nearest(asked, v).select("doc_id", "token", "match", F.round("score", 4).alias("score"))
+    return reconcile.nearest(asked, v, scratch=Scratch(spark, "identifier_repair")).select("doc_id", "token", "match", F.round("score", 4).alias("score"))
 
 
 @query(
@@ -192,3 +193,22 @@ def upload_code(spark, sf_dir):
 
     files = table(spark, sf_dir, "documents").selectExpr("doc_id", "length(text) AS bytes", "to_binary(if(lang = 'en', concat(' \\n%PDF-1.7', text), concat('x%PDF', text)), 'utf-8') AS content")
     return readings.upload_code(files, Settings(max_upload_bytes=5000)).select("doc_id", "code")
+
+
+CODE = "concat('X', substr(upper(md5(CAST(doc_id AS {0}))), 1, 10), '-7')"
+
+
+@query(
+    f"""
+    WITH p AS (SELECT doc_id % 40 AS doc, doc_id // 40 AS page, text || ' ' || CASE doc_id % 3 WHEN 0 THEN substr(c, 1, 4) || chr(10) || substr(c, 5) WHEN 1 THEN c || 'Q' ELSE substr(c, 1, 6) || '_' || substr(c, 7) END AS text FROM (SELECT *, {CODE.format('VARCHAR')} AS c FROM documents)),
+    s AS (SELECT doc, regexp_replace(upper(string_agg(text, ' ' ORDER BY page)), '\s+', '', 'g') AS s FROM p GROUP BY doc)
+    SELECT d.doc_id % 40 AS doc_id, {CODE.format('VARCHAR')} AS value FROM documents d JOIN s ON s.doc = d.doc_id % 40 WHERE NOT contains(s, {CODE.format('VARCHAR')})
+    """
+)
+def verbatim_identifiers(spark, sf_dir):
+    """A code a document, sought in forty long texts where it stands broken over lines, within a longer one, or not at all."""
+    docs = table(spark, sf_dir, "documents").withColumn("c", F.expr(CODE.format("STRING")))
+    said = F.expr("CASE doc_id % 3 WHEN 0 THEN concat(substr(c, 1, 4), '\n', substr(c, 5)) WHEN 1 THEN concat(c, 'Q') ELSE concat(substr(c, 1, 6), '_', substr(c, 7)) END")
+    pages = docs.select(F.expr("doc_id % 40").alias("doc_id"), F.expr("cast(doc_id DIV 40 AS int)").alias("page"), F.concat("text", F.lit(" "), said).alias("text"))
+    asked = docs.select(F.expr("doc_id % 40").alias("doc_id"), F.col("c").alias("text"))
+    return reconcile.verbatim(asked, pages).select("doc_id", F.explode("ungrounded_identifiers").alias("value"))

@@ -6,7 +6,7 @@ elsewhere. What the engine does with them on arrival is here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
@@ -29,6 +29,32 @@ def upload_code(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return files.withColumn("code", F.when(F.col("bytes") > settings.max_upload_bytes, 413).when(~head.startswith("%PDF"), 415).otherwise(201))
 
 
+def covering(spans: DataFrame, points: DataFrame, slot: int = 65_536) -> DataFrame:
+    """points(doc_id, at, …) with `offset` and `end` of every one of spans(doc_id, offset, length) that they lie in.
+
+    A sweep: spans and points in one order, each point under the span that opened
+    last. Spans are cut at multiples of `slot`, so a window runs over one slot of a document
+    only, and the work is linear in spans and points. Slots in which spans overlap
+    are found on the way; only there each point meets each span.
+    """
+    cut = spans.where("length > 0").select("doc_id", "offset", (F.col("offset") + F.col("length")).alias("end"))
+    cut = cut.withColumn("slot", F.explode(F.sequence(F.floor(F.col("offset") / slot), F.floor((F.col("end") - 1) / slot))))
+    pieces = cut.select("doc_id", "slot", F.greatest("offset", F.col("slot") * slot).alias("at"), F.lit(0).alias("kind"), "offset", "end")
+    kept = [c for c in points.columns if c not in ("doc_id", "at")]
+    places = points.select("doc_id", F.floor(F.col("at") / slot).alias("slot"), "at", F.lit(1).alias("kind"), F.struct(*kept).alias("point"))
+    both = pieces.unionByName(places, allowMissingColumns=True)
+    order = Window.partitionBy("doc_id", "slot").orderBy("at", "kind", "offset", "end")
+    past = order.rowsBetween(Window.unboundedPreceding, 0)
+    span = F.when(F.col("kind") == 0, F.struct("offset", "end"))
+    # what is open: the last span, and where any before it still is, those too
+    reach = F.max(F.when(F.col("kind") == 0, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    swept = both.withColumn("last", F.last(span, ignorenulls=True).over(past)).withColumn("over", F.coalesce((F.col("kind") == 0) & (reach > F.col("at")), F.lit(False)))
+    tangled = swept.groupBy("doc_id", "slot").agg(F.bool_or("over").alias("over")).where("over").select("doc_id", "slot")
+    hits = swept.where("kind = 1").join(tangled, ["doc_id", "slot"], "left_anti").where(F.col("last.end") > F.col("at")).select("doc_id", "at", "point.*", "last.offset", "last.end")
+    mixed = places.join(tangled, ["doc_id", "slot"]).join(pieces.select("doc_id", "slot", "offset", "end"), ["doc_id", "slot"]).where("at >= offset AND at < end")
+    return hits.unionByName(mixed.select("doc_id", "at", "point.*", "offset", "end")).distinct()
+
+
 def without_furniture(spans: DataFrame, furniture: DataFrame, text: DataFrame) -> DataFrame:
     """page_text of text(doc_id, content), spans(doc_id, page, seq, offset, length) and furniture(doc_id, offset, length).
 
@@ -36,10 +62,10 @@ def without_furniture(spans: DataFrame, furniture: DataFrame, text: DataFrame) -
     the page goes wherever it stands in the span; spans are joined by a space.
     """
     cut = lambda o, n: F.substring(F.col("content"), F.col(o) + 1, F.col(n))
-    segments = spans.join(text, "doc_id").select("doc_id", "page", "seq", F.col("offset").alias("so"), F.col("length").alias("sl"), cut("offset", "length").alias("segment"))
-    noise = furniture.join(text, "doc_id").select("doc_id", F.col("offset").alias("fo"), cut("offset", "length").alias("said")).where("said <> ''")
-    hit = segments.join(noise, "doc_id").where("fo >= so AND fo < so + sl").groupBy("doc_id", "page", "seq").agg(F.array_sort(F.collect_list(F.struct("fo", F.col("said").alias("old"), F.lit(" ").alias("new")))).alias("cuts"))
-    clean = segments.join(hit, ["doc_id", "page", "seq"], "left").withColumn("clean", F.when(F.col("cuts").isNull(), F.col("segment")).otherwise(tx.replace_all("segment", "cuts")))
+    noise = furniture.join(text, "doc_id").select("doc_id", F.col("offset").alias("at"), cut("offset", "length").alias("said")).where("said <> ''")
+    hit = covering(spans.select("doc_id", "offset", "length").distinct(), noise).groupBy("doc_id", "offset", "end").agg(F.array_sort(F.collect_list(F.struct("at", F.col("said").alias("old"), F.lit(" ").alias("new")))).alias("cuts"))
+    segments = spans.join(text, "doc_id").select("doc_id", "page", "seq", "offset", (F.col("offset") + F.col("length")).alias("end"), cut("offset", "length").alias("segment"))
+    clean = segments.join(hit, ["doc_id", "offset", "end"], "left").withColumn("clean", F.when(F.col("cuts").isNull(), F.col("segment")).otherwise(tx.replace_all("segment", "cuts")))
     parts = F.array_sort(F.collect_list(F.struct("seq", "clean")))
     return clean.groupBy("doc_id", "page").agg(F.array_join(F.transform(parts, lambda p: p["clean"]), " ").alias("text"))
 
