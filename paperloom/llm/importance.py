@@ -34,7 +34,7 @@ BUCKETS = 10_000
 #: A block ends at so many documents or bytes of text; a longer text is a block of its own, read in segments.
 BLOCK_DOCS, BLOCK_BYTES = 2048, 1 << 22
 #: Postings of so many buckets and blocks go to a task together.
-BUCKET_GROUPS, BLOCK_SPAN = 128, 1024
+BUCKET_GROUPS, BLOCK_SPAN = 128, 64
 #: Bytes of a word that are hashed for all words at once; the rest of a longer word follows by itself.
 STEPS = 48
 _CRC = np.arange(256, dtype=np.uint32)
