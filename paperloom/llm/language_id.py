@@ -15,6 +15,7 @@ rejected. For the floors of short texts the same rows are cut into pieces of 1 t
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,21 +65,33 @@ def fit(texts: list[str], langs: list[str], keys: list[int]) -> Model | None:
     if not labels:
         return None
     code = {x: i for i, x in enumerate(labels)}
-    data = [(text, code[lang], *_doc_grams(text)) for _, lang, text in rows]
-    data = [x for x in data if len(x[2])]
-    spare = [x for i, x in enumerate(data) if i % 7 == 3]
-    train = [x for i, x in enumerate(data) if i % 7 != 3] or data
+    # all documents' grams in two flat arrays: small numbers, and the memory goes back as soon as they do
+    buckets, shares, ends, y = array("H"), array("f"), [0], []
+    kept = []
+    for _, lang, text in rows:
+        bucket, share = _doc_grams(text)
+        if len(bucket):
+            buckets.frombytes(bucket.astype(np.uint16).tobytes())
+            shares.frombytes(share.astype(np.float32).tobytes())
+            ends.append(len(buckets))
+            y.append(code[lang])
+            kept.append(text)
+    flat_buckets, flat_shares = np.frombuffer(buckets, np.uint16), np.frombuffer(shares, np.float32)
+    spare = [(text, c) for i, (text, c) in enumerate(zip(kept, y)) if i % 7 == 3]
+    train = [i for i in range(len(kept)) if i % 7 != 3] or list(range(len(kept)))
+    del rows, kept
     rng = np.random.default_rng(11)
     e = rng.uniform(-1, 1, (1 << BITS, DIMENSIONS)) / DIMENSIONS
     w = np.zeros((DIMENSIONS, len(labels)))
     total, step = EPOCHS * max(1, len(train)), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(train)):
-            _, y, bucket, share = train[i]
+        for place in rng.permutation(len(train)):
+            i = train[place]
+            bucket, share = flat_buckets[ends[i] : ends[i + 1]], flat_shares[ends[i] : ends[i + 1]].astype(float)
             rate = RATE * (1 - step / total)
             h = share @ e[bucket]
             g = _softmax(h @ w)
-            g[y] -= 1
+            g[y[i]] -= 1
             back = w @ g
             w -= rate * np.outer(h, g)
             # the mean spreads a gradient over many buckets; its scale is restored so that both tables learn alike
@@ -102,7 +115,7 @@ def fit(texts: list[str], langs: list[str], keys: list[int]) -> Model | None:
 def _calibration(spare: list[tuple], rng) -> tuple[list[str], np.ndarray]:
     """The spare texts, then pieces of them, with their classes."""
     texts, y = [x[0] for x in spare], [x[1] for x in spare]
-    for text, label, *_ in spare:
+    for text, label in spare:
         words = text.split()
         for size in PIECES:
             for at in rng.integers(0, max(1, len(words) - size), TAKEN).tolist() if len(words) > size else ():
