@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,22 +67,21 @@ def parse(x, label: str) -> Column:
     return parse_cleaned(cleaned(x), label)
 
 
+def _shape(thousands: str, decimal: str) -> str:
+    """Cells of a format: signs, one run of digits or groups of three, then a fraction with digits.
+
+    A group may hold spaces; marks for thousands may lead, trail and repeat.
+    """
+    t, d, digit = re.escape(thousands), re.escape(decimal), r"\d" if thousands == " " else r"[\d ]"
+    return rf"^(?=.*\d)-*{t}*(?:{digit}*|{digit}{{1,3}}(?:{t}+{digit}{{3}})+){t}*(?:{d}\d+)?$"
+
+
 def parse_cleaned(bare, label: str) -> Column:
+    """One look at the shape, then the text without its marks as a number."""
     thousands, decimal = next((t, d) for name, t, d in FORMATS if name == label)
     bare = col(bare)
-    fits = bare.rlike(r"\d") & bare.rlike(NUMBER_CHARS)
-    negative = bare.startswith("-")
-    body = F.regexp_replace(bare, r"^[+-]+", "")
-    pieces = F.split(body, rf"\Q{decimal}\E", -1)
-    with_fraction = F.size(pieces) == 2
-    fraction = F.when(with_fraction, F.element_at(pieces, 2)).otherwise(F.lit(""))
-    whole = F.element_at(pieces, 1)
-    groups = F.filter(F.split(whole, rf"\Q{thousands}\E"), lambda g: g != "")
-    grouped = (F.size(groups) <= 1) | ((F.length(F.element_at(groups, 1)) <= 3) & F.forall(F.slice(groups, F.lit(2), F.greatest(F.size(groups) - 1, F.lit(0))), lambda g: F.length(g) == 3))
-    integer = F.replace(F.replace(whole, F.lit(thousands), F.lit("")), F.lit(" "), F.lit(""))
-    sound = fits & (F.size(pieces) <= 2) & (~with_fraction | fraction.rlike(r"^\d+$")) & grouped & integer.rlike(r"^\d*$")
-    text = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), F.when(integer == "", F.lit("0")).otherwise(integer), F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)))
-    return F.when(sound, text.try_cast("double"))
+    value = F.translate(bare, f"{decimal}{thousands} -", ".").try_cast("double")
+    return F.when(bare.rlike(_shape(thousands, decimal)), F.when(bare.startswith("-"), -value).otherwise(value))
 
 
 def repair(x) -> Column:

@@ -64,7 +64,8 @@ def extract(pages: DataFrame, ocr: DataFrame, vision: DataFrame, verdicts: DataF
     width = F.when(F.size("grid.rows") > 0, F.size(F.col("grid.rows")[0])).otherwise(0)
     tables = scratch.keep(merged.withColumns({"n_rows": F.size(hg.body("grid")), "n_cols": width}).withColumn("suppressed", furniture.suppressed("n_rows", "n_cols", settings)), "tables")
     score = reconcile.verbatim(tables.select("doc_id", hg.text("grid").alias("text")), pages)
-    raw = scratch.keep(flatten.raw_cells(tables, settings), "raw")
+    rows = flatten.flat_rows(tables, settings, scratch)
+    raw = scratch.keep(flatten.cells_of(rows), "raw")
     columns = scratch.keep(flatten.columns(raw, settings), "columns")
     cells = scratch.keep(flatten.typed_cells(raw, columns, confidence), "cells")
     warned = flatten.warnings(cells, columns, settings)
@@ -80,7 +81,7 @@ def extract(pages: DataFrame, ocr: DataFrame, vision: DataFrame, verdicts: DataF
         summary = summary.join(part, "doc_id", "left")
     summary = summary.na.fill(1.0, ["verbatim_score"]).na.fill(0).join(lost, "doc_id", "left")
     summary = summary.withColumns({"routed_ratio": F.col("pages_routed") / F.col("pages"), "partial": F.col("failed_pages").isNotNull(), "failed_pages": F.coalesce("failed_pages", F.array().cast("array<int>"))})
-    flat = flatten.flat_tables(tables, cells, settings)
+    flat = flatten.flat_tables(tables, rows, cells)
     shown = tables.drop("n_rows", "n_cols").join(flat, ["doc_id", "table_id"]).withColumn("html", hg.to_html("grid")).drop("grid")
     return Result(planned, shown, columns, cells, warned, summary)
 

@@ -201,7 +201,7 @@ CODE = "concat('X', substr(upper(md5(CAST(doc_id AS {0}))), 1, 10), '-7')"
 @query(
     f"""
     WITH p AS (SELECT doc_id % 40 AS doc, doc_id // 40 AS page, text || ' ' || CASE doc_id % 3 WHEN 0 THEN substr(c, 1, 4) || chr(10) || substr(c, 5) WHEN 1 THEN c || 'Q' ELSE substr(c, 1, 6) || '_' || substr(c, 7) END AS text FROM (SELECT *, {CODE.format('VARCHAR')} AS c FROM documents)),
-    s AS (SELECT doc, regexp_replace(upper(string_agg(text, ' ' ORDER BY page)), '\s+', '', 'g') AS s FROM p GROUP BY doc)
+    s AS (SELECT doc, regexp_replace(upper(string_agg(text, ' ' ORDER BY page)), '[[:space:]]+', '', 'g') AS s FROM p GROUP BY doc)
     SELECT d.doc_id % 40 AS doc_id, {CODE.format('VARCHAR')} AS value FROM documents d JOIN s ON s.doc = d.doc_id % 40 WHERE NOT contains(s, {CODE.format('VARCHAR')})
     """
 )

@@ -9,6 +9,7 @@ from paperloom.functions import numbers as nb
 from paperloom.operators import flatten, merge
 from paperloom.plans import extraction
 from paperloom.plans.catalogue import query, table
+from paperloom.sources.scratch import Scratch
 
 HEAD = "<tr><th>Item</th><th>Price</th><th>Qty</th></tr>"
 ROW = "concat('<tr><td>L', l_linenumber, '</td><td>$ ', format_number(l_extendedprice, 2), '</td><td>', cast(l_quantity AS int), '</td></tr>')"
@@ -64,7 +65,7 @@ def nested_zip(spark, sf_dir):
     lists = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("a"), F.array_sort(F.collect_set("l_suppkey")).alias("b"))
     inner = lambda c, name: F.concat(F.lit(f"<table><tr><th>{name}</th></tr>"), F.array_join(F.transform(c, lambda x: F.format_string("<tr><td>%s</td></tr>", x.cast("string"))), ""), F.lit("</table>"))
     html = F.concat(F.lit("<table><tr><th>Order</th><th>Parts</th><th>Suppliers</th></tr><tr><td>x</td><td>"), inner("a", "part"), F.lit("</td><td>"), inner("b", "supplier"), F.lit("</td></tr></table>"))
-    raw = flatten.raw_cells(lists.select(F.col("l_orderkey").alias("doc_id"), F.lit("t_0001").alias("table_id"), html.alias("html")))
+    raw = flatten.raw_cells(lists.select(F.col("l_orderkey").alias("doc_id"), F.lit("t_0001").alias("table_id"), html.alias("html")), scratch=Scratch(spark, "nested_zip"))
     full = F.col("raw") != ""
     by_row = raw.groupBy("doc_id", "row_index").agg(F.count_if(full & F.col("key").isin("parts__part")).alias("p"), F.count_if(full & F.col("key").isin("suppliers__supplier")).alias("s"), F.count("*").cast("int").alias("w"))
     return by_row.groupBy(F.col("doc_id").alias("l_orderkey")).agg(F.count("*").alias("n_rows"), F.max("w").alias("n_cols"), F.sum("p").alias("parts"), F.sum("s").alias("suppliers"), F.sum(F.col("p") * F.col("s")).alias("paired"))

@@ -31,7 +31,7 @@ def numeric_parse_en(spark, sf_dir):
         f"stack(4, 0, 'price', {PRICE}, 1, 'discount', concat(cast(round(l_discount * 100) AS int), '%'), 2, 'quantity', cast(cast(round(l_quantity) AS int) AS string), 3, 'flag', l_returnflag) AS (col_index, key, raw)",
     ).withColumn("label", F.col("key"))
     cols = flatten.columns(cells)
-    typed = flatten.typed_cells(cells, cols).join(cols.select(*flatten.COLUMN, "locale"), flatten.COLUMN)
+    typed = flatten.typed_cells(cells, cols)
     return typed.groupBy("key", "type", "locale").agg(F.count("*").alias("n_cells"), F.round(F.sum("value_double"), 2).alias("total"))
 
 
