@@ -252,3 +252,21 @@ def job_lifecycle(spark, sf_dir):
 def worker_tick(spark, sf_dir):
     """One poll: lost leases reclaimed, old results expired, then the 40 oldest of all queued jobs claimed."""
     return worker.tick(_jobs(spark, sf_dir), _now(), 40, Settings(result_ttl_hours=72)).select("job_id", "status", "attempts", "error", "completed_at")
+
+
+@query(
+    """
+    WITH e AS (SELECT CASE WHEN event_id % 9 = 0 THEN event_type || '"' || chr(92) || 'x' ELSE event_type END AS label, value FROM events),
+    l AS (SELECT label, event_label, b, i, n FROM (SELECT label, replace(replace(label, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') AS event_label, b, i, count(*) FILTER (WHERE value <= b) AS n
+                 FROM e, (SELECT unnest([0.1, 0.5, 1, 5, 15, 60, 300, 900, 'inf'::DOUBLE]) AS b, unnest(range(9)) AS i) GROUP BY ALL)),
+    s AS (SELECT label, replace(replace(label, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') AS event_label, sum(value::DECIMAL(18, 6)) AS total, count(*) AS n FROM e GROUP BY label)
+    SELECT NULL AS label, 0::INT AS place, '# HELP stage_seconds Seconds of a stage' AS line UNION ALL SELECT NULL, 1, '# TYPE stage_seconds histogram'
+    UNION ALL SELECT label, i::INT, 'stage_seconds_bucket{label="' || event_label || '",le="' || CASE WHEN b = 'inf'::DOUBLE THEN '+Inf' ELSE b::VARCHAR END || '"} ' || n FROM l
+    UNION ALL SELECT label, 9, 'stage_seconds_sum{label="' || event_label || '"} ' || total FROM s
+    UNION ALL SELECT label, 10, 'stage_seconds_count{label="' || event_label || '"} ' || n FROM s
+    """
+)
+def histogram_exposition(spark, sf_dir):
+    """Buckets, sum and count of every kind of event as text lines, with labels that need escapes."""
+    events = table(spark, sf_dir, "events").selectExpr("if(event_id % 9 = 0, concat(event_type, char(34), char(92), 'x'), event_type) AS label", "value")
+    return metrics.histogram_text(events, "stage_seconds", "value", metrics.STAGE_SECONDS, "label", "Seconds of a stage")

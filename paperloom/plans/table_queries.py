@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import html_grid as hg
 from paperloom.functions import numbers as nb
+from paperloom.functions import udtf
 from paperloom.operators import flatten, merge
 from paperloom.plans import extraction
 from paperloom.plans.catalogue import query, table
@@ -116,3 +117,18 @@ def extraction_summary(spark, sf_dir):
     pages = vision.select("doc_id", "page", F.regexp_replace(F.replace("html", F.lit("</tr>"), F.lit("\n")), "<[^>]+>", " ").alias("text"))
     nothing = spark.createDataFrame([], "doc_id long, idx int, html string, pages array<int>, n_rows int, n_cols int")
     return extraction.extract(pages, nothing, vision).summary.select("doc_id", "tables", "suppressed", "cells_populated", "rows", "verbatim_score")
+
+
+@query("SELECT l_orderkey, 0 AS t, r::INT AS r, c::INT AS c, text, r = 0 AS is_header FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, unnest([0, 1, 2]) AS c, unnest(['L' || l_linenumber, '$ ' || format('{:,.2f}', l_extendedprice), trunc(l_quantity)::INT::VARCHAR]) AS text FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 0, unnest([0, 1, 2]), unnest(['Item', 'Price', 'Qty']) FROM lineitem)")
+def sql_table_cells(spark, sf_dir):
+    """The tables of all orders read in SQL text, by a table function in the FROM clause."""
+    udtf.register(spark)
+    return spark.sql("SELECT l_orderkey, x.* FROM {tables}, LATERAL table_cells(html) x", tables=_tables(spark, sf_dir))
+
+
+@query("SELECT page_id, i::INT AS idx, CASE i WHEN 0 THEN '<table><tr><td>Service</td><td><table><tr><td>Price ' || page_id || '</td></tr></table></td></tr></table>' ELSE '<TABLE class=x><tr><td>' || page_id || '</td></tr></TABLE>' END AS html FROM pages, range(0, 2) t(i)")
+def sql_outer_tables(spark, sf_dir):
+    """Markup split into its outermost tables in SQL text; the last one never closes."""
+    udtf.register(spark)
+    html = "concat('<p>', '<table><tr><td>Service</td><td><table><tr><td>Price ', page_id, '</td></tr></table></td></tr></table> and <TABLE class=x><tr><td>', page_id, '</td></tr></TABLE><table><tr>')"
+    return spark.sql("SELECT page_id, x.* FROM {marked}, LATERAL outer_tables(html) x", marked=table(spark, sf_dir, "pages").select("page_id", F.expr(html).alias("html")))
