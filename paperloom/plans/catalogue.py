@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from paperloom.plans import job_queries, reading_queries, table_queries, text_queries  # noqa: E402, F401
+from paperloom.plans import extraction_queries, job_queries, reading_queries, table_queries, text_queries  # noqa: E402, F401

@@ -66,3 +66,10 @@ def test_review_flags_come_from_cells(spark):
     assert flags == {1: (False, True), 2: (True, True), 3: (True, False)}  # an ambiguous column alone is not unparsed; a boolean can be
     assert r.warnings.where("doc_id = 2 AND column = 'open'").count() == 0
     assert r.columns.where(F.col("ambiguous")).select("key").distinct().collect()[0].key == "dose"
+
+
+def test_a_caption_that_the_pages_do_not_know_goes_from_the_title_too(spark):
+    vision = spark.createDataFrame([(1, 1, 0, captioned("Ref QX-99871", *body("N"))), (2, 1, 0, captioned("QX-99871", *body("N"))), (3, 1, 0, captioned("QX-99871", *body("N")))], VISION)
+    pages = spark.createDataFrame([(1, 1, "AAA-1111"), (2, 1, "AAA-1111"), (3, 1, "QX-99871")], PAGES)
+    r = extraction.extract(pages, spark.createDataFrame([], readings.OCR_TABLE), vision)
+    assert {t.doc_id: t.title for t in r.tables.collect()} == {1: "Ref", 2: None, 3: "QX-99871"}
