@@ -182,9 +182,9 @@ def cells_to_html(spark, sf_dir):
     return readings.cells_to_html(body.unionByName(head).withColumn("idx", F.lit(0))).select("doc_id", "html")
 
 
-@query("SELECT * FROM (VALUES (0, '010', 'Aluminium Round Bar', 93.0::DOUBLE, 'AUD'), (1, '020', 'Stainless Steel Sheet', 124.94, 'AUD'), (2, '030', 'Insulation Material', 26.25, 'AUD')) t(row_index, item, description, amount, currency)")
+@query("SELECT doc_id, t.* FROM documents, (VALUES (0, '010', 'Aluminium Round Bar', 93.0::DOUBLE, 'AUD'), (1, '020', 'Stainless Steel Sheet', 124.94, 'AUD'), (2, '030', 'Insulation Material', 26.25, 'AUD')) t(row_index, item, description, amount, currency)")
 def null_readings(spark, sf_dir):
-    return readings.null_readings(spark)
+    return readings.null_readings(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 5000 THEN 413 WHEN lang = 'en' THEN 201 ELSE 415 END AS code FROM documents")

@@ -176,9 +176,11 @@ def locale_hint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", nb.hinted(F.upper("lang")).alias("locale"))
 
 
-@query("SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) AS first_word, 'Row2X' AS mixed FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS p_name FROM part)")
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS label, 'Row2X ' || p_size || 'B' AS mixed FROM part")
 def title_label(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tx.title_label(F.split("p_name", " ")[0]).alias("first_word"), tx.title_label(F.lit("row2x")).alias("mixed"))
+    """Whole names as keys, and keys with digits, after which a letter is upper-case again."""
+    part = table(spark, sf_dir, "part")
+    return part.select("p_partkey", tx.title_label(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("label"), tx.title_label(F.concat(F.lit("row2x_"), F.col("p_size").cast("string"), F.lit("b"))).alias("mixed"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")

@@ -95,9 +95,10 @@ def cells_to_html(cells: DataFrame) -> DataFrame:
 NULL_ROWS = [("010", "Aluminium Round Bar", "93.00"), ("020", "Stainless Steel Sheet", "124.94"), ("030", "Insulation Material", "26.25")]
 
 
-def null_readings(spark: SparkSession) -> DataFrame:
-    """(row_index, item, description, amount, currency): a fixed table, for tests without providers."""
-    return spark.createDataFrame([(i, a, b, float(c), DEFAULTS.currency) for i, (a, b, c) in enumerate(NULL_ROWS)], "row_index int, item string, description string, amount double, currency string")
+def null_readings(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_index, item, description, amount, currency) of docs(doc_id): the same table for every document, for tests without providers."""
+    row = lambda i, a, b, c: F.struct(F.lit(i).alias("row_index"), F.lit(a).alias("item"), F.lit(b).alias("description"), F.lit(float(c)).alias("amount"), F.lit(DEFAULTS.currency).alias("currency"))
+    return docs.select("doc_id", F.explode(F.array(*(row(i, *x) for i, x in enumerate(NULL_ROWS)))).alias("x")).select("doc_id", "x.*")
 
 
 def write_results(results: DataFrame, path: str) -> None:
