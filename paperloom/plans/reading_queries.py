@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.operators import furniture, merge, reconcile, route
 from paperloom.plans.catalogue import query, table
+from paperloom.settings import Settings
 from paperloom.sources import readings
 from paperloom.sources.scratch import Scratch
 
@@ -189,8 +190,6 @@ def null_readings(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN length(text) > 5000 THEN 413 WHEN lang = 'en' THEN 201 ELSE 415 END AS code FROM documents")
 def upload_code(spark, sf_dir):
-    from paperloom.settings import Settings
-
     files = table(spark, sf_dir, "documents").selectExpr("doc_id", "length(text) AS bytes", "to_binary(if(lang = 'en', concat(' \\n%PDF-1.7', text), concat('x%PDF', text)), 'utf-8') AS content")
     return readings.upload_code(files, Settings(max_upload_bytes=5000)).select("doc_id", "code")
 
@@ -212,3 +211,23 @@ def verbatim_identifiers(spark, sf_dir):
     pages = docs.select(F.expr("doc_id % 40").alias("doc_id"), F.expr("cast(doc_id DIV 40 AS int)").alias("page"), F.concat("text", F.lit(" "), said).alias("text"))
     asked = docs.select(F.expr("doc_id % 40").alias("doc_id"), F.col("c").alias("text"))
     return reconcile.verbatim(asked, pages).select("doc_id", F.explode("ungrounded_identifiers").alias("value"))
+
+
+@query(
+    r"""
+    WITH pages AS (SELECT doc_id % 40 AS doc, 'of ' || n_chars || ' and ' || doc_id || '.50' AS text FROM documents UNION ALL SELECT (doc_id + 7) % 40, text FROM documents),
+    cells AS (SELECT doc_id % 40 AS doc, text || ' ' || format('{:,}', n_chars) || ' ' || doc_id || ',50' AS text FROM documents),
+    n AS (SELECT doc, unnest(regexp_extract_all(text, '[-+]?\d[\d,.]*\d|\d')) AS raw FROM pages),
+    v AS (SELECT doc, regexp_replace(raw, '\D', '', 'g') AS signature, CASE WHEN min(raw) = max(raw) THEN min(raw) END AS canonical FROM n WHERE length(regexp_replace(raw, '\D', '', 'g')) >= 3 GROUP BY 1, 2),
+    m AS (SELECT doc, unnest(regexp_extract_all(text, '[-+]?\d[\d,.]*\d|\d')) AS raw FROM cells),
+    x AS (SELECT m.doc, v.signature IS NOT NULL AS seen, length(regexp_replace(raw, '\D', '', 'g')) AS digits, coalesce(canonical <> raw, false) AS normal FROM m LEFT JOIN v ON v.doc = m.doc AND v.signature = regexp_replace(raw, '\D', '', 'g'))
+    SELECT doc AS doc_id, count(*) FILTER (WHERE normal) AS normalised, count(*) FILTER (WHERE NOT normal AND digits >= 3 AND NOT seen) AS ungrounded FROM x GROUP BY 1
+    """
+)
+def grounded_numbers(spark, sf_dir):
+    """Numbers of whole texts against the pages of forty documents: other spellings are normalised, unknown ones counted."""
+    docs = table(spark, sf_dir, "documents")
+    said = docs.selectExpr("doc_id % 40 AS doc_id", "doc_id AS page", "concat('of ', n_chars, ' and ', doc_id, '.50') AS text").unionByName(docs.selectExpr("(doc_id + 7) % 40 AS doc_id", "-doc_id AS page", "text"))
+    cells = docs.selectExpr("doc_id % 40 AS doc_id", "doc_id AS r", "concat(text, ' ', format_number(n_chars, 0), ' ', doc_id, ',50') AS text")
+    report = reconcile.reconcile(cells, said, Settings(ground_identifiers=False), Scratch(spark, "grounded_numbers"))[1]
+    return report.select("doc_id", "normalised", "ungrounded")
