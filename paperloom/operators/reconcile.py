@@ -60,21 +60,21 @@ def nearest(tokens: DataFrame, vocab: DataFrame, settings: Settings = DEFAULTS,
     pairs = index(asked, "token").join(index(known, "known"), ["doc_id", "left"]).select("doc_id", "token", "known").distinct()
     longest = F.greatest(F.length("token"), F.length("known"))
     near = pairs.withColumn("edits", F.levenshtein("token", "known", INDEXED)).where("edits >= 0").withColumn("score", 1 - F.col("edits") / longest)
-    found = _best(near.where(F.col("score") >= F.lit(least)))
-    if scratch is not None:
-        found = scratch.keep(found, "near")
+    scratch = scratch or Scratch(tokens.sparkSession, "nearest")  # what is found and what is open is read more than once
+    found = scratch.keep(_best(near.where(F.col("score") >= F.lit(least))), "near")
     unseen = 1 - (INDEXED + 1) / (F.length("token") + (INDEXED + 1))  # the most that a known text beyond the index can reach
     done = (F.col("score") - unseen >= settings.identifier_margin) | (unseen < least)
     settled = found.where(done)
     open_ = asked.join(settled.select("doc_id", "token"), ["doc_id", "token"], "left_anti").where(unseen >= least)
-    if scratch is not None:
-        open_ = scratch.keep(open_, "open")
+    open_ = scratch.keep(open_, "open")
     shortest, farthest = F.ceil(F.length("token") * F.lit(least)), F.floor(F.length("token") / F.lit(least))
     by_length = open_.withColumn("n", F.explode(F.sequence(shortest.cast("int"), farthest.cast("int"))))
     every = by_length.join(known.withColumn("n", F.length("known")), ["doc_id", "n"])
     bound = F.floor((1 - F.lit(least)) * longest + 1e-9).cast("int")
     every = every.withColumn("edits", F.levenshtein("token", "known")).where(F.col("edits") <= bound).withColumn("score", 1 - F.col("edits") / longest)
-    best = settled.unionByName(_best(every.where(F.col("score") >= F.lit(least)).select("doc_id", "token", "known", "score")))
+    best = settled
+    if open_.limit(1).count():
+        best = settled.unionByName(_best(every.where(F.col("score") >= F.lit(least)).select("doc_id", "token", "known", "score")))
     good = (F.col("score") >= settings.identifier_similarity) & (F.col("score") - F.coalesce("second", F.lit(-1.0)) >= settings.identifier_margin)
     return asked.join(best, ["doc_id", "token"], "left").select("doc_id", "token", F.when(good, F.col("known")).alias("match"), "score", "second")
 
