@@ -76,12 +76,15 @@ def live_by_digest(spark, sf_dir):
 
 @query(
     """
-    WITH r AS (SELECT event_id, user_id, CASE WHEN event_id % 4 = 0 THEN 'key:' || event_type ELSE 'hash:' || props || ':' || event_type END AS same, ts FROM events),
-    a AS (SELECT event_id AS job_id, first_value(event_id) OVER (PARTITION BY user_id, same ORDER BY ts, event_id) AS answer FROM r)
+    WITH r AS (SELECT event_id AS job_id, user_id, coalesce(props, '') AS props, coalesce(event_type, '') AS options, CASE WHEN event_id % 4 = 0 THEN nullif(event_type, '') END AS k, ts FROM events),
+    f AS (SELECT *, CASE WHEN k IS NOT NULL THEN first_value(job_id) OVER (PARTITION BY user_id, k ORDER BY ts, job_id) END AS keyed FROM r),
+    c AS (SELECT *, CASE WHEN k IS NOT NULL THEN keyed = job_id ELSE count(*) FILTER (WHERE k IS NULL OR keyed = job_id) OVER w = 1 END AS creates FROM f WINDOW w AS (PARTITION BY user_id, props, options ORDER BY ts, job_id ROWS UNBOUNDED PRECEDING)),
+    a AS (SELECT job_id, coalesce(keyed, last_value(CASE WHEN creates THEN job_id END IGNORE NULLS) OVER w) AS answer FROM c WINDOW w AS (PARTITION BY user_id, props, options ORDER BY ts, job_id ROWS UNBOUNDED PRECEDING))
     SELECT job_id, answer, job_id = answer AS created FROM a
     """
 )
 def dedup_submit(spark, sf_dir):
+    """Requests answered from each other: a key gets its first job; without one, the newest job of the same bytes, be it of a keyed request or not."""
     r = table(spark, sf_dir, "events").selectExpr("user_id AS principal_id", "if(event_id % 4 = 0, event_type, NULL) AS idempotency_key", "props AS sha256", "event_type AS options", "ts AS created_at", "event_id AS job_id")
     return jobs.submit(r).select("job_id", "answer", "created")
 
