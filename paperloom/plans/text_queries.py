@@ -87,7 +87,7 @@ def repair_separators(spark, sf_dir):
 
 @query(
     r"""
-    SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '<tr>|\n'), lambda s: trim(s, E' \t\r\n\f\v')), lambda s: s <> '' AND length(regexp_replace(s, '<[^>]+>', '', 'g')) BETWEEN 3 AND 44))::INT AS n
+    SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '<tr>|\n'), lambda s: regexp_replace(s, '^[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')), lambda s: s <> '' AND length(regexp_replace(s, '<[^>]+>', '', 'g')) BETWEEN 3 AND 44))::INT AS n
     FROM documents
     """
 )

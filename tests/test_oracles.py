@@ -23,3 +23,10 @@ def test_requests_without_a_key_get_jobs_of_keyed_ones(spark, tmp_path):
     got, want = both(spark, tmp_path, "dedup_submit", events=spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
     assert got == want
     assert {a: b for a, b, _ in got} == {4: 4, 5: 4, 8: 4, 9: 9, 10: 9, 13: 13, 16: 16, 17: 16, 20: 20, 21: 20, 24: 24, 25: 24}
+
+
+def test_short_lines_are_trimmed_of_white_space_and_no_letters(spark, tmp_path):
+    texts = ["vab\nabv\nv12v", "v" + "x" * 44, None, "", "<b>abc</b>\n<tr>xy<tr>"] + [f"abcd\n{chr(c)}ab{chr(c)}" for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B)]
+    got, want = both(spark, tmp_path, "short_lines", documents=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got == want
+    assert got[:3] == [(0, 3), (1, 0), (10, 1)]
