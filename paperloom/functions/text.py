@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Patterns whose matches results depend on.
@@ -63,6 +63,12 @@ def derive_keys(labels) -> Column:
     return let(F.transform(col(labels), lambda x, i: key_base(x, i)), lambda bases: F.transform(bases, lambda b, i: numbered(b, count(bases, b, i))))
 
 
+def derived_keys(rows: DataFrame, group: str, order: str, label: str) -> DataFrame:
+    """rows with `i`, the place from 0 in the order of each group, and `key`, as derive_keys makes them; groups may be long."""
+    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("base", key_base(label, "i"))
+    return placed.withColumn("key", numbered("base", F.row_number().over(Window.partitionBy(group, "base").orderBy("i")))).drop("base")
+
+
 def short_lines(x, longest: int = 45) -> Column:
     """Lines (or rows of markup) of more than 2 and fewer than `longest` characters without tags."""
     parts = F.transform(F.split(col(x), r"<tr>|\n"), lambda s: F.regexp_replace(s, WIDE + r"^\s+|\s+$", ""))

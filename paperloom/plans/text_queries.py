@@ -74,8 +74,7 @@ def column_types(spark, sf_dir):
     """
 )
 def derive_keys(spark, sf_dir):
-    labels = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("x"))
-    return labels.select("p_brand", F.posexplode(tx.derive_keys(F.transform("x", lambda s: s["p_name"]))).alias("i", "key"))
+    return tx.derived_keys(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_name").select("p_brand", "i", "key")
 
 
 @query(
