@@ -1,8 +1,10 @@
 """How often rows travel: what a plan shuffles and writes, on small tables."""
 
 import re
+from pathlib import Path
 
 from paperloom.operators import flatten
+from paperloom.plans import extraction
 from paperloom.sources.scratch import Scratch
 
 
@@ -29,3 +31,12 @@ def test_rows_of_nested_tables_travel_once(spark):
     # rows and those in them meet in one shuffle; the others are of names
     assert [name for name, _ in scratch.kept] == ["own", "flat"]
     assert scratch.kept[-1][1] <= 4
+
+
+def test_grounding_leaves_only_what_is_read_again(spark):
+    html = "<table><tr><th>Code</th></tr><tr><td>SKX000001B</td></tr></table>"
+    parts = spark.createDataFrame([(1, "p0001_0", 1, "vision", html)], "doc_id long, fragment_id string, page int, source string, html string")
+    scratch = Scratch(spark, "left")
+    fixed, report, _ = extraction.reconciled(scratch, parts, spark.createDataFrame([(1, 1, "SKU000001B")], "doc_id long, page int, text string"))
+    assert [(r.grid.rows[1][0]) for r in fixed.collect()] == ["SKU000001B"] and report.first().repaired == 1
+    assert {p.name for p in Path(scratch.root.removeprefix("file:")).iterdir()} == {"fragments", "report", "confidence"}
