@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +36,12 @@ from paperloom.llm.workspace import Workspace
 MAX_BITS = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
-#: Words in one generation of a worker's memory.
-REMEMBER = 500_000
-_ROWS = 256
+#: Words in a worker's memory, beside those of one slice of texts.
+REMEMBER = 1_000_000
+#: Bytes of text whose words are looked up together.
+_BYTES = 4 << 20
+#: Words whose lower case is taken letter by letter.
+_SIMPLE = "^[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+$"
 _BLOCK = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
 #: Texts whose ids tell whether a model may be asked word by word.
 _PROBES = ("Of one, two\tand Three.\n\nÉté  it's 4 o'clock ", "a", " b.c,d  12.5\r\n-x")
@@ -129,20 +134,29 @@ def unpack(payload: bytes, marks: np.ndarray, n: int, table) -> np.ndarray:
     return out.ravel()[:n]
 
 
-def words_of(text: str) -> list[str]:
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The words of each text, empty ones where spaces meet."""
+    for mark in "\n\t\r":
+        texts = pc.replace_substring(texts, mark, " ")
+    return pc.split_pattern(texts, " ")
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of these starts and sizes, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class WordIds:
-    """Ids of words as bytes, from the tokenizer or from memory.
+    """Ids of words, from the tokenizer or from memory.
 
     Words stand between spaces and are encoded alone where no token, merge or
     normalisation of the model reaches over white space, as its marks for word ends
-    and some probes show; other models get whole texts. A word of letters or
+    and some probes show; other models get whole texts. A word of Latin letters or
     digits below U+0130 with full stops or commas behind has the ids of both parts,
     and those of its lower case. Words of letters only make one
     piece each, which the mark at the end of its last token shows, so they are
-    encoded many at a time. The memory has two generations of REMEMBER words.
+    encoded many at a time. The memory holds about REMEMBER words, then starts anew.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -160,90 +174,138 @@ class WordIds:
         self.simple = bool(self.suffix) and lowers
         if self.simple:
             self.closes[[i for t, i in self.model.get_vocab().items() if t.endswith(self.suffix)]] = True
-        joined = lambda t: b"".join(self._encoded(words_of(t)))
+        joined = lambda t: [i for ids in self._encoded(words_of(pa.array([t]))[0].as_py()) for i in ids]
         self.by_word = bool(self.suffix) and all(joined(t) == self._encoded([t])[0] for t in _PROBES)
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Slot of each word; ids of slot s stand at [at[s], at[s + 1]) of ids.
+        self.slots: dict[str, int] = {}
+        self.ids, self.at = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64)
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.slots), int(self.at[len(self.slots)])
+        if used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids[:used], np.zeros(used + 2 * len(flat), self.kind)))
+        if n + len(words) >= len(self.at):
+            self.at = np.concatenate((self.at[: n + 1], np.zeros(n + 2 * len(words), np.int64)))
+        self.ids[used : used + len(flat)] = flat
+        self.at[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
+        self.slots.update(zip(words, range(n, n + len(words))))
+
+    def _learn(self, words: list[str], letters: bool) -> None:
+        """Remember new words, each once; letters: they are of lower-case letters only."""
+        rest = words
+        if letters:
+            rest = []
+            for lo in range(0, len(words), 256):
+                part = words[lo : lo + 256]
+                ids = np.array(self._encoded([" ".join(part)])[0], self.kind)
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(part):
+                    self._keep(part, ids, np.diff(ends, prepend=0))
+                else:
+                    rest += part
+        if rest:
+            found = self._encoded(rest)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self._keep(rest, np.fromiter((i for ids in found for i in ids), self.kind, int(sizes.sum())), sizes)
+
+    def _known(self, words: pa.Array, letters: bool) -> np.ndarray:
+        """Slots of words, which stand once each."""
+        words = words.to_pylist()
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            self._learn(unknown, letters)
+            slots[new] = np.fromiter(map(self.slots.__getitem__, unknown), np.int64, len(new))
+        return slots
+
+    def _slots(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the first and second part of each of these words."""
+        if len(self.slots) > REMEMBER:
+            self._forget()
+        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        bare = pc.utf8_rtrim(words, ".,")
+        simple = pc.match_substring_regex(bare, _SIMPLE).to_numpy(zero_copy_only=False) if self.simple else np.zeros(len(words), bool)
+        nothing = self._known(pa.array([""]), False)[0]
+        kept = pa.array(simple)
+        base = pc.dictionary_encode(pc.utf8_lower(bare.filter(kept)))
+        alpha = pc.match_substring_regex(base.dictionary, "[0-9]").to_numpy(zero_copy_only=False) == False  # noqa: E712
+        slots = np.zeros(len(alpha), np.int64)
+        for letters in (True, False):
+            chosen = alpha == letters
+            slots[chosen] = self._known(base.dictionary.filter(pa.array(chosen)), letters)
+        first[simple] = slots[base.indices.to_numpy()]
+        tails = pc.dictionary_encode(_tails(words.filter(kept), bare.filter(kept)))
+        second[simple] = self._known(tails.dictionary, False)[tails.indices.to_numpy()]
+        first[~simple], second[~simple] = self._known(words.filter(pa.array(~simple)), False), nothing
+        return first, second
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of whole texts one after the other, how many each has)."""
+        if not self.by_word:
+            found = self._encoded(texts.to_pylist())
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for ids in found for i in ids), self.kind, int(sizes.sum())), sizes
+        split = words_of(texts)
+        words = pc.dictionary_encode(split.flatten())
+        parts = np.stack(self._slots(words.dictionary), 1)[words.indices.to_numpy()].ravel()
+        starts, sizes = self.at[parts], self.at[parts + 1] - self.at[parts]
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        ends = before[2 * (split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py())]
+        return self.ids[gathered(starts, sizes)], np.diff(ends)
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch(words, add_special_tokens=False)]
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts."""
-        if not self.by_word:
-            return self._encoded(texts)
-        split = [words_of(t) for t in texts]
-        words = set().union(*split).difference(self.new)
-        if words:
-            self.learn(words if len(self.new) + len(words) <= REMEMBER else set().union(*split))
-        look = self.new.__getitem__
-        return [b"".join(map(look, s)) for s in split]
-
-    def _tail(self, marks: str) -> bytes:
-        found = self.tails.get(marks)
-        if found is None:
-            if len(self.tails) > 1000:
-                self.tails = {"": b""}
-            found = self.tails[marks] = self._encoded([marks])[0]
-        return found
-
-    def learn(self, words: set[str]) -> None:
-        """Make sure that look-ups of these words succeed."""
-        if len(self.new) + len(words) > REMEMBER:
-            self.old, self.new = self.new, {"": b""}
-        new, old, width = self.new, self.old, self.kind.itemsize
-        back = {w for w in words if w in old}
-        new.update((w, old[w]) for w in back)
-        asked: dict[str, list[str]] = {}
-        whole = []
-        for w in words - back:
-            bare = w.rstrip(".,")
-            if self.simple and bare.isalnum() and (bare.isascii() or max(bare) < "\u0130"):
-                base = bare.lower()
-                ids = new.get(base) or old.get(base)
-                if ids is not None:
-                    new[w] = ids if len(bare) == len(w) else ids + self._tail(w[len(bare) :])
-                elif base in asked:
-                    asked[base].append(w)
-                else:
-                    asked[base] = [w]
-            else:
-                whole.append(w)
-        letters = [x for x in asked if x.isalpha()]
-        found: dict[str, bytes] = {}
-        for lo in range(0, len(letters), 1024):
-            part = letters[lo : lo + 1024]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = (np.flatnonzero(self.closes[ids]) + 1) * width
-            if len(ends) == len(part):
-                raw, ends = ids.tobytes(), ends.tolist()
-                found.update((x, raw[a:b]) for x, a, b in zip(part, [0, *ends], ends))
-        rest = [x for x in asked if x not in found]
-        found.update(zip(rest, self._encoded(rest)))
-        new.update(found)
-        for base, forms in asked.items():
-            ids = found[base]
-            for w in forms:
-                size = len(w.rstrip(".,"))
-                new[w] = ids if size == len(w) else ids + self._tail(w[size:])
-        new.update(zip(whole, self._encoded(whole)))
+def _tails(words: pa.Array, bare: pa.Array) -> pa.Array:
+    """What stands behind the beginnings `bare` of words."""
+    from_, to = pc.binary_length(bare).to_numpy(), pc.binary_length(words).to_numpy()
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words)].astype(np.int64)
+    sizes = (to - from_).astype(np.int64)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(raw[gathered(starts + from_, sizes)]))
+
+
+#: The words a worker knows, by model; tasks that follow each other in it go on with them.
+_memories: dict[tuple[str, int], WordIds] = {}
+
+
+def _memory(path: str, end_id: int) -> WordIds:
+    if (path, end_id) not in _memories:
+        _memories.clear()
+        _memories[path, end_id] = WordIds(path, end_id)
+    return _memories[path, end_id]
+
+
+def _slices(texts: pa.Array):
+    """(from, size) of runs of texts of about _BYTES, one text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _BYTES, "right")))
+        yield lo, hi - lo
+        lo = hi
 
 
 def _encode(path: str, end_id: int):
     def run(batches):
-        memory = WordIds(path, end_id)
+        memory = _memory(path, end_id)
         width = memory.kind.itemsize
-        end = np.array([end_id], memory.kind).tobytes()
         counts = np.zeros(memory.size, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, _ROWS):
-                ids = [x + end for x in memory.of([t or "" for t in batch.column(1).slice(lo, _ROWS).to_pylist()])]
-                counts += np.bincount(np.frombuffer(b"".join(ids), memory.kind), minlength=memory.size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, _ROWS), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
-                    ["doc_id", "n", "ids", "counts"],
-                )
+            texts = pc.fill_null(batch.column(1), "")
+            for lo, n in _slices(texts):
+                ids, sizes = memory.of(texts.slice(lo, n))
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, end_id)
+                counts += np.bincount(ids, minlength=memory.size)
+                offsets = np.concatenate(([0], (ends + np.arange(1, n + 1)) * width))
+                column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(sizes + 1, pa.int64()), column, pa.nulls(n, pa.binary())], ["doc_id", "n", "ids", "counts"])
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "n", "ids", "counts"])
 
     return run

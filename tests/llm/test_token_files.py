@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from paperloom.llm import token_files as tf
@@ -63,3 +64,20 @@ def test_code_lengths():
         assert (tf.unpack(payload, marks, len(ids), tf.decoding_table(bits)) == ids).all()
     free = tf.lengths(np.array([5, 9, 12, 13, 16, 45]), 18)
     assert free.tolist() == [4, 4, 3, 3, 3, 1]
+
+
+def encoded(rows):
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    raw = [r for b in tf._encode(PATH, 2)(iter([batch.slice(0, 4), batch.slice(4)])) for r in b.to_pylist()]
+    return [(r["doc_id"], np.frombuffer(r["ids"], np.uint16).tolist()) for r in raw if r["n"] > 0]
+
+
+def test_the_next_task_of_a_worker_knows_the_words(monkeypatch):
+    rows = list(enumerate(TEXTS))
+    first, asked, ask = encoded(rows), [], tf.WordIds._encoded
+    monkeypatch.setattr(tf.WordIds, "_encoded", lambda self, words: asked.append(words) or ask(self, words))
+    assert encoded(rows) == first and not asked
+    monkeypatch.setattr(tf, "REMEMBER", 3)
+    monkeypatch.setattr(tf, "_BYTES", 10)
+    model = Tokenizer.from_file(PATH)
+    assert encoded(rows) == first == [(i, model.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows] and asked
