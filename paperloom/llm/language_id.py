@@ -196,15 +196,18 @@ def _scores(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarr
             for lo, hi in grams.pieces(len(normal), k):
                 total[0] += table[grams.gram_buckets(normal[lo:hi], k, BITS)].sum(0)
             continue
-        value = table[grams.gram_buckets(normal, k, BITS)]
-        value[grams.across(offsets, k, len(value))] = 0
-        value = np.concatenate((value, np.zeros((len(normal) - len(value), table.shape[1]))))
+        bucket = grams.gram_buckets(normal, k, BITS)
+        value = np.zeros((len(normal), table.shape[1]))
+        np.take(table, bucket, axis=0, out=value[: len(bucket)], mode="clip")
+        value[grams.across(offsets, k, len(bucket))] = 0
         if full.any():
             total[full] += np.add.reduceat(value, offsets[:-1][full])
     return total / np.maximum(count, 1)[:, None]
 
 
-def _predict(model):
+def _predict(model, back: list[str]):
+    """back: the columns that are returned, the text as well if it is asked for."""
+
     def run(batches):
         m: Model = model.value
         names = np.array(m.labels, object)
@@ -218,13 +221,14 @@ def _predict(model):
                 lettered = np.array(batch.column(2).slice(lo, hi - lo).to_pylist(), object) == True  # noqa: E712
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(i).slice(lo, hi - lo) for i in (0, *range(3, batch.num_columns))),
+                        *(batch.column(c).slice(lo, hi - lo) for c in back),
                         pa.array(np.where(lettered, names[best], UNKNOWN).tolist(), pa.string()),
                         pa.array(np.where(lettered, score, 0.0)),
                         pa.array(~lettered | (score < m.floors[_digits(np.diff(at))])),
                     ],
-                    [*(batch.schema.names[i] for i in (0, *range(3, batch.num_columns))), "lang_pred", "score", "rejected"],
+                    [*back, "lang_pred", "score", "rejected"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -239,15 +243,17 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model | None, id_col:
     labelled row) every row is `und`.
     """
     text = F.col(text_col).cast("string")
-    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    whole = dict(docs.dtypes).get(text_col) == "string"  # then a kept text is not sent twice
+    places = ["text" if whole and c == text_col else f"kept_{i}" for i, c in enumerate(keep)]
+    kept = [F.col(c).alias(p) for c, p in zip(keep, places) if p != "text"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"), *kept)
-    back = [F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]
+    back = [F.col(p).alias(c) for c, p in zip(keep, places)]
     if model is None:
         out = rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "rejected": F.lit(True)})
     else:
-        types = dict(rows.dtypes)
-        schema = ", ".join(f"{c} {types[c]}" for c in ("doc_id", *(f"kept_{i}" for i in range(len(keep))))) + ", lang_pred string, score double, rejected boolean"
-        out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
+        types, names = dict(rows.dtypes), list(dict.fromkeys(("doc_id", *places)))
+        schema = ", ".join(f"{c} {types[c]}" for c in names) + ", lang_pred string, score double, rejected boolean"
+        out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(model), names), schema)
     return out.select("doc_id", *back, "lang_pred", "score", "rejected")
 
 

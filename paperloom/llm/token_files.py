@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,8 @@ from paperloom.llm.workspace import Workspace
 MAX_BITS = 18
 STRIDE = 128
 BLOCK_IDS = 1 << 18
-#: Words in a worker's memory, beside those of one slice of texts.
-REMEMBER = 1_000_000
+#: Words in a worker's memory, and their bytes, beside those of one slice of texts.
+REMEMBER, REMEMBER_BYTES = 1_000_000, 1 << 25
 #: Bytes of text whose words are looked up together.
 _BYTES = 4 << 20
 #: Words whose lower case is taken letter by letter.
@@ -156,7 +155,8 @@ class WordIds:
     digits below U+0130 with full stops or commas behind has the ids of both parts,
     and those of its lower case. Words of letters only make one
     piece each, which the mark at the end of its last token shows, so they are
-    encoded many at a time. The memory holds about REMEMBER words, then starts anew.
+    encoded many at a time. The memory holds about REMEMBER words in one Arrow column,
+    some 30 bytes each with their ids, then starts anew.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -179,71 +179,67 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        #: Slot of each word; ids of slot s stand at [at[s], at[s + 1]) of ids.
-        self.slots: dict[str, int] = {}
-        self.ids, self.at = np.zeros(1 << 16, self.kind), np.zeros(1 << 14, np.int64)
+        #: Words by slot; ids of slot s stand at [at[s], at[s + 1]) of ids.
+        self.words = pa.array([], pa.string())
+        self.ids, self.at = np.zeros(1 << 16, self.kind), np.zeros(1, np.int64)
 
     def _encoded(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _keep(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n, used = len(self.slots), int(self.at[len(self.slots)])
+    def _learn(self, words: pa.Array) -> None:
+        """Remember new words, each once, those of letters only first."""
+        letters = pc.and_(pc.match_substring_regex(words, _SIMPLE), pc.invert(pc.match_substring_regex(words, "[0-9]"))) if self.simple else pa.array(np.zeros(len(words), bool))
+        easy, rest = words.filter(letters).to_pylist(), words.filter(pc.invert(letters)).to_pylist()
+        kept, flat, sizes = [], [], []
+        for lo in range(0, len(easy), 256):
+            part = easy[lo : lo + 256]
+            ids = np.array(self._encoded([" ".join(part)])[0], self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part):
+                kept += part
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                rest += part
+        for lo in range(0, len(rest), 4096):
+            found = self._encoded(rest[lo : lo + 4096])
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter((i for ids in found for i in ids), self.kind, int(sizes[-1].sum())))
+        used, flat = int(self.at[-1]), np.concatenate(flat)
         if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate((self.ids[:used], np.zeros(used + 2 * len(flat), self.kind)))
-        if n + len(words) >= len(self.at):
-            self.at = np.concatenate((self.at[: n + 1], np.zeros(n + 2 * len(words), np.int64)))
+            self.ids = np.concatenate((self.ids[:used], np.zeros(used // 4 + 2 * len(flat), self.kind)))
         self.ids[used : used + len(flat)] = flat
-        self.at[n + 1 : n + 1 + len(words)] = used + np.cumsum(sizes)
-        self.slots.update(zip(words, range(n, n + len(words))))
-
-    def _learn(self, words: list[str], letters: bool) -> None:
-        """Remember new words, each once; letters: they are of lower-case letters only."""
-        rest = words
-        if letters:
-            rest = []
-            for lo in range(0, len(words), 256):
-                part = words[lo : lo + 256]
-                ids = np.array(self._encoded([" ".join(part)])[0], self.kind)
-                ends = np.flatnonzero(self.closes[ids]) + 1
-                if len(ends) == len(part):
-                    self._keep(part, ids, np.diff(ends, prepend=0))
-                else:
-                    rest += part
-        if rest:
-            found = self._encoded(rest)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._keep(rest, np.fromiter((i for ids in found for i in ids), self.kind, int(sizes.sum())), sizes)
+        self.at = np.concatenate((self.at, used + np.cumsum(np.concatenate(sizes))))
+        self.words = pa.concat_arrays([self.words, pa.array(kept + rest, pa.string())])
 
-    def _known(self, words: pa.Array, letters: bool) -> np.ndarray:
+    def _known(self, words: pa.Array) -> np.ndarray:
         """Slots of words, which stand once each."""
-        words = words.to_pylist()
-        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            unknown = [words[i] for i in new.tolist()]
-            self._learn(unknown, letters)
-            slots[new] = np.fromiter(map(self.slots.__getitem__, unknown), np.int64, len(new))
+        slots = pc.index_in(words, value_set=self.words)
+        new = slots.is_null()
+        unknown, slots = words.filter(new), pc.fill_null(slots, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(unknown):
+            before = len(self.words)
+            self._learn(unknown)
+            slots[new.to_numpy(zero_copy_only=False)] = before + pc.index_in(unknown, value_set=self.words[before:]).to_numpy()
         return slots
 
     def _slots(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the first and second part of each of these words."""
-        if len(self.slots) > REMEMBER:
+        if len(self.words) > REMEMBER or self.words.nbytes > REMEMBER_BYTES:
             self._forget()
-        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         bare = pc.utf8_rtrim(words, ".,")
         simple = pc.match_substring_regex(bare, _SIMPLE).to_numpy(zero_copy_only=False) if self.simple else np.zeros(len(words), bool)
-        nothing = self._known(pa.array([""]), False)[0]
         kept = pa.array(simple)
         base = pc.dictionary_encode(pc.utf8_lower(bare.filter(kept)))
-        alpha = pc.match_substring_regex(base.dictionary, "[0-9]").to_numpy(zero_copy_only=False) == False  # noqa: E712
-        slots = np.zeros(len(alpha), np.int64)
-        for letters in (True, False):
-            chosen = alpha == letters
-            slots[chosen] = self._known(base.dictionary.filter(pa.array(chosen)), letters)
-        first[simple] = slots[base.indices.to_numpy()]
         tails = pc.dictionary_encode(_tails(words.filter(kept), bare.filter(kept)))
-        second[simple] = self._known(tails.dictionary, False)[tails.indices.to_numpy()]
-        first[~simple], second[~simple] = self._known(words.filter(pa.array(~simple)), False), nothing
+        parts = [base.dictionary, tails.dictionary, words.filter(pc.invert(kept)), pa.array([""])]
+        asked = pc.dictionary_encode(pa.concat_arrays(parts))  # one look into the memory for all of them
+        slots = self._known(asked.dictionary)[asked.indices.to_numpy()]
+        ends = np.cumsum([len(x) for x in parts])
+        first, second = np.zeros(len(words), np.int64), np.full(len(words), slots[-1])
+        first[simple] = slots[: ends[0]][base.indices.to_numpy()]
+        second[simple] = slots[ends[0] : ends[1]][tails.indices.to_numpy()]
+        first[~simple] = slots[ends[1] : ends[2]]
         return first, second
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +266,7 @@ def _tails(words: pa.Array, bare: pa.Array) -> pa.Array:
     return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.py_buffer(raw[gathered(starts + from_, sizes)]))
 
 
-#: The words a worker knows, by model; tasks that follow each other in it go on with them.
+#: The words a worker knows, by model; tasks that follow each other in it go on with them until blocks are written or read.
 _memories: dict[tuple[str, int], WordIds] = {}
 
 
@@ -281,6 +277,12 @@ def _memory(path: str, end_id: int) -> WordIds:
     return _memories[path, end_id]
 
 
+def _release() -> None:
+    """Texts are encoded: a worker that lives on leaves its memory to what comes next."""
+    _memories.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _slices(texts: pa.Array):
     """(from, size) of runs of texts of about _BYTES, one text at least."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
@@ -326,6 +328,7 @@ def _write(book):
     def run(batches):
         from pyspark import TaskContext
 
+        _release()
         bits = book.value
         code, _ = canonical(bits)
         part, block = TaskContext.get().partitionId(), 0
@@ -380,6 +383,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_i
 
 def _read(book, digest: bool):
     def run(batches):
+        _release()
         table = decoding_table(book.value)
         for batch in batches:
             for part, block, n, n_null, docs, sizes, marks, payload in zip(*(batch.column(i).to_pylist() for i in range(8))):

@@ -1,4 +1,6 @@
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -81,3 +83,20 @@ def test_the_next_task_of_a_worker_knows_the_words(monkeypatch):
     monkeypatch.setattr(tf, "_BYTES", 10)
     model = Tokenizer.from_file(PATH)
     assert encoded(rows) == first == [(i, model.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in rows] and asked
+
+
+def test_worker_memory_ends_with_the_encoding(monkeypatch):
+    """What a worker remembers is small, and gone when the blocks are written."""
+    list(tf._encode(PATH, 2)(iter([pa.record_batch([pa.array([1]), pa.array(["one two"])], ["doc_id", "text"])])))
+    memory = tf._memories[PATH, 2]
+    texts = pa.array([" ".join(f"w{i}x" for i in range(lo, lo + 1000)) for lo in range(0, 100_000, 1000)])
+    memory.of(texts.slice(0, 1))
+    tracemalloc.start()
+    memory.of(texts)
+    held = tracemalloc.get_traced_memory()[0] + memory.words.nbytes
+    tracemalloc.stop()
+    assert held < 100 * 100_000
+    book = SimpleNamespace(value=np.array([1, 1]))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    assert list(tf._write(book)(iter(()))) == []
+    assert not tf._memories
