@@ -14,18 +14,6 @@ from pyspark.sql.functions import udtf
 from paperloom.functions import html_grid as hg
 
 
-class _Cells:
-    """Every slot of the first table and of those in its cells."""
-
-    def eval(self, html: str) -> Iterator[tuple]:
-        grid = hg.parse_table(html)
-        tables = [(grid["rows"], grid["n_header_rows"]), *((x["rows"], x["n_header_rows"]) for x in grid["inner"])]
-        for t, (rows, heads) in enumerate(tables):
-            for r, row in enumerate(rows):
-                for c, text in enumerate(row):
-                    yield t, r, c, text, r < heads
-
-
 class _Tables:
     """The outermost tables of a text of markup, in order."""
 
@@ -35,5 +23,7 @@ class _Tables:
 
 def register(spark: SparkSession) -> None:
     """table_cells(html) and outer_tables(html) in the session's SQL; null and empty markup give no rows."""
-    spark.udtf.register("table_cells", udtf(_Cells, returnType="t int, r int, c int, text string, is_header boolean", useArrow=True))
+    # a Python table function is called, and answers in a batch of its own, for every row; this one reads a batch of texts at once
+    spark.udf.register("table_slots", hg.slots_of)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION table_cells(html STRING) RETURNS TABLE(t INT, r INT, c INT, text STRING, is_header BOOLEAN) RETURN SELECT x.* FROM inline(table_slots(html)) x")
     spark.udtf.register("outer_tables", udtf(_Tables, returnType="idx int, html string", useArrow=True))

@@ -84,3 +84,12 @@ def test_events_that_are_sent_again_count_once(spark, tmp_path):
     q = meters.counted_once(stream, "id", "kind").writeStream.format("memory").queryName("once").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.kind: r.total for r in spark.table("once").collect()} == {"a": 2, "b": 2}
+
+
+def test_table_cells_reads_markup_in_batches(spark):
+    udtf.register(spark)
+    nested = "<table><tr><th>A</th></tr><tr><td>1<table><tr><td>x</td><td>y</td></tr></table></td></tr></table>"
+    marked = spark.createDataFrame([(1, nested), (2, None), (3, ""), (4, "<table><tr><td>a &amp; b</td></tr></table>")], "k int, html string")
+    df = spark.sql("SELECT k, x.* FROM {marked}, LATERAL table_cells(html) x", marked=marked)
+    assert "EvalPythonUDTF" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == [(1, 0, 0, 0, "A", True), (1, 0, 1, 0, "1", False), (1, 1, 0, 0, "x", False), (1, 1, 0, 1, "y", False), (4, 0, 0, 0, "a & b", False)]
